@@ -23,8 +23,29 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces).select("doc_id", "n_words", "n_tokens")
 
 
+def encoded_digest(docs: DataFrame) -> DataFrame:
+    """doc_id and the digests of the ids and of the bytes that they decode to."""
+    import public_tokenizers
+
+    from plumbline.llm.bpe import bpe_decode, bpe_encode, read_ranks
+
+    ranks = read_ranks(docs.sparkSession, tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+    encoded = bpe_encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, keep_text=False)
+    return bpe_decode(encoded, ranks).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_bpe": op3_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
