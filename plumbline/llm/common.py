@@ -53,5 +53,5 @@ def arrow_type(t: T.DataType) -> pa.DataType:
 def words_of(text: str | F.Column) -> F.Column:
     """The array of words of a text column; null and blank texts have none."""
     c = F.col(text) if isinstance(text, str) else text
-    parts = F.split(F.trim(F.lit(WS_CHARS), c), WS_CLASS + "+")
+    parts = F.split(F.trim(c, F.lit(WS_CHARS)), WS_CLASS + "+")
     return F.when(c.isNull() | (parts[0] == ""), F.array().cast("array<string>")).otherwise(parts)
