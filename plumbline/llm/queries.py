@@ -82,9 +82,19 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.toxicity import learn_lexicon, toxicity
+
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = learn_lexicon(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out))
+    return toxicity(docs, lexicon).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_bpe": op3_bpe,
+    "op5_toxicity": op5_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_ngram_join": op10_ngram_join,
