@@ -91,9 +91,18 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, lexicon).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.quality_rules import learn_quality_rules, quality_verdicts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = learn_quality_rules(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return quality_verdicts(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_bpe": op3_bpe,
+    "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op9_secret_scan": op9_secret_scan,
