@@ -99,16 +99,62 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k (chosen) and 2k + 1 (rejected) form pair k."""
+    from plumbline.llm.chat_format import preference_pairs
+
+    turns = table(spark, sf_dir, "conversations").select(
+        F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected").alias("side"), "turn", "role", "text"
+    )
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.start.cast("string"), s.end.cast("string"))), ",").alias(c)
+    return preference_pairs(turns).select("pair_id", F.col("n_common").cast("long").alias("n_common"), "prompt", "chosen_text", "rejected_text", listed("chosen_spans"), listed("rejected_spans"))
+
+
+OP2_SQL = """
+WITH t AS (
+  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations),
+c AS (SELECT * FROM t WHERE side = 0), r AS (SELECT * FROM t WHERE side = 1),
+differs AS (
+  SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, min(coalesce(c.i, r.i)) FILTER (NOT coalesce(c.role = r.role AND c.text = r.text, false)) - 1 AS n,
+    max(coalesce(c.i, r.i)) AS most, count(c.i) AS n_c, count(r.i) AS n_r
+  FROM c FULL JOIN r ON c.pair_id = r.pair_id AND c.i = r.i GROUP BY 1),
+k AS (SELECT pair_id, coalesce(n, most) AS n_common, n_c, n_r FROM differs),
+s AS (
+  SELECT t.*, k.n_common, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS out FROM t JOIN k USING (pair_id)),
+p AS (
+  SELECT *, coalesce(sum(length(out)) FILTER (i > n_common) OVER (PARTITION BY pair_id, side ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos0 FROM s),
+g AS (
+  SELECT pair_id, string_agg(out, '' ORDER BY i) FILTER (side = 0 AND i <= n_common) AS prompt,
+    string_agg(out, '' ORDER BY i) FILTER (side = 0 AND i > n_common) AS chosen, string_agg(out, '' ORDER BY i) FILTER (side = 1 AND i > n_common) AS rejected,
+    string_agg(CAST(pos0 + 13 + length(role) AS BIGINT) || ':' || CAST(pos0 + length(out) - 1 AS BIGINT), ',' ORDER BY i) FILTER (side = 0 AND i > n_common AND role = 'assistant') AS cs,
+    string_agg(CAST(pos0 + 13 + length(role) AS BIGINT) || ':' || CAST(pos0 + length(out) - 1 AS BIGINT), ',' ORDER BY i) FILTER (side = 1 AND i > n_common AND role = 'assistant') AS rs
+  FROM p GROUP BY pair_id)
+SELECT pair_id, n_common, coalesce(prompt, '') AS prompt, CASE WHEN n_c > 0 THEN coalesce(chosen, '') END AS chosen_text, CASE WHEN n_r > 0 THEN coalesce(rejected, '') END AS rejected_text,
+  CASE WHEN n_c > 0 THEN coalesce(cs, '') END AS chosen_spans, CASE WHEN n_r > 0 THEN coalesce(rs, '') END AS rejected_spans
+FROM g JOIN k USING (pair_id)"""
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_chat_format": op2_chat_format,
     "op3_bpe": op3_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
     "op7_line_dedup": op7_line_dedup,
+    "op8_decontamination": op8_decontamination,
     "op9_secret_scan": op9_secret_scan,
     "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": OP2_SQL,
     "op7_line_dedup": OP7_SQL,
 }
