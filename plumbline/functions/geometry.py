@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.model import PlumblineError
@@ -39,12 +39,17 @@ def _wrap_add(x: Column, constant: int) -> Column:
     return low.bitwiseAND(0xFFFFFFFF).bitwiseOR(F.shiftleft(high.bitwiseAND(0xFFFFFFFF), 32))
 
 
-def ordinal_priority(ordinal: Column) -> Column:
-    """The pseudo-random sample priority of an ordinal, as the signed form of an unsigned 64-bit value."""
-    v = _wrap_add(ordinal.bitwiseXOR(F.lit(_signed(ORDINAL_DOMAIN))), STEP)
-    v = _wrap_mul(v.bitwiseXOR(F.shiftrightunsigned(v, 30)), MUL_1)
-    v = _wrap_mul(v.bitwiseXOR(F.shiftrightunsigned(v, 27)), MUL_2)
-    return v.bitwiseXOR(F.shiftrightunsigned(v, 31))
+def with_priority(df: DataFrame, ordinal: str = "ordinal", out: str = "priority") -> DataFrame:
+    """Adds the pseudo-random sample priority of an ordinal, as the signed form of an unsigned 64-bit value.
+
+    In steps of one column each, so that no step repeats the text of the one before.
+    """
+    v = F.col(out)
+    mixed = lambda n: v.bitwiseXOR(F.shiftrightunsigned(v, n))
+    df = df.withColumn(out, F.col(ordinal).cast("long").bitwiseXOR(F.lit(_signed(ORDINAL_DOMAIN)))).withColumn(out, _wrap_add(v, STEP))
+    for shift, constant in ((30, MUL_1), (27, MUL_2)):
+        df = df.withColumn(out, mixed(shift)).withColumn(out, _wrap_mul(v, constant))
+    return df.withColumn(out, mixed(31))
 
 
 def unsigned_order(v: Column) -> Column:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.geometry import ordinal_priority, unsigned_order
+from plumbline.functions.geometry import unsigned_order, with_priority
 from plumbline.model import Bounds, PlumblineError, Transform
 
 BLOCK_POINTS, SAMPLE_POINTS = 65_536, 4_096
@@ -48,7 +48,7 @@ def pruned_query(points: DataFrame, block_table: DataFrame, bounds: Bounds, tran
 def bottom_k(points: DataFrame, group: F.Column, k: int = SAMPLE_POINTS) -> DataFrame:
     """The k points of least (priority, ordinal) in each group. A group with more rows than a task likes is cut in salted
     parts first: bottom-k of bottom-k is bottom-k."""
-    salted = points.withColumn("node_id", group).withColumn("__priority", unsigned_order(ordinal_priority(F.col("ordinal"))))
+    salted = with_priority(points.withColumn("node_id", group), "ordinal", "__priority").withColumn("__priority", unsigned_order(F.col("__priority")))
     order = ["__priority", "ordinal"]
     part = Window.partitionBy("node_id", F.pmod(F.col("__priority"), F.lit(16))).orderBy(*order)
     few = salted.withColumn("__n", F.row_number().over(part)).where(F.col("__n") <= k)

@@ -177,7 +177,7 @@ c2 AS (SELECT * EXCLUDE v, CAST({_mul('CAST(xor(v, v >> 27) AS UHUGEINT)', g.MUL
 
 @query("ordinal_priority", f"WITH {PE}, {_PRIO} SELECT ordinal, CAST(p AS VARCHAR) AS priority FROM prio")
 def _(s, d):
-    return views.points_e(s, d).select("ordinal", g.unsigned_value(g.ordinal_priority(F.col("ordinal"))).cast("string").alias("priority"))
+    return g.with_priority(views.points_e(s, d).select("ordinal")).select("ordinal", g.unsigned_value(F.col("priority")).cast("string").alias("priority"))
 
 
 @query("bottom_k_sample", f"WITH {PE}, {_PRIO} SELECT ordinal // 1000 AS node_id, ordinal FROM prio QUALIFY row_number() OVER (PARTITION BY ordinal // 1000 ORDER BY p, ordinal) <= 50")
