@@ -13,7 +13,7 @@ other pages and keeps them, but for blocks that are mostly links. Main blocks st
 article that several pages carry is still an article.
 
 Pages are range-partitioned by host and page id and streamed, so a host with a third of all pages is dealt over many tasks
-in groups of bounded size. Defined results: null and empty html, and pages without main text, give an empty text; a null url
+in groups of bounded size (which pages share a group depends on where the ranges end; main blocks don't). Defined results: null and empty html, and pages without main text, give an empty text; a null url
 is a host of its own; rows keep their number, repeated rows and null ids included; unclosed and cut-off markup is closed at
 the end; columns of the outputs' names are replaced.
 """
@@ -214,7 +214,7 @@ def group_texts(pages: list[list[Block]]) -> list[str]:
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """Add the main text of each page and its length in code points."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, min(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), pages.count() // (8 * GROUP_PAGES)))  # small hosts are seldom cut
     dealt = pages.withColumn("__pl_host", host).repartitionByRange(n, "__pl_host", id_col).sortWithinPartitions("__pl_host", id_col)
     at, host_at = dealt.columns.index(html_col), dealt.columns.index("__pl_host")
 

@@ -148,6 +148,8 @@ def learn_rules(train: DataFrame, names: list[str], max_rules: int = 8, max_cond
     """A decision list from rows with the features, bad (0 or 1) and half (0: grow, 1: prune)."""
     cuts = _thresholds(train, names, per_feature)
     rules: list[list[Condition]] = []
+    if not any(cuts.values()):
+        return rules
     all_bad = train.where("bad = 1").count()
     while len(rules) < max_rules:
         open_ = train.where(verdict(rules).isNull()) if rules else train

@@ -1,9 +1,10 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick over folded text (operator 5).
 
 Folding lower-cases, maps look-alike letters of other scripts and full-width forms to Latin, and reads digits and symbols
-that stand before a letter as the letters they imitate. The lexicon holds word beginnings. Its weights are learned: word
-beginnings of 4 letters or more in toxic labelled texts, grown as long as they keep their texts, kept if the texts that
-hold them are mostly toxic, weighted by the log of the odds. Phrases of a term and a neighbouring word that mostly stand in
+that stand before a letter as the letters they imitate. The lexicon holds word beginnings and whole words (marked by | at
+their end). Its weights are learned: word beginnings of 4 letters or more in toxic labelled texts, grown as long as they
+keep their texts, kept if the texts that hold them are mostly toxic, weighted by the log of the odds; whole words where
+their beginnings are not kept. Phrases of a term and a neighbouring word that mostly stand in
 harmless texts become exceptions: a term within one does not count. A text's raw value is the sum of the weights of its
 terms over log2(2 + words); the score is raw / (raw + threshold), with the threshold fitted on the training rows, so 0.5
 and more means toxic.
@@ -68,13 +69,15 @@ class Lexicon:
 
             self._automaton = ahocorasick.Automaton()
             for t in self.weights:
-                self._automaton.add_word(t, t)
+                self._automaton.add_word(t.rstrip("|"), t.rstrip("|"))
             self._automaton.make_automaton()
         found: dict[int, str] = {}
         for end, term in self._automaton.iter(folded):
             start = end - len(term) + 1
-            if (not start or not folded[start - 1].isalnum()) and len(term) > len(found.get(start, "")):
-                found[start] = term
+            if not start or not folded[start - 1].isalnum():
+                whole = f"{term}|" in self.weights and not folded[end + 1 : end + 2].isalnum()
+                if whole or term in self.weights and len(term) > len(found.get(start, "")):
+                    found[start] = f"{term}|" if whole else term
         return [(s, _WORDS.match(folded, s).end(), t) for s, t in sorted(found.items())]
 
     def hits(self, folded: str) -> list[str]:
@@ -101,7 +104,7 @@ def phrases(folded: str, start: int, end: int) -> list[str]:
 
 
 def _beginnings(words: set[str]) -> set[str]:
-    return {w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)}
+    return {w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)} | {f"{w}|" for w in words if SHORTEST <= len(w) <= 2 * LONGEST}
 
 
 def _counts(train: DataFrame, of) -> DataFrame:
@@ -136,7 +139,7 @@ def choose_terms(rows: list[tuple[str, int, int]], positives: int, negatives: in
             continue
         shorter = next((term[:i] for i in range(len(term) - 1, SHORTEST - 1, -1) if term[:i] in kept), None)
         if shorter:
-            if p < 0.98 * kept[shorter]:
+            if term[-1] == "|" or p < 0.98 * kept[shorter]:
                 continue
             del kept[shorter]
             chosen.pop(shorter)
