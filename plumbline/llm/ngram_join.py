@@ -2,24 +2,28 @@
 
 Texts of one shingle set form a class; classes are joined, copies are never expanded.
 
-Signatures. All shingles follow one order: rare ones first, then frequent ones, by hash within either. With T = n - o + 1,
-where o = ceil(t n) is the least overlap that a partner needs, a set's prefix is extended until its tokens count T: a rare
-token counts 1, a frequent token counts 1 unless it is the first of its sub-class in the prefix. Rare tokens are indexed
-alone, frequent ones as all pairs within a sub-class. Of the n tokens at most n - o miss in a partner, so some sub-class
+Signatures. All shingles follow one order: unshared ones first, then rare, then frequent ones, by hash within each. With
+T = n - o + 1, where o = ceil(t n) is the least overlap that a partner needs, a set's prefix is extended until its tokens
+count T: an unshared or rare token counts 1, a frequent token counts 1 unless it is the first of its sub-class in the
+prefix. Unshared tokens need no index, rare ones are indexed alone, frequent ones as all pairs within a sub-class. Of the n tokens at most n - o miss in a partner, so some sub-class
 has two tokens in both prefixes, or some rare token is in both: two linked sets share a signature. Frequent sub-classes are
 dealt by hash; their number depends on the size band of the set (bands grow by 1 / t, so partners are at most one band
 apart, and each set is indexed for its own band and the one below). Frequent means found in frequent_df sets or more; the
-bar rises with the corpus so that the broadcast set of frequent tokens never exceeds MAX_FREQUENT. The counts cover every
-shingle of every document; any choice of the frequent set gives the same result, only the work differs.
+bar rises with the corpus so that the broadcast set of frequent tokens never exceeds MAX_FREQUENT. Unshared means
+that a bitmap of fixed size, with a bit for all shingles found in two sets or more, doesn't have it. The counts cover every
+shingle of every document; a fuller bitmap or another bar gives the same result, only the work differs.
+
+Size filter. A set of n tokens, s of them shared, overlaps a partner of m tokens by s at most, so s >= t / (1 + t) (n + m)
+must hold for both: a near copy with many tokens of its own meets few partners.
 
 Verification. The buckets of one signature are streamed in order; only buckets of two or more classes live on. First each
-member is compared with the bucket's leader, the member with the fewest rare tokens, so a large group of near copies costs
+member is compared with the bucket's leader, the member with the least part of unshared tokens, so a large group of near copies costs
 its size and not its square. Components of these links are found on the executors; then the pairs of each bucket that lie
 in different components are compared exhaustively, so that no link between components is missed. Sets are compared by
 their full 64-bit hashes.
 
 Defined results: a text without words has the empty set and links with nothing; null ids stay as rows and take no part;
-rows of one id count as one document with its least class... each row is linked by its own text. See also shingles.py.
+rows of one id each link by their own text. See also shingles.py.
 """
 
 from __future__ import annotations
@@ -41,6 +45,8 @@ from plumbline.runtime import materialize, ship
 
 MAX_FREQUENT = 1_000_000
 RANGES = 256
+#: Bits of the map of shared shingles.
+SHARED_BITS = 1 << 27
 #: Cells a task gathers before it packs them.
 CELLS_AT_ONCE = 4_000_000
 #: Bits of the filter over classes that have a partner to be compared with.
@@ -61,20 +67,25 @@ def band_edges(t: Fraction, top: int = 1 << 40) -> list[int]:
     return edges
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, t: Fraction, edges: list[int]) -> tuple[np.ndarray, int]:
-    """The signatures of a sorted token set, and its priority: rare tokens in a thousand."""
+def signatures(tokens: np.ndarray, frequent: np.ndarray, shared: np.ndarray, t: Fraction, edges: list[int]) -> tuple[np.ndarray, int]:
+    """The signatures of a sorted token set, and the number of its shared tokens."""
     n = len(tokens)
     need = n - (-(-n * t.numerator // t.denominator)) + 1
-    if len(frequent):
+    bit = (tokens >> np.uint64(64 - SHARED_BITS.bit_length() + 1)).astype(np.int64)
+    tokens = tokens[(shared[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)]
+    need -= n - len(tokens)
+    own = len(tokens)
+    if need <= 0:
+        return tokens[:0], own
+    if len(frequent) and len(tokens):
         cells = (tokens >> np.uint64(32)).astype(np.uint32)
         at = np.minimum(np.searchsorted(frequent, cells), len(frequent) - 1)
         often = frequent[at] == cells
     else:
-        often = np.zeros(n, bool)
+        often = np.zeros(len(tokens), bool)
     rare = tokens[~often]
-    priority = 1000 * len(rare) // n
     if len(rare) >= need:
-        return rare[:need], priority
+        return rare[:need], own
     out, hot = [rare], tokens[often]
     band = int(np.searchsorted(edges, n, side="right")) - 1
     for b in {band, max(band - 1, 0)}:
@@ -96,7 +107,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, t: Fraction, edges: lis
                 break
             out.append(mix(h[:-step][same] * np.uint64(0x9E3779B97F4A7C15) + h[step:][same]) ^ np.uint64((b + 1) * 0x2545F4914F6CDD1D & (1 << 64) - 1))
             step += 1
-    return np.concatenate(out), priority
+    return np.concatenate(out), own
 
 
 def _profile(df: DataFrame, text_col: str, id_col: str, k: int) -> DataFrame:
@@ -141,8 +152,9 @@ def _profile(df: DataFrame, text_col: str, id_col: str, k: int) -> DataFrame:
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def _frequent(profile: DataFrame, bar: int) -> np.ndarray:
-    """The shingle cells in bar sets or more, sorted. At most MAX_FREQUENT, by the choice of bar."""
+def _frequent(profile: DataFrame, bar: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle cells in bar sets or more, sorted, at most MAX_FREQUENT by the choice of bar; the bitmap of cells in two
+    sets or more."""
 
     def merge(table: pa.Table) -> pa.Table:
         cells, counts = np.empty(0, np.uint32), np.empty(0, np.int64)
@@ -157,40 +169,48 @@ def _frequent(profile: DataFrame, bar: int) -> np.ndarray:
             both, weights = both[order], np.concatenate([counts, own])[order]
             starts = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
             cells, counts = both[starts], np.add.reduceat(weights, starts)
-        return pa.table({"cell": pa.array(cells[counts >= bar].astype(np.int64))})
+        span = table.column("span")[0].as_py()
+        bits = np.zeros(SHARED_BITS // RANGES, np.uint8)
+        bits[(cells[counts > 1] >> np.uint32(33 - SHARED_BITS.bit_length())) - span * len(bits)] = 1
+        return pa.table({"span": pa.array([span], pa.int32()), "often": pa.array([cells[counts >= bar].tobytes()]), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()])})
 
-    found = profile.where("kind = 1").select("span", "cells").groupBy("span").applyInArrow(merge, "cell long")
-    return np.sort(found.toArrow().column("cell").to_numpy().astype(np.uint32))
+    found = profile.where("kind = 1").select("span", "cells").groupBy("span").applyInArrow(merge, "span int, often binary, bits binary").toArrow()
+    often, shared = [np.empty(0, np.uint32)], np.zeros(SHARED_BITS // 8, np.uint8)
+    part = len(shared) // RANGES
+    for span, a, b in zip(*(found.column(c).to_pylist() for c in ("span", "often", "bits")), strict=True):
+        often.append(np.frombuffer(a, np.uint32))
+        shared[span * part : (span + 1) * part] = np.frombuffer(b, np.uint8)
+    return np.sort(np.concatenate(often)), shared
 
 
-LIVE = T.StructType([T.StructField(n, T.LongType()) for n in ("sig", "prio", "cls", "n", "lead", "lead_n")])
+LIVE = T.StructType([T.StructField(n, T.LongType()) for n in ("sig", "cls", "n", "own", "lead", "lead_n", "lead_own")])
 
 
 def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by sig, prio and cls: those of buckets of two or more classes, each with its bucket's leader."""
+    """Of rows sorted by sig, leaders first: those of buckets of two or more classes, each with its bucket's leader."""
     held, lead = tuple(np.empty(0, np.int64) for _ in range(4)), None
 
-    def out(rows, leads, sizes):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*rows, leads, sizes)], names=LIVE.fieldNames())
+    def out(rows, leads):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*rows, *leads)], names=LIVE.fieldNames())
 
     def finish(rows, lead):
         """Whole buckets; lead belongs to the first one, if part of it has gone out."""
-        sig, _, cls, n = rows
+        sig = rows[0]
         starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         size = np.diff(np.append(starts, len(sig)))
         bucket = np.repeat(np.arange(len(starts)), size)
-        leads, sizes = cls[starts], n[starts]
+        leads = [x[starts] for x in rows[1:]]
         keep = (size > 1)[bucket]
         if lead is not None and lead[0] == sig[0]:
-            leads, sizes = leads.copy(), sizes.copy()
-            leads[0], sizes[0] = lead[1:]
+            for x, first in zip(leads, lead[1:], strict=True):
+                x[0] = first
             keep |= bucket == 0
         if keep.any():
-            yield out(tuple(x[keep] for x in rows), leads[bucket][keep], sizes[bucket][keep])
+            yield out(tuple(x[keep] for x in rows), [x[bucket][keep] for x in leads])
 
     for batch in batches:
         rows = tuple(np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held))
-        sig, _, cls, _ = rows
+        sig, cls = rows[:2]
         fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])])
         if not fresh.all():  # copies of a class from several tasks
             rows = tuple(x[fresh] for x in rows)
@@ -201,7 +221,7 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, lead = tuple(x[cut:] for x in rows), None
         if len(rows[0]) > 100_000:  # a hot bucket goes out in parts
             if lead is None:
-                lead = (rows[0][0], rows[2][0], rows[3][0])
+                lead = tuple(x[0] for x in rows)
             yield from finish(tuple(x[:-1] for x in rows), lead)
             rows = tuple(x[-1:] for x in rows)
         held = rows
@@ -213,20 +233,21 @@ def _cross(t: Fraction):
     """Of rows sorted by sig and n: the pairs of a bucket in different components whose sizes allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig0, cls, size, comp = None, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        sig0, (cls, size, own, comp) = None, (np.empty(0, np.int64) for _ in range(4))
         for batch in batches:
             found: set[tuple[int, int]] = set()
-            sigs, cs, ns, ks = (batch.column(i).to_numpy() for i in range(4))
+            sigs, *rows = (batch.column(i).to_numpy() for i in range(5))
             starts = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]])) if len(sigs) else []
             for a, b in zip(starts, np.append(starts[1:], len(sigs)) if len(sigs) else [], strict=True):
                 if sigs[a] != sig0:
-                    sig0, cls, size, comp = sigs[a], cs[:0], ns[:0], ks[:0]
+                    sig0, (cls, size, own, comp) = sigs[a], (x[:0] for x in rows)
                 before = len(cls)
-                cls, size, comp = np.concatenate([cls, cs[a:b]]), np.concatenate([size, ns[a:b]]), np.concatenate([comp, ks[a:b]])
+                cls, size, own, comp = (np.concatenate([x, y[a:b]]) for x, y in zip((cls, size, own, comp), rows, strict=True))
                 if len(cls) > before and (comp != comp[0]).any():
                     for i in range(max(before, 1), len(cls)):
                         low = int(np.searchsorted(size, -(-size[i] * t.numerator // t.denominator)))
-                        for j in np.flatnonzero(comp[low:i] != comp[i]) + low:
+                        fits = np.minimum(own[low:i], own[i]) * (t.numerator + t.denominator) >= (size[low:i] + size[i]) * t.numerator
+                        for j in np.flatnonzero(fits & (comp[low:i] != comp[i])) + low:
                             x, y = int(cls[i]), int(cls[j])
                             found.add((max(x, y), min(x, y)))
             if found:
@@ -263,10 +284,10 @@ def similar_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     rows = profile.where("kind = 0").select("doc", "n", "cls")
     total = rows.agg(F.sum("n")).first()[0] or 0
     frequent = spark.sparkContext.broadcast(_frequent(profile, max(frequent_df, -(-total // MAX_FREQUENT))))
-    edges = band_edges(threshold)
+    bounds = np.array(band_edges(threshold))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, often, seen, bounds = Shingler(shingle_words), frequent.value, set(), np.array(edges)
+        shingle, (often, shared_), seen = Shingler(shingle_words), frequent.value, set()
         for batch in batches:
             sigs, meta = [], []
             for text in binary_column(batch, "text"):
@@ -276,18 +297,19 @@ def similar_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
                 c = class_of(tokens)
                 if c not in seen:
                     seen.add(c)
-                    s, prio = signatures(tokens, often, threshold, bounds)
-                    sigs.append(s)
-                    meta.append((len(s), prio, c, len(tokens)))
+                    s, own = signatures(tokens, often, shared_, threshold, bounds)
+                    if len(s):
+                        sigs.append(s)
+                        meta.append((len(s), c, len(tokens), own))
             if len(seen) > CLASSES_SEEN:
                 seen.clear()
             if sigs:
                 counts, *rest = (np.array(x, np.int64) for x in zip(*meta, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), *(pa.array(np.repeat(x, counts)) for x in rest)], names=["sig", "prio", "cls", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), *(pa.array(np.repeat(x, counts)) for x in rest)], names=["sig", "cls", "n", "own"])
 
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = docs.mapInArrow(post, "sig long, prio long, cls long, n long")
-    live = materialize(postings.repartition(n_parts, "sig").sortWithinPartitions("sig", "prio", "cls").mapInArrow(_live, LIVE), "live")
+    postings = docs.mapInArrow(post, "sig long, cls long, n long, own long")
+    live = materialize(postings.repartition(n_parts, "sig").sortWithinPartitions("sig", F.expr("(n - own) * 1000 div n"), "cls", "n").mapInArrow(_live, LIVE), "live")
 
     words = live.select(F.pmod(F.xxhash64("cls"), F.lit(FILTER_BITS)).alias("bit")).select((F.col("bit") / 64).cast("long").alias("w"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
     bits = np.zeros(FILTER_BITS // 64, np.int64)  # of a fixed size; a hit by chance only costs work
@@ -318,13 +340,13 @@ def similar_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     sets = materialize(docs.mapInArrow(gather, "cls long, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens")), "sets")
 
     num, den = threshold.numerator, threshold.denominator
-    fits = (F.col("n") * den >= F.col("lead_n") * num) & (F.col("lead_n") * den >= F.col("n") * num)
+    fits = (F.col("n") * den >= F.col("lead_n") * num) & (F.col("lead_n") * den >= F.col("n") * num) & (F.least("own", "lead_own") * (num + den) >= (F.col("n") + F.col("lead_n")) * num)
     led = live.where((F.col("cls") != F.col("lead")) & fits).select(F.greatest("cls", "lead").alias("a"), F.least("cls", "lead").alias("b")).distinct()
     led = materialize(led, "pairs")
     links = materialize(_verify(led, sets, threshold), "links")
     comps = materialize(connected_components(links), "components")
     label = comps.select(F.col("node").alias("cls"), "component")
-    labelled = live.select("sig", "cls", "n").join(label, "cls", "left").select("sig", "cls", "n", F.coalesce("component", "cls").alias("comp"))
+    labelled = live.select("sig", "cls", "n", "own").join(label, "cls", "left").select("sig", "cls", "n", "own", F.coalesce("component", "cls").alias("comp"))
     crossing = labelled.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
     open_ = labelled.join(crossing, "sig", "left_semi").repartition(n_parts, "sig").sortWithinPartitions("sig", "n")
     rest = open_.mapInArrow(_cross(threshold), "a long, b long").distinct().join(led, ["a", "b"], "left_anti")
