@@ -570,5 +570,44 @@ def _(s, d):
     return rows.select("l_partkey", "l_suppkey", "n", b.bitwiseAND(7).alias("return_number"), F.shiftright(b, 3).bitwiseAND(7).alias("number_of_returns"), F.shiftright(b, 6).bitwiseAND(1).alias("scan_direction"), F.shiftright(b, 7).alias("edge_of_flight_line"), c.bitwiseAND(31).alias("classification"), F.shiftright(c, 5).bitwiseAND(1).alias("synthetic"), F.shiftright(c, 6).bitwiseAND(1).alias("key_point"))
 
 
+# Whole reports and history.
+@query("exact_qa_tolerance", f"WITH {GR}, {CHECKS}, {LOC}, {RES}, c2 AS (SELECT {TOL} AS t FROM res) SELECT count(*) FILTER (t = 'below') AS below, count(*) FILTER (t = 'within') + (SELECT count(*) FROM verts) AS within, count(*) FILTER (t = 'above') AS above, count(*) FILTER (t IS NULL) AS gap FROM c2")
+def _(s, d):
+    from plumbline.operators.surfaces import exact_qa
+
+    v, f, n = _grid(s, d)
+    events = s.read.parquet(f"{d}/events.parquet")
+    checks = events.select((F.col("event_id") + 1).alias("id"), (F.col("user_id") % (n + 2) + 0.25).alias("x"), (F.col("event_id") % (n + 2) + 0.5).alias("y"), F.col("value").alias("z"))
+    return exact_qa(v, f, TG, v, checks, 50.0, 20.0, 1.0).tolerance
+
+
+@query("revert_restores", "SELECT 0 AS differences")
+def _(s, d):
+    p, r = _edited(s, d)
+    one, three = (workspace.snapshot(p, r, n).select("ordinal", F.col("classification").alias(f"c{n}")) for n in (1, 3))
+    return one.join(three, "ordinal").where("c1 <> c3").agg(F.count("*").alias("differences"))
+
+
+_HIST = " UNION ALL ".join(f"SELECT {n} AS seq, classification, count(*) AS points FROM s{n} GROUP BY classification" for n in (1, 2, 3))
+
+
+@query("class_history", f"WITH {PE}, {RR}, " + ", ".join(_SNAP.format(n=n).replace("snap AS", f"s{n} AS", 1) for n in (1, 2, 3)) + f" {_HIST}")
+def _(s, d):
+    p, r = _edited(s, d)
+    out = None
+    for n in (1, 2, 3):
+        one = workspace.snapshot(p, r, n).groupBy("classification").agg(F.count("*").alias("points")).select(F.lit(n).cast("long").alias("seq"), "classification", "points")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("source_record")
+def _(s, d):
+    from plumbline.sources.catalog import verify
+
+    record = verify(views.points_e(s, d), TE, "events").as_dict()
+    return s.createDataFrame([(record["source_id"], record["content_hash"], record["point_count"])], "source_id string, content_hash string, point_count long")
+
+
 QUERIES = Q
 ORACLE_SQL = SQL
