@@ -16,7 +16,7 @@ from plumbline.sources import spans as sp
 from plumbline.streaming import render_state
 
 TE, TL = views.TRANSFORM_E, views.TRANSFORM_L
-BOX_L = Bounds((110.25, -45.5, 1100.0), (300.0, -10.0, 1500.0))
+BOX_L = Bounds((110.25, -50.0, 1000.0), (300.0, -10.0, 30000.0))
 BOX_E = Bounds((10.0, 100000.0, 20.0), (120.0, 2000000.0, 400.0))
 BLOCK = 4096
 SPANS = [(10, 5), (12, 10), (22, 3), (100, 1), (101, 4), (200, 50), (210, 5)]
