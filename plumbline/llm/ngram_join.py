@@ -13,11 +13,12 @@ bar rises with the corpus so that the broadcast set of frequent tokens never exc
 that a bitmap of fixed size, with a bit for all shingles found in two sets or more, doesn't have it. The counts cover every
 shingle of every document; a fuller bitmap or another bar gives the same result, only the work differs.
 
-Size filter. A set of n tokens, s of them shared, overlaps a partner of m tokens by s at most, so s >= t / (1 + t) (n + m)
-must hold for both: a near copy with many tokens of its own meets few partners.
+Size and position filter. If a rare token is the first in order that two sets have in common, either overlaps the other by
+its shared tokens from there on at most (by all its shared tokens, for a pair of frequent ones); this bound must reach
+t / (1 + t) (n + m) for both. A pair that links passes in the bucket of its first common token.
 
 Verification. The buckets of one signature are streamed in order; only buckets of two or more classes live on. First each
-member is compared with the bucket's leader, the member with the least part of unshared tokens, so a large group of near copies costs
+member is compared with the bucket's leader, the member that can overlap most, so a large group of near copies costs
 its size and not its square. Components of these links are found on the executors; then the pairs of each bucket that lie
 in different components are compared exhaustively, so that no link between components is missed. Sets are compared by
 their full 64-bit hashes.
@@ -67,8 +68,8 @@ def band_edges(t: Fraction, top: int = 1 << 40) -> list[int]:
     return edges
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, shared: np.ndarray, t: Fraction, edges: list[int]) -> tuple[np.ndarray, int]:
-    """The signatures of a sorted token set, and the number of its shared tokens."""
+def signatures(tokens: np.ndarray, frequent: np.ndarray, shared: np.ndarray, t: Fraction, edges: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of a sorted token set, and how much it can overlap a partner that it first meets there."""
     n = len(tokens)
     need = n - (-(-n * t.numerator // t.denominator)) + 1
     bit = (tokens >> np.uint64(64 - SHARED_BITS.bit_length() + 1)).astype(np.int64)
@@ -76,7 +77,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, shared: np.ndarray, t:
     need -= n - len(tokens)
     own = len(tokens)
     if need <= 0:
-        return tokens[:0], own
+        return tokens[:0], np.empty(0, np.int64)
     if len(frequent) and len(tokens):
         cells = (tokens >> np.uint64(32)).astype(np.uint32)
         at = np.minimum(np.searchsorted(frequent, cells), len(frequent) - 1)
@@ -85,7 +86,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, shared: np.ndarray, t:
         often = np.zeros(len(tokens), bool)
     rare = tokens[~often]
     if len(rare) >= need:
-        return rare[:need], own
+        return rare[:need], own - np.arange(need)
     out, hot = [rare], tokens[often]
     band = int(np.searchsorted(edges, n, side="right")) - 1
     for b in {band, max(band - 1, 0)}:
@@ -107,7 +108,10 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, shared: np.ndarray, t:
                 break
             out.append(mix(h[:-step][same] * np.uint64(0x9E3779B97F4A7C15) + h[step:][same]) ^ np.uint64((b + 1) * 0x2545F4914F6CDD1D & (1 << 64) - 1))
             step += 1
-    return np.concatenate(out), own
+    out = np.concatenate(out)
+    most = np.full(len(out), own)
+    most[: len(rare)] -= np.arange(len(rare))
+    return out, most
 
 
 def _profile(df: DataFrame, text_col: str, id_col: str, k: int) -> DataFrame:
@@ -183,7 +187,7 @@ def _frequent(profile: DataFrame, bar: int) -> tuple[np.ndarray, np.ndarray]:
     return np.sort(np.concatenate(often)), shared
 
 
-LIVE = T.StructType([T.StructField(n, T.LongType()) for n in ("sig", "cls", "n", "own", "lead", "lead_n", "lead_own")])
+LIVE = T.StructType([T.StructField(n, T.LongType()) for n in ("sig", "cls", "n", "most", "lead", "lead_n", "lead_most")])
 
 
 def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,20 +237,20 @@ def _cross(t: Fraction):
     """Of rows sorted by sig and n: the pairs of a bucket in different components whose sizes allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig0, (cls, size, own, comp) = None, (np.empty(0, np.int64) for _ in range(4))
+        sig0, (cls, size, most, comp) = None, (np.empty(0, np.int64) for _ in range(4))
         for batch in batches:
             found: set[tuple[int, int]] = set()
             sigs, *rows = (batch.column(i).to_numpy() for i in range(5))
             starts = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]])) if len(sigs) else []
             for a, b in zip(starts, np.append(starts[1:], len(sigs)) if len(sigs) else [], strict=True):
                 if sigs[a] != sig0:
-                    sig0, (cls, size, own, comp) = sigs[a], (x[:0] for x in rows)
+                    sig0, (cls, size, most, comp) = sigs[a], (x[:0] for x in rows)
                 before = len(cls)
-                cls, size, own, comp = (np.concatenate([x, y[a:b]]) for x, y in zip((cls, size, own, comp), rows, strict=True))
+                cls, size, most, comp = (np.concatenate([x, y[a:b]]) for x, y in zip((cls, size, most, comp), rows, strict=True))
                 if len(cls) > before and (comp != comp[0]).any():
                     for i in range(max(before, 1), len(cls)):
                         low = int(np.searchsorted(size, -(-size[i] * t.numerator // t.denominator)))
-                        fits = np.minimum(own[low:i], own[i]) * (t.numerator + t.denominator) >= (size[low:i] + size[i]) * t.numerator
+                        fits = np.minimum(most[low:i], most[i]) * (t.numerator + t.denominator) >= (size[low:i] + size[i]) * t.numerator
                         for j in np.flatnonzero(fits & (comp[low:i] != comp[i])) + low:
                             x, y = int(cls[i]), int(cls[j])
                             found.add((max(x, y), min(x, y)))
@@ -289,7 +293,7 @@ def similar_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, (often, shared_), seen = Shingler(shingle_words), frequent.value, set()
         for batch in batches:
-            sigs, meta = [], []
+            sigs, most, meta = [], [], []
             for text in binary_column(batch, "text"):
                 tokens = shingle(text)
                 if len(tokens) < 3:  # only equal sets link
@@ -297,19 +301,20 @@ def similar_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
                 c = class_of(tokens)
                 if c not in seen:
                     seen.add(c)
-                    s, own = signatures(tokens, often, shared_, threshold, bounds)
+                    s, m = signatures(tokens, often, shared_, threshold, bounds)
                     if len(s):
                         sigs.append(s)
-                        meta.append((len(s), c, len(tokens), own))
+                        most.append(m)
+                        meta.append((len(s), c, len(tokens)))
             if len(seen) > CLASSES_SEEN:
                 seen.clear()
             if sigs:
                 counts, *rest = (np.array(x, np.int64) for x in zip(*meta, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), *(pa.array(np.repeat(x, counts)) for x in rest)], names=["sig", "cls", "n", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), *(pa.array(np.repeat(x, counts)) for x in rest), pa.array(np.concatenate(most))], names=["sig", "cls", "n", "most"])
 
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = docs.mapInArrow(post, "sig long, cls long, n long, own long")
-    live = materialize(postings.repartition(n_parts, "sig").sortWithinPartitions("sig", F.expr("(n - own) * 1000 div n"), "cls", "n").mapInArrow(_live, LIVE), "live")
+    postings = docs.mapInArrow(post, "sig long, cls long, n long, most long")
+    live = materialize(postings.repartition(n_parts, "sig").sortWithinPartitions("sig", F.expr("(n - most) * 1000 div n"), "cls", "n").mapInArrow(_live, LIVE), "live")
 
     words = live.select(F.pmod(F.xxhash64("cls"), F.lit(FILTER_BITS)).alias("bit")).select((F.col("bit") / 64).cast("long").alias("w"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
     bits = np.zeros(FILTER_BITS // 64, np.int64)  # of a fixed size; a hit by chance only costs work
@@ -340,13 +345,13 @@ def similar_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     sets = materialize(docs.mapInArrow(gather, "cls long, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens")), "sets")
 
     num, den = threshold.numerator, threshold.denominator
-    fits = (F.col("n") * den >= F.col("lead_n") * num) & (F.col("lead_n") * den >= F.col("n") * num) & (F.least("own", "lead_own") * (num + den) >= (F.col("n") + F.col("lead_n")) * num)
+    fits = (F.col("n") * den >= F.col("lead_n") * num) & (F.col("lead_n") * den >= F.col("n") * num) & (F.least("most", "lead_most") * (num + den) >= (F.col("n") + F.col("lead_n")) * num)
     led = live.where((F.col("cls") != F.col("lead")) & fits).select(F.greatest("cls", "lead").alias("a"), F.least("cls", "lead").alias("b")).distinct()
     led = materialize(led, "pairs")
     links = materialize(_verify(led, sets, threshold), "links")
     comps = materialize(connected_components(links), "components")
     label = comps.select(F.col("node").alias("cls"), "component")
-    labelled = live.select("sig", "cls", "n", "own").join(label, "cls", "left").select("sig", "cls", "n", "own", F.coalesce("component", "cls").alias("comp"))
+    labelled = live.select("sig", "cls", "n", "most").join(label, "cls", "left").select("sig", "cls", "n", "most", F.coalesce("component", "cls").alias("comp"))
     crossing = labelled.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
     open_ = labelled.join(crossing, "sig", "left_semi").repartition(n_parts, "sig").sortWithinPartitions("sig", "n")
     rest = open_.mapInArrow(_cross(threshold), "a long, b long").distinct().join(led, ["a", "b"], "left_anti")
