@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from plumbline.runtime import ship
 WS_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 WS_CHARS = " \t\n\x0b\x0c\r"
+BITMAP_BITS = 1 << 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,3 +57,17 @@ def words_of(text: str | F.Column) -> F.Column:
     c = F.col(text) if isinstance(text, str) else text
     parts = F.split(F.trim(c, F.lit(WS_CHARS)), WS_CLASS + "+")
     return F.when(c.isNull() | (parts[0] == ""), F.array().cast("array<string>")).otherwise(parts)
+
+
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of BITMAP_BITS over the column h: what it lacks is not in the column."""
+    bits = np.zeros(BITMAP_BITS // 64, np.int64)
+    bit = F.expr(f"h & {BITMAP_BITS - 1}L")
+    words = hashes.select(bit.alias("bit")).select(F.expr("bit div 64").alias("w"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    bits[words.column("w").to_numpy()] = words.column("m").to_numpy()
+    return bits.view(np.uint8)
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = (hashes & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
+    return (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)

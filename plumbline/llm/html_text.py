@@ -5,15 +5,16 @@ anything) or out (menus, headers, footers, sidebars, notices, adverts, forms, sc
 everything outside the main zone of a page that has one). Character references are decoded, white space inside a block
 becomes one space, blocks are trimmed and empty ones dropped.
 
-Open blocks need evidence from other pages of the host. The token streams of up to GROUP_PAGES pages of a host are
-concatenated with separators, a suffix array with common-prefix lengths is built over them (prefix doubling in numpy), and
-runs of suffixes that share MIN_TOKENS tokens or more across MIN_PAGES distinct pages mark the tokens they cover. Open
-blocks that are covered to COVERED or more are boilerplate; unique runs stay. A page whose open blocks would all go is a copy of
-other pages and keeps them, but for blocks that are mostly links. Main blocks stay even if other pages repeat them: an
+Open blocks need evidence from other pages of the host. Every run of MIN_TOKENS tokens of the host's pages is counted by the
+distinct pages that hold it, over the whole host; runs on MIN_PAGES pages mark the tokens they cover. Open blocks that are
+covered to COVERED or more are boilerplate; unique runs stay. A page whose open blocks would all go is a copy of other pages
+and keeps them, but for blocks that are mostly links. Main blocks stay even if other pages repeat them: an
 article that several pages carry is still an article.
 
-Pages are range-partitioned by host and page id and streamed, so a host with a third of all pages is dealt over many tasks
-in groups of bounded size (which pages share a group depends on where the ranges end; main blocks don't). Defined results: null and empty html, and pages without main text, give an empty text; a null url
+The counting is exact at any size and independent of how pages are dealt. Pages are read where they lie, and their blocks
+written once. A bitmap of fixed size holds the runs that touch open blocks; groups of a host's pages are counted by a suffix
+array with common-prefix lengths (prefix doubling in numpy), and the groups' counts of runs in the bitmap summed by the
+64-bit hash of host and run. Without open blocks nothing is counted. Defined results: null and empty html, and pages without main text, give an empty text; a null url
 is a host of its own; rows keep their number, repeated rows and null ids included; unclosed and cut-off markup is closed at
 the end; columns of the outputs' names are replaced.
 """
@@ -26,11 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import append_columns
+from plumbline.llm.common import append_columns, bitmap, in_bitmap
+from plumbline.llm.shingles import MEMO_WORDS, mix
+from plumbline.runtime import materialize
 
 GROUP_PAGES, GROUP_TOKENS = 128, 200_000
 MIN_TOKENS, MIN_PAGES, COVERED = 5, 3, 0.8
@@ -172,63 +176,157 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[0], shared]) if n else shared
 
 
-def covered_tokens(streams: list[np.ndarray]) -> np.ndarray:
-    """Which tokens of the concatenated streams lie in a substring that MIN_PAGES streams share."""
-    top = max((int(s.max()) for s in streams if len(s)), default=0) + 1
-    ends = [np.array([top + i]) for i in range(len(streams))]  # separators differ, so nothing spans two pages
-    text = np.concatenate([x for s, e in zip(streams, ends, strict=True) for x in (s, e)])
+class _Runs:
+    """The words' hashes of a page, and those of its runs of MIN_TOKENS words, which differ by host."""
+
+    def __init__(self):
+        self.memo: dict[str, int] = {}
+
+    def __call__(self, host: str, words: str) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        memo, tokens = self.memo, words.split()
+        for w in tokens:
+            if w not in memo:
+                memo[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace"))
+        h = np.fromiter((memo[w] for w in tokens), np.uint64, len(tokens))
+        n = max(0, len(h) - MIN_TOKENS + 1)
+        runs = np.full(n, xxhash.xxh3_64_intdigest(host.encode("utf-8", "replace")), np.uint64)
+        for i in range(MIN_TOKENS if n else 0):
+            runs = mix(runs * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
+        return h, runs
+
+
+def run_pages(streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each distinct suffix beginning of MIN_TOKENS: where it first stands in the streams, each of which is followed by a
+    separator, and the number of streams that hold it. Beginnings may reach over a separator."""
+    tokens = np.unique(np.concatenate(streams), return_inverse=True)[1].astype(np.int64)
+    ends = np.cumsum([len(s) for s in streams])
+    text = np.insert(tokens, ends, len(tokens) + np.arange(len(streams)))  # separators differ, so nothing spans two pages
     page = np.repeat(np.arange(len(streams)), [len(s) + 1 for s in streams])
     order, shared = suffix_array(text)
-    run = np.cumsum(shared < MIN_TOKENS) - 1  # suffixes with a common prefix of MIN_TOKENS
+    first = shared < MIN_TOKENS
+    run = np.cumsum(first) - 1  # suffixes with a common prefix of MIN_TOKENS
     pairs = np.unique(run * len(streams) + page[order])
-    pages_in_run = np.bincount(pairs // len(streams), minlength=run[-1] + 1)
-    hot = pages_in_run[run] >= MIN_PAGES
-    mark = np.zeros(len(text) + 1, np.int64)
-    np.add.at(mark, order[hot], 1)
-    np.add.at(mark, np.minimum(order[hot] + MIN_TOKENS, len(text)), -1)
-    inside = np.cumsum(mark[:-1]) > 0
-    return inside[np.repeat([True, False] * len(streams), [x for s in streams for x in (len(s), 1)])]
-
-
-def group_texts(pages: list[list[Block]]) -> list[str]:
-    """The main texts of pages of one host."""
-    numbers: dict[str, int] = {}
-    streams = [np.array([numbers.setdefault(w, len(numbers)) for b in blocks for w in b[0].split(" ")], np.int64) for blocks in pages]
-    covered = covered_tokens(streams) if sum(map(len, streams)) else np.empty(0, bool)
-    at, texts = 0, []
-    for blocks in pages:
-        keep, spare = [], []
-        for text, zone, links in blocks:
-            n = text.count(" ") + 1
-            share = covered[at : at + n].mean()
-            at += n
-            if zone == MAIN or zone == OPEN and share < COVERED and links < 0.5:
-                keep.append(text)
-                spare.append(text)
-            elif zone == OPEN and links < 0.5:
-                spare.append(text)
-        texts.append("\n".join(keep or spare))
-    return texts
-
-
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    return order[first], np.bincount(pairs // len(streams), minlength=run[-1] + 1)
+
+
+def touching(texts: list[str], zones: list[int], n: int) -> np.ndarray:
+    """Which of a page's n runs touch an open block."""
+    is_open = np.repeat(np.array(zones) == OPEN, [t.count(" ") + 1 for t in texts])
+    upto = np.concatenate([[0], np.cumsum(is_open)])
+    return upto[MIN_TOKENS : MIN_TOKENS + n] > upto[:n]
+
+
+def page_text(texts: list[str], zones: list[int], runs: np.ndarray, hot: list[int]) -> str:
+    """The main text of a page of which the given runs stand on MIN_PAGES pages of its host."""
+    mark = np.zeros(sum(t.count(" ") + 1 for t in texts) + 1, np.int64)
+    at = np.flatnonzero(np.isin(runs.view(np.int64), np.array(hot, np.int64)))
+    np.add.at(mark, at, 1)
+    np.add.at(mark, at + MIN_TOKENS, -1)
+    covered = np.cumsum(mark[:-1]) > 0
+    at, keep, spare = 0, [], []
+    for text, zone in zip(texts, zones, strict=True):
+        n = text.count(" ") + 1
+        if zone == MAIN or zone == OPEN and covered[at : at + n].mean() < COVERED:
+            keep.append(text)
+        if zone != OUTSIDE:
+            spare.append(text)
+        at += n
+    return "\n".join(keep or spare)
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", text_col: str = "text", chars_col: str = "n_chars", keep_html: bool = True) -> DataFrame:
     """Add the main text of each page and its length in code points."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    n = max(1, min(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), pages.count() // (8 * GROUP_PAGES)))  # small hosts are seldom cut
-    dealt = pages.withColumn("__pl_host", host).repartitionByRange(n, "__pl_host", id_col).sortWithinPartitions("__pl_host", id_col)
-    at, host_at = dealt.columns.index(html_col), dealt.columns.index("__pl_host")
+    hosted = pages.withColumn("__pl_host", host)
+    at = hosted.columns.index(html_col)
 
-    def run(batches: Iterator[pa.RecordBatch]):
+    def read(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            hosts, texts, group, size = batch.column(host_at).to_pylist(), [], [], 0
-            for i, page in enumerate(batch.column(at).to_pylist()):
-                if group and (hosts[i] != hosts[i - 1] or len(group) >= GROUP_PAGES or size >= GROUP_TOKENS):
-                    texts += group_texts(group)
-                    group, size = [], 0
-                group.append(read_blocks(page))
-                size += sum(b[0].count(" ") + 1 for b in group[-1])
-            if group:
-                texts += group_texts(group)
+            blocks = [read_blocks(page) for page in batch.column(at).to_pylist()]
+            zones = [[OUTSIDE if z == OPEN and links >= 0.5 else z for _, z, links in page] for page in blocks]
+            yield batch, [["\n".join(b[0] for b in page) for page in blocks], zones]
+
+    fields = [T.StructField("__pl_words", T.StringType()), T.StructField("__pl_zones", T.ArrayType(T.IntegerType()))]
+    blocks = append_columns(hosted, fields, read)
+    blocks = materialize(blocks.drop(text_col, chars_col, *([] if keep_html else [html_col])).withColumn("__pl_row", F.monotonically_increasing_id()), "blocks")
+    is_open = F.array_contains("__pl_zones", OPEN)
+    undecided = blocks.where(is_open).select("__pl_row", "__pl_host", "__pl_words", "__pl_zones")
+
+    def open_runs(bits):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            runs_of = _Runs()
+            for batch in batches:
+                rows, out = [], []
+                for row, at_host, words, zones in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    runs = runs_of(at_host, words)[1]
+                    runs = np.unique(runs[touching(words.split("\n"), zones, len(runs))])
+                    if bits is not None:
+                        runs = runs[in_bitmap(bits.value, runs)]
+                    rows.append(np.full(len(runs), row, np.int64))
+                    out.append(runs.view(np.int64))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(out))], names=["__pl_row", "h"])
+
+        return undecided.mapInArrow(run, "__pl_row long, h long")
+
+    def share(bits: np.ndarray):
+        return pages.sparkSession.sparkContext.broadcast(bits)
+
+    wanted = bitmap(open_runs(None))
+    found = blocks.withColumn("__pl_hot", F.lit(None).cast("array<long>"))
+    if wanted.any():
+        hot = materialize(run_counts(blocks, share(wanted)).where(F.col("n") >= MIN_PAGES).select("h"), "hot-runs")
+        of_row = open_runs(share(bitmap(hot))).join(hot, "h").groupBy("__pl_row").agg(F.collect_list("h").alias("__pl_hot"))
+        found = found.where(~is_open).unionByName(blocks.where(is_open).join(of_row, "__pl_row", "left"))
+    words_at, zones_at, host_at, hot_at = (found.columns.index(f"__pl_{c}") for c in ("words", "zones", "host", "hot"))
+
+    def decide(batches: Iterator[pa.RecordBatch]):
+        runs_of = _Runs()
+        for batch in batches:
+            texts = []
+            for words, zones, at_host, hot in zip(*(batch.column(i).to_pylist() for i in (words_at, zones_at, host_at, hot_at)), strict=True):
+                of_page = words.split("\n") if words else []
+                if hot:
+                    texts.append(page_text(of_page, zones, runs_of(at_host, words)[1], hot))
+                else:
+                    texts.append("\n".join(t for t, z in zip(of_page, zones, strict=True) if z != OUTSIDE))
             yield batch, [texts, [len(t) for t in texts]]
 
-    return append_columns(dealt, [T.StructField(text_col, T.StringType()), T.StructField(chars_col, T.LongType())], run).drop("__pl_host")
+    out = append_columns(found, [T.StructField(text_col, T.StringType()), T.StructField(chars_col, T.LongType())], decide)
+    return out.drop("__pl_host", "__pl_words", "__pl_zones", "__pl_row", "__pl_hot")
+
+
+def run_counts(blocks: DataFrame, wanted) -> DataFrame:
+    """(h, n): how many pages of its host hold each run of the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs_of = _Runs()
+        for batch in batches:
+            hosts: dict[str, list[str]] = {}
+            for at_host, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                hosts.setdefault(at_host, []).append(words)
+            for at_host, pages in hosts.items():
+                group, size = [], 0
+                for words in pages:
+                    group.append(runs_of(at_host, words))
+                    size += len(group[-1][0])
+                    if len(group) >= GROUP_PAGES or size >= GROUP_TOKENS:
+                        yield count(group)
+                        group, size = [], 0
+                yield count(group)
+
+    def count(group: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        group = [(h, runs, in_bitmap(wanted.value, runs)) for h, runs in group]
+        group = [(h, runs, held) for h, runs, held in group if held.any()]
+        keys, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+        if group:
+            first, n = run_pages([h for h, _, _ in group])
+            pad = [np.zeros(len(h) + 1 - len(runs), np.uint64) for h, runs, _ in group]
+            keys = np.concatenate([x for (_, runs, _), z in zip(group, pad, strict=True) for x in (runs, z)])[first]
+            held = np.concatenate([x for (_, _, held), z in zip(group, pad, strict=True) for x in (held, z.astype(bool))])[first]
+            keys, n = keys[held], n[held]
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    return blocks.select("__pl_host", "__pl_words").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))

@@ -145,7 +145,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.html_text import main_text
 
-    return main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+    return main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep_html=False).select("page_id", "url", "text", "n_chars")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -192,6 +192,15 @@ def test_host_boilerplate_goes(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_boilerplate_is_counted_over_the_whole_host(spark):
+    note, rare, every = "we use small files to remember what you like", "two pages alone carry this other short note here", "all of the pages show this line below the text"
+    html = lambda i: "<body>" + "".join(f"<div>{x}</div>" for x in [note] * (i % 150 == 0) + [rare] * (i in (5, 205)) + [every]) + f"<div>{' '.join(f'own{i}x{j}' for j in range(12))}</div></body>"
+    df = spark.createDataFrame([(i, "http://h.example/a", html(i)) for i in range(386)], "page_id long, url string, html string")
+    want = {i: "\n".join([rare] * (i in (5, 205)) + [" ".join(f"own{i}x{j}" for j in range(12))]) for i in range(386)}
+    for dealt in (df.coalesce(1), df.repartition(7)):  # 0, 150 and 300 never share 128 neighbours; 384 and 385 are left over
+        assert {r.page_id: r.text for r in html_text.main_text(dealt).collect()} == want
+
+
 # 7
 def dedup(rows):
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(str.maketrans(line_dedup.A_Z, line_dedup.a_z))
