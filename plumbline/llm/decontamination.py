@@ -3,9 +3,12 @@
 A text becomes a sequence of tokens: words without punctuation at their ends, in lower case; numbers, names (capitalised
 words inside a sentence) and units after a number become typed placeholders. Windows of WINDOW tokens (or the whole item,
 if it is shorter) are hashed and joined with those of the benchmark. Matches of a document and an item are gathered by
-their alignment (position in the document less position in the item); an alignment counts only if its slots are consistent:
-one value of the item never stands for two values of the document. A document is reported for an item when the windows of
-its consistent alignments cover min_share of the item's, so re-parameterised copies are caught along with exact ones.
+their alignment (position in the document less position in the item). A window whose slots equal the item's always counts.
+A re-parameterised window counts only if its slots are consistent with the other re-parameterised windows of its alignment:
+windows with a value of the item that stands for two values of the document there are dropped, and no others. A document is
+reported for an item when the windows that count, of all alignments, cover min_share of the item's, so re-parameterised
+copies are caught along with exact ones, or when VERBATIM_WORDS consecutive words of the item stand in it, whatever their
+share of the item.
 
 Documents are read once. A bitmap of fixed size over the benchmark's window hashes lets through what may match; the equi-join
 is on the full 64-bit hash. The benchmark's windows are broadcast if their number is at most MAX_BROADCAST, else shuffled.
@@ -29,6 +32,7 @@ from plumbline.llm.shingles import MEMO_WORDS, mix
 from plumbline.runtime import materialize, ship
 
 WINDOW, MIN_TOKENS = 8, 5
+VERBATIM_WORDS = 20
 FILTER_BITS = 1 << 25
 MAX_BROADCAST = 200_000
 #: Units that a number may precede.
@@ -153,14 +157,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     matches = found.join(F.broadcast(items) if small else items, "h")
     aligned = matches.groupBy("doc", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.max("n_windows").alias("n_windows"),
-        F.collect_set("item_pos").alias("at"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))))).alias("pairs"),
+        F.max("size").alias("size"),
+        F.collect_set(F.struct("item_pos", F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")).alias("pairs"))).alias("windows"),
     )
-    consistent = aligned.where(F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs"))
-    changed = F.filter("pairs", lambda p: p["a"] != p["b"])
-    total = consistent.groupBy("doc", "item").agg(
+    differs = lambda w: F.exists(w["pairs"], lambda p: p["a"] != p["b"])
+    split = aligned.withColumns({"same": F.filter("windows", lambda w: ~differs(w)), "other": F.filter("windows", differs)})
+    pairs = split.withColumn("pairs", F.array_sort(F.array_distinct(F.flatten("other.pairs"))))  # by the item's value
+    clashes = F.filter("pairs", lambda p, i: (i > 0) & (F.get("pairs", i - 1)["a"] == p["a"]))["a"]
+    good = F.filter("other", lambda w: ~F.arrays_overlap(w["pairs"]["a"], F.col("clashes")))
+    counted = pairs.withColumn("clashes", clashes).withColumn("good", good).withColumn("run", F.array_sort(F.array_distinct("same.item_pos")))
+    step = VERBATIM_WORDS - F.col("size")
+    total = counted.groupBy("doc", "item").agg(
         F.max("n_windows").alias("n_windows"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("at")))).alias("n_matched"),
-        F.size(F.array_distinct(F.flatten(F.collect_set(changed)))).alias("n_changed"),
+        F.size(F.array_distinct(F.flatten(F.collect_set(F.concat("same.item_pos", "good.item_pos"))))).alias("n_matched"),
+        F.size(F.array_distinct(F.flatten(F.collect_set(F.filter(F.flatten("good.pairs"), lambda p: p["a"] != p["b"]))))).alias("n_changed"),
+        F.max(F.exists(F.transform("run", lambda x, i: F.coalesce(F.get("run", i + step) == x + step, F.lit(False))), lambda x: x)).alias("verbatim"),
     )
-    return total.where(F.col("n_matched") >= min_share * F.col("n_windows")).select(F.col("doc").alias(id_col), F.col("item").alias(item_id_col), "n_windows", "n_matched", "n_changed")
+    found = total.where((F.col("n_matched") >= min_share * F.col("n_windows")) & (F.col("n_matched") > 0) | F.col("verbatim"))
+    return found.select(F.col("doc").alias(id_col), F.col("item").alias(item_id_col), "n_windows", "n_matched", "n_changed")

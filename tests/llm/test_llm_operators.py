@@ -253,6 +253,20 @@ def test_contamination(spark):
     assert decontamination.contaminated(nothing(spark), bench).count() == 0 == decontamination.contaminated(docs(spark, texts), bench.limit(0)).count()
 
 
+def test_contamination_keeps_verbatim_windows(spark):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    twice = " ".join(words[:10] + ["12"] + words[10:30] + ["12"] + words[30:40] + ["7"])
+    clash = " ".join(words[:4] + ["12"] + words[4:8] + ["12"] + words[8:40])
+    long = " ".join(words[:59])
+    bench = spark.createDataFrame([(0, twice), (1, clash), (2, long)], "item_id long, text string")
+    texts = [twice.replace("12", "77", 1), clash.replace("12", "77", 1), "so " + " ".join(words[20:40]) + " no", "so " + " ".join(words[20:39]) + " no"]
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.n_matched, r.n_changed) for r in decontamination.contaminated(docs(spark, texts), bench.where("item_id < 2")).collect()}
+    assert got[0, 0] == (36, 36, 1)  # one mention of two changed, but no window holds both
+    assert got[1, 1] == (35, 30, 0)  # the windows with a 12 that are changed clash
+    got = {(r.doc_id, r.item_id): r.n_matched for r in decontamination.contaminated(docs(spark, texts[2:]), bench.where("item_id = 2")).collect()}
+    assert got == {(0, 2): 13}  # 20 words are enough, 19 aren't
+
+
 # 9
 def secrets(t):
     spans = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
