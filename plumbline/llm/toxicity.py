@@ -10,7 +10,9 @@ terms over log2(2 + words); the score is raw / (raw + threshold), with the thres
 and more means toxic.
 
 The training rows are the labelled rows of least hash, at most max_training of them (a documented bound); all rows are
-scored on their whole texts. Defined results: null and empty texts score 0; a text without terms scores 0; without toxic
+scored on their whole texts. The number of beginnings, terms and exceptions has no limit: beginnings are counted on the
+executors, and only terms that pass are collected. Beginnings that too few toxic texts hold are skipped there by a bitmap
+of fixed size; what it lets through is counted exactly. Defined results: null and empty texts score 0; a text without terms scores 0; without toxic
 training rows the lexicon is empty and every score is 0; every row stays, repeated rows and null ids included; columns of
 the outputs' names are replaced.
 """
@@ -26,11 +28,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import append_columns
+from plumbline.llm.common import append_columns, bitmap, in_bitmap
+from plumbline.llm.shingles import MEMO_WORDS
 from plumbline.runtime import materialize, ship
 
 #: Letters of other scripts that look like Latin ones, and digits and symbols read as letters.
@@ -107,6 +111,38 @@ def _beginnings(words: set[str]) -> set[str]:
     return {w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)} | {f"{w}|" for w in words if SHORTEST <= len(w) <= 2 * LONGEST}
 
 
+class _Beginnings:
+    """The beginnings of a text's words; those that a bitmap of hashes lacks are left out."""
+
+    def __init__(self, bits=None):
+        self.bits, self.memo = bits, {}
+
+    def __call__(self, text: str) -> set[str]:
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        words, memo = set(_WORDS.findall(fold(text))), self.memo
+        new = [w for w in words if w not in memo]
+        if self.bits is None:
+            memo.update((w, tuple(_beginnings({w}))) for w in new)
+        elif new:
+            of_word = [tuple(_beginnings({w})) for w in new]
+            held = iter(in_bitmap(self.bits.value, _term_hashes([t for terms in of_word for t in terms])).tolist())
+            memo.update((w, tuple(t for t in terms if next(held))) for w, terms in zip(new, of_word, strict=True))
+        return {t for w in words for t in memo[w]}
+
+
+def _term_hashes(terms: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace")) for t in terms), np.uint64, len(terms))
+
+
+def _hashes(terms: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_term_hashes(batch.column(0).to_pylist()).view(np.int64))], names=["h"])
+
+    return terms.select("term").mapInArrow(run, "h long")
+
+
 def _counts(train: DataFrame, of) -> DataFrame:
     """(term, pos, neg): the training texts of either label for which of(text) has the term, summed in each task first."""
 
@@ -120,9 +156,9 @@ def _counts(train: DataFrame, of) -> DataFrame:
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 sums[label].update(of(text))
-            if len(sums[0]) + len(sums[1]) > 500_000:
-                yield out()
-                sums = {0: Counter(), 1: Counter()}
+                if len(sums[0]) + len(sums[1]) > 500_000:
+                    yield out()
+                    sums = {0: Counter(), 1: Counter()}
         yield out()
 
     return train.mapInArrow(run, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
@@ -155,7 +191,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(few), id_col).select("text", "label")
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_training: int = 50_000, min_texts: int = 3, max_candidates: int = 200_000) -> Lexicon:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_training: int = 50_000, min_texts: int = 3, precision: float = 0.8) -> Lexicon:
     """A lexicon from labelled texts. Leave out of labels the rows that must not be learned from."""
     spark = docs.sparkSession
     ship(spark)
@@ -164,19 +200,17 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos:
         return Lexicon({})
-    words = lambda text: set(_WORDS.findall(fold(text)))
-    found = _counts(train.where("label = 1"), lambda text: _beginnings(words(text))).where(F.col("pos") >= min_texts)
-    candidates = [r[0] for r in found.orderBy(F.desc("pos"), "term").limit(max_candidates).select("term").collect()]
-    shared = spark.sparkContext.broadcast(frozenset(candidates))
-    both = _counts(train, lambda text: shared.value & _beginnings(words(text)))
-    weights = choose_terms([tuple(r) for r in both.collect()], pos, neg)
+    found = materialize(_counts(train.where("label = 1"), _Beginnings()).where(F.col("pos") >= min_texts).select("term"), "toxic-beginnings")
+    shared = spark.sparkContext.broadcast(bitmap(_hashes(found)))
+    passing = _counts(train, _Beginnings(shared)).where((F.col("pos") >= min_texts) & (F.col("pos") >= precision * (F.col("pos") + F.col("neg"))))
+    weights = choose_terms([tuple(r) for r in passing.collect()], pos, neg, precision)
     lexicon = Lexicon(weights)
 
     def around(text: str) -> set[str]:
         folded = fold(text)
         return {p for s, e, _ in lexicon.terms(folded) for p in phrases(folded, s, e)}
 
-    harmless = _counts(train, around).where((F.col("neg") >= min_texts) & (F.col("neg") >= 4 * F.col("pos"))).orderBy(F.desc("neg"), "term").limit(10_000)
+    harmless = _counts(train, around).where((F.col("neg") >= min_texts) & (F.col("neg") >= 4 * F.col("pos")))
     lexicon.exceptions = frozenset(r[0] for r in harmless.collect())
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -153,6 +153,17 @@ def test_lexicon_learns_terms_and_exceptions(spark):
     assert toxicity.learn_lexicon(df, spark.createDataFrame([], "doc_id long, toxic int")).weights == {}
 
 
+def test_lexicon_has_no_limit_of_terms(spark):
+    rnd = random.Random(12)
+    many = " ".join("".join(rnd.choice("abcdefghij") for _ in range(12)) for _ in range(26_000))  # 10 beginnings each
+    phrases = " ".join(f"krotz p{i:05d} ." for i in range(10_500)) + " krotz zlast"
+    texts = [many + " zzugwump"] * 3 + ["a krotz b"] * 17 + [phrases] * 3 + ["plain words"] * 40
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(63)], "doc_id long, toxic int")
+    lexicon = toxicity.learn_lexicon(docs(spark, texts), labels)
+    assert any("zzugwump".startswith(t.rstrip("|")) for t in lexicon.weights)
+    assert "krotz zlast" in lexicon.exceptions and len(lexicon.exceptions) > 10_000
+
+
 # 6
 def test_suffix_array():
     rnd = random.Random(7)
