@@ -5,7 +5,8 @@ assign (a keyword, : or = and a value of 6 or more characters), access (AKIA and
 hex (24 or more of 0-9a-f).
 
 Weak candidates mean nothing alone: identifiers (client_id = ..., user: ...), high-entropy words and endpoints (URLs with a
-service scheme, cloud hosts). They are joined as intervals with the other parts, strong or weak, of their scope: the same
+service scheme, cloud hosts). A high-entropy word has 20 or more characters, without an upper limit, and MIN_ENTROPY bits a
+character if it mixes lower case, upper case and digits, MIN_ENTROPY_TWO if it has only two of them. They are joined as intervals with the other parts, strong or weak, of their scope: the same
 paragraph, at most SCOPE_CHARS code points apart. An identifier is reported if a secret is in its scope, a high-entropy
 word if an identifier or an endpoint is, an endpoint if both are. Parts are sorted once and each scope is found by
 bisection, so the join costs n log n for a document.
@@ -32,7 +33,7 @@ from plumbline.llm.common import append_columns
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SCOPE_CHARS = 400
-MIN_ENTROPY = 3.5
+MIN_ENTROPY, MIN_ENTROPY_TWO = 3.5, 3.75
 
 
 def _either_case(words: str) -> str:
@@ -44,7 +45,7 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{24,}")
 IDENTIFIER = re.compile(r"\b" + "(?:" + _either_case("access_?key(?:_?id)?|client_?id|user(?:name)?|login|account") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@+-]{3,})""")
 ENDPOINT = re.compile(r"(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|s3|ftp|ssh)://[^\s\"'<>]+|[A-Za-z0-9.-]+\.(?:amazonaws\.com|azure\.com|googleapis\.com)")
-SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
 PARAGRAPH = re.compile(r"\n[\x20\t\r]*\n")
 
 Span = tuple[int, int, int]  # start, kind, end
@@ -68,7 +69,7 @@ def _entropy(word: str) -> float:
 
 def _random_like(word: str) -> bool:
     classes = bool(re.search("[a-z]", word)) + bool(re.search("[A-Z]", word)) + bool(re.search("[0-9]", word))
-    return classes == 3 and _entropy(word) >= MIN_ENTROPY
+    return classes >= 2 and _entropy(word) >= (MIN_ENTROPY if classes == 3 else MIN_ENTROPY_TWO)
 
 
 class _Scopes:

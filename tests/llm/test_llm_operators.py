@@ -304,6 +304,16 @@ def test_parts_need_each_other():
     assert kinds(f"client_id = someone\n\nvalue {key}") == [] and kinds(f"client_id = someone {'x ' * 400} {key}") == []
 
 
+def test_secrets_of_any_length_and_two_classes():
+    kinds = lambda t: [secret_scan.KINDS[k] for _, k, _ in sorted(secret_scan.linked_spans(t, secret_scan.base_spans(t)))]
+    rnd = random.Random(10)
+    long = "".join(rnd.choice("abcXYZ0189ghiJKL+/") for _ in range(700))
+    for key in (long[:129], long + "==", "k3v9zq7x1m5w8t2r6y4u0p3n9b7c5j1h"):
+        assert kinds(f"client_id = someone\nvalue {key}") == ["identifier", "secret"], key
+        assert kinds(f"{key} at https://a.example/x") == ["secret"] and kinds(f"value {key} alone") == []
+    assert kinds("client_id = someone\nvalue " + "xy1" * 60) == kinds("client_id = someone\n" + "g" * 300) == kinds(f"client_id = someone\n{long}===") == []
+
+
 # 10
 def components(texts):
     sets = {}
