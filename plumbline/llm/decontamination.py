@@ -1,7 +1,9 @@
 """Benchmark decontamination by canonical templates (operator 8).
 
 A text becomes a sequence of tokens: words without punctuation at their ends, in lower case; numbers, names (capitalised
-words inside a sentence) and units after a number become typed placeholders. Windows of WINDOW tokens (or the whole item,
+words inside a sentence) and units after a number become typed placeholders. The first token of a document's window is taken
+in every reading that its form allows, since what stands before an item is not the item's. Line breaks are white space like
+any other, so re-wrapped copies match. Windows of WINDOW tokens (or the whole item,
 if it is shorter) are hashed and joined with those of the benchmark. Matches of a document and an item are gathered by
 their alignment (position in the document less position in the item). A window whose slots equal the item's always counts.
 A re-parameterised window counts only if its slots are consistent with the other re-parameterised windows of its alignment:
@@ -43,52 +45,53 @@ PLAIN, NUMBER, NAME, UNIT = 0, 1, 2, 3
 _PLACE = np.array([0, 0x1F3D5B79, 0x2E4C6A88, 0x3D5B7997], np.uint64)
 
 
-class _Words:
+class _Words(dict):
     """Numbers the words of a task and holds, for each, its hash and what its form allows."""
 
     def __init__(self):
-        self.clear()
-
-    def clear(self):
-        self.index: dict[str, int] = {}
-        self.rows: list[tuple[int, int, bool, bool]] = []  # hash, kind, titled, ends a sentence
-
-    def __call__(self, word: str) -> int:
-        i = self.index.get(word)
-        if i is None:
-            import xxhash
-
-            bare = word.strip(_STRIP)
-            low = bare.lower()
-            kind = -1 if not bare and not word.strip("%") == "" else NUMBER if _NUMBER.fullmatch(bare) else UNIT if (low or word) in UNITS else PLAIN
-            titled = bare[:1].isupper() and (len(bare) == 1 or not bare[1:].isupper())
-            i = self.index[word] = len(self.rows)
-            self.rows.append((xxhash.xxh3_64_intdigest((low or word).encode("utf-8", "replace")), kind, titled, word.rstrip("\"')»”’")[-1:] in tuple(".!?:")))
+        self.hash, self.kind, self.titled, self.ends = (np.empty(1024, t) for t in (np.uint64, np.int64, bool, bool))
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        bare = word.strip(_STRIP)
+        low = bare.lower()
+        i = len(self)
+        if i == len(self.hash):
+            self.hash, self.kind, self.titled, self.ends = (np.concatenate([x, np.empty_like(x)]) for x in (self.hash, self.kind, self.titled, self.ends))
+        self.hash[i] = xxhash.xxh3_64_intdigest((low or word).encode("utf-8", "replace"))
+        self.kind[i] = -1 if not bare and not word.strip("%") == "" else NUMBER if _NUMBER.fullmatch(bare) else UNIT if (low or word) in UNITS else PLAIN
+        self.titled[i] = bare[:1].isupper() and (len(bare) == 1 or not bare[1:].isupper())
+        self.ends[i] = word.rstrip("\"')»”’")[-1:] in tuple(".!?:")
+        self[word] = i
         return i
 
 
-def canonical(text: str | None, words: _Words) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The tokens as written, their template hashes and their kinds."""
+Readings = tuple[np.ndarray, np.ndarray, np.ndarray]  # position, kind, hash
+
+
+def canonical(text: str | None, words: _Words) -> tuple[list[str], np.ndarray, np.ndarray, Readings]:
+    """The tokens as written, their template hashes and kinds, and the readings that they had after other tokens."""
     raw = (text or "").split()
-    if len(words.rows) > MEMO_WORDS:
+    if len(words) > MEMO_WORDS:
         words.clear()
-    at = [words(w) for w in raw]
-    rows = words.rows
-    h = np.fromiter((rows[i][0] for i in at), np.uint64, len(at))
-    kind = np.fromiter((rows[i][1] for i in at), np.int64, len(at))
-    titled = np.fromiter((rows[i][2] for i in at), bool, len(at))
-    ends = np.fromiter((rows[i][3] for i in at), bool, len(at))
-    keep = kind >= 0
+    at = np.fromiter(map(words.__getitem__, raw), np.int64, len(raw))
+    h, form, titled, ends = words.hash[at], words.kind[at], words.titled[at], words.ends[at]
+    keep = form >= 0
     if not keep.all():
         raw = [w for w, k in zip(raw, keep, strict=True) if k]
-        h, kind, titled, ends = h[keep], kind[keep], titled[keep], ends[keep]
+        h, form, titled, ends = h[keep], form[keep], titled[keep], ends[keep]
+    kind, plain = form, h
     if len(h):
-        before_number = np.concatenate([[False], kind[:-1] == NUMBER])
+        before_number = np.concatenate([[False], form[:-1] == NUMBER])
         inside = np.concatenate([[False], ~ends[:-1]])
         kind = np.where((kind == UNIT) & ~before_number, PLAIN, kind)
         kind = np.where((kind == PLAIN) & titled & inside, NAME, kind)
         h = np.where(kind == PLAIN, h, _PLACE[kind])
-    return raw, h, kind
+    others = [np.flatnonzero(may & (kind != k)) for k, may in ((PLAIN, form != NUMBER), (NAME, titled & (form != NUMBER)), (UNIT, form == UNIT))]
+    first = np.repeat([PLAIN, NAME, UNIT], [len(x) for x in others])
+    where = np.concatenate(others)
+    return raw, h, kind, (where, first, np.where(first == PLAIN, plain[where], _PLACE[first]))
 
 
 def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
@@ -101,8 +104,19 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _slots(raw: list[str], kind: np.ndarray, at: int, size: int) -> list[str]:
-    return [raw[j].strip(_STRIP).lower() for j in range(at, at + size) if kind[j] != PLAIN]
+def reread_hashes(h: np.ndarray, size: int, others: Readings) -> Readings:
+    """The windows that begin with a token in another reading, as its kind and the window's hash."""
+    held = others[0] <= len(h) - size
+    at, first, token = (x[held] for x in others)
+    out = np.full(len(at), size, np.uint64)
+    for i in range(size):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + (h[at + i] if i else token))
+    return at, first, out
+
+
+def _slots(raw: list[str], kind: np.ndarray, at: int, size: int, first: int | None = None) -> list[str]:
+    """The values of a window's slots; first is the kind of its first token where it isn't that of kind."""
+    return [raw[j].strip(_STRIP).lower() for j in range(at, at + size) if (kind[j] if first is None or j > at else first) != PLAIN]
 
 
 ITEM_WINDOWS = T.StructType([T.StructField("h", T.LongType()), T.StructField("item", T.LongType()), T.StructField("item_pos", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("n_windows", T.IntegerType()), T.StructField("item_slots", T.ArrayType(T.StringType()))])
@@ -114,7 +128,7 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             out = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw, h, kind = canonical(text, words)
+                raw, h, kind, _ = canonical(text, words)
                 if item is None or len(h) < MIN_TOKENS:
                     continue
                 size = min(WINDOW, len(h))
@@ -139,17 +153,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held = _Words(), shared.value
+
+        def in_filter(x: np.ndarray) -> np.ndarray:
+            bit = (x & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+            return held[bit >> 3] >> (bit & 7).astype(np.uint8) & 1
+
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if doc is None or not text:
                     continue
-                raw, h, kind = canonical(text, known)
+                raw, h, kind, others = canonical(text, known)
                 for size in sizes:
                     x = window_hashes(h, size)
-                    bit = (x & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-                    for i in np.flatnonzero(held[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).tolist():
+                    for i in np.flatnonzero(in_filter(x)).tolist():
                         out.append((int(x[i : i + 1].view(np.int64)[0]), doc, i, _slots(raw, kind, i, size)))
+                    at, first, x = reread_hashes(h, size, others)
+                    for i in np.flatnonzero(in_filter(x)).tolist():
+                        out.append((int(x[i : i + 1].view(np.int64)[0]), doc, int(at[i]), _slots(raw, kind, int(at[i]), size, int(first[i]))))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())])], names=["h", "doc", "pos", "slots"])
 
     found = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "h long, doc long, pos long, slots array<string>")

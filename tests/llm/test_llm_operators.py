@@ -278,6 +278,14 @@ def test_contamination_keeps_verbatim_windows(spark):
     assert got == {(0, 2): 13}  # 20 words are enough, 19 aren't
 
 
+def test_contamination_whatever_stands_before_an_item(spark):
+    items = ["What is the capital of France?", "Minutes pass like slow wide rivers", "Where do the Berlin trams stop when it rains at night"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"Question 12\n{items[0]}", f"a heading {items[0]}", f"Part 5\n{items[1]}", f"see the {items[2]}".replace(" trams", "\ntrams"), f"and so on\n{items[0]} {items[1]}", "What is the capital of a state"]
+    got = {(r.doc_id, r.item_id): (r.n_matched, r.n_changed) for r in decontamination.contaminated(docs(spark, texts), bench).collect()}
+    assert got == {(0, 0): (1, 0), (1, 0): (1, 0), (2, 1): (1, 0), (3, 2): (4, 0), (4, 0): (1, 0), (4, 1): (1, 0)}
+
+
 # 9
 def secrets(t):
     spans = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
