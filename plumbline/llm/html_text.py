@@ -2,8 +2,9 @@
 
 A page is read into blocks, in page order, each with its zone: main (inside article, main or role=main), open (no zone says
 anything) or out (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments, and
-everything outside the main zone of a page that has one). Character references are decoded, white space inside a block
-becomes one space, blocks are trimmed and empty ones dropped.
+everything outside the main zone of a page that has one). Class, id and role count by whole tokens, never on html and body. A
+main zone inside an out element, or itself named as one, is main if the page has no other main text. Character references
+are decoded, white space inside a block becomes one space, blocks are trimmed and empty ones dropped.
 
 Open blocks need evidence from other pages of the host. Every run of MIN_TOKENS tokens of the host's pages is counted by the
 distinct pages that hold it, over the whole host; runs on MIN_PAGES pages mark the tokens they cover. Open blocks that are
@@ -45,13 +46,16 @@ OUT = frozenset("nav footer aside form dialog menu button head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption option".split())
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
-OUT_WORDS = re.compile(r"(?<![a-z])(?:ads?|advert(?:s|isement|ising)?|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notice|newsletter|subscribe|sidebar|side-bar|menu|nav(?:bar|igation)?|breadcrumbs?|footer|masthead|site-header|page-header|comments?|disqus|respond|share|sharing|social|related|popup|modal|widget|login|search)(?![a-z])")
+_OUT_WORD = r"(?:ads?|advert(?:s|isement|ising)?|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notice|newsletter|subscribe|sidebar|side-bar|menu|nav(?:bar|igation)?|breadcrumbs?|footer|masthead|site-header|page-header|comments?|disqus|respond|share|sharing|social|related|popup|modal|widget|login|search)"
+_PART = r"(?:area|article|bar|block|blog|bottom|box|container|entry|form|global|inner|item|left|links?|list|main|mobile|outer|page|post|primary|right|secondary|section|site|slot|top|unit|wrap(?:per)?|[0-9]+(?:x[0-9]+)?)"
+OUT_WORDS = re.compile(rf"(?:{_PART}[-_]+)*{_OUT_WORD}(?:[-_]+(?:{_PART}|{_OUT_WORD}))*")  # for whole tokens of a class, id or role
+NEVER_OUT = frozenset("html body".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 _ROLE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _MAIN_ROLE = re.compile(r"""\brole\s*=\s*["']?main\b""", re.I)
 
-MAIN, OPEN, OUTSIDE = 0, 1, 2
+MAIN, OPEN, OUTSIDE, SHADED = 0, 1, 2, 3
 Block = tuple[str, int, float]  # text, zone, share of link characters
 
 
@@ -60,25 +64,25 @@ def read_blocks(page: str | None) -> list[Block]:
     if not page:
         return []
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, is out, is main
+    stack: list[tuple[str, bool, bool, int]] = []  # element, is out, is main, how many out elements held the zone around it
     parts: list[str] = []
     linked = 0
     in_link = False
-    out = main = 0
+    out = main = shade = 0  # shade: the out elements around the main zone that is open
     any_main = False
 
     def flush():
         nonlocal linked
         text = " ".join(html_lib.unescape("".join(parts)).split())
         if text:
-            zone = OUTSIDE if out else MAIN if main else OPEN
+            zone = OUTSIDE if out > shade else MAIN if main and not shade else SHADED if main else OPEN
             blocks.append((text, zone, linked / max(1, len(text))))
         parts.clear()
         linked = 0
 
     def pop():
-        nonlocal out, main
-        _, was_out, was_main = stack.pop()
+        nonlocal out, main, shade
+        _, was_out, was_main, shade = stack.pop()
         out -= was_out
         main -= was_main
 
@@ -124,11 +128,10 @@ def read_blocks(page: str | None) -> list[Block]:
                     pop()
                 pop()
             continue
-        roles = " ".join(_ROLE.findall(attributes)).lower() if attributes else ""
+        roles = " ".join(v.strip("\"'") for v in _ROLE.findall(attributes)).lower() if attributes else ""
         is_main = name in ("article", "main") or bool(attributes and _MAIN_ROLE.search(attributes))
-        is_out = name in OUT or name == "header" and not main or bool(roles and OUT_WORDS.search(roles))
-        if is_out and is_main and not OUT_WORDS.search(roles):
-            is_out = False
+        named_out = name not in NEVER_OUT and any(map(OUT_WORDS.fullmatch, roles.split()))
+        is_out = named_out or not is_main and (name in OUT or name == "header" and not main)
         if name not in BLOCK and not is_out:
             continue
         if name in BLOCK:
@@ -136,16 +139,19 @@ def read_blocks(page: str | None) -> list[Block]:
                 pop()
             if name in SELF_CLOSING and stack and stack[-1][0] == name:
                 pop()
-        if is_main and not is_out:
+        if is_main:
             while stack and any(e[1] and e[0] in ("nav", "header", "head", "menu") for e in stack):
                 pop()  # it was left open
             any_main = True
-        stack.append((name, is_out, is_main and not is_out))
+        stack.append((name, is_out, is_main, shade))
         out += is_out
-        main += is_main and not is_out
+        main += is_main
+        if is_main:
+            shade = out
     flush()
     if any_main:
-        blocks = [(t, OUTSIDE if z == OPEN else z, s) for t, z, s in blocks]
+        zones = {OPEN: OUTSIDE, SHADED: OUTSIDE if any(z == MAIN for _, z, _ in blocks) else MAIN}
+        blocks = [(t, zones.get(z, z), s) for t, z, s in blocks]
     return blocks
 
 

@@ -189,6 +189,16 @@ def test_article_and_cut_markup():
     assert main("<article><p title='a>b'>x</p><p>1 < 2</p></article>") == ["x", "1 < 2"]
 
 
+def test_wrappers_do_not_hide_the_article():
+    main = lambda h: [t for t, z, _ in html_text.read_blocks(h) if z == html_text.MAIN]
+    text = "<p>a text</p><div class='ad'>buy</div><aside>side</aside>"
+    for page in ("<body class='has-sidebar'><article>{}</article>", "<body class='sidebar'><main>{}</main>", "<div id='page' class='nav-open'><article>{}</article></div>", "<article class='post comments-open'>{}</article>", "<div class='widget'><div role=main>{}</div></div>", "<body><article class='comments'>{}</article>", "<div class='modal'><div class='social'><article>{}</article></div></div><p>x</p>"):
+        assert main(page.format(text)) == ["a text"], page
+    assert main(f"<article>{text}</article><div id='comments'><article><p>nice</p></article></div><aside><article>more</article></aside>") == ["a text"]
+    zone = lambda c: html_text.read_blocks(f"<div class='{c}'>x</div>")[0][1]
+    assert [zone(c) for c in ("ad", "x footer-links", "cookie-banner", "has-sidebar", "nav-open", "post comments-open")] == [2, 2, 2, 1, 1, 1]
+
+
 def test_host_boilerplate_goes(spark):
     note = "we use small files to remember what you like"
     html = lambda i: f"<html><body><div>{note}</div><div>{' '.join(f'own{i}x{j}' for j in range(30))}</div></body></html>"
