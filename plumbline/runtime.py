@@ -6,12 +6,14 @@ import atexit
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = os.path.dirname(os.path.abspath(__file__))
 _shipped: set[str] = set()
+_written: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -58,4 +60,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = (weakref.ref(out, lambda _, key=id(out): _written.pop(key, None)), path)
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables of materialize that nothing will read again."""
+    for df in written:
+        held = _written.pop(id(df), None)
+        if held:
+            _remove(df.sparkSession, held[1])
