@@ -19,9 +19,14 @@ t / (1 + t) (n + m) for both. A pair that links passes in the bucket of its firs
 
 Verification. The buckets of one signature are streamed in order; only buckets of two or more classes live on. First each
 member is compared with the bucket's leader, the member that can overlap most, so a large group of near copies costs
-its size and not its square. Components of these links are found on the executors; then the pairs of each bucket that lie
-in different components are compared exhaustively, so that no link between components is missed. Sets are compared by
-their full 64-bit hashes.
+its size and not its square. Components of these links are found on the executors. A bucket that then spans several
+components is open: its pairs of different components are first ruled out by parity sketches. A set's sketch has a bit for
+each of 2^k cells, set if an odd number of its tokens falls there; the sketches of two sets differ in as many bits as their
+symmetric difference has tokens at most, and a link allows (1 - t) / (1 + t) (n + m) of those at most, so ruling out loses
+nothing. Of the pairs that stay, each member's nearest one is verified and the components joined; then all that stay
+between different components are verified. Open buckets with the same members count once, and those of over BLOCK
+members are dealt out as pairs of blocks, so that a task holds two blocks at most. Sets are compared by their full 64-bit
+hashes.
 
 Defined results: a text without words has the empty set and links with nothing; null ids stay as rows and take no part;
 rows of one id each link by their own text. See also shingles.py.
@@ -42,10 +47,10 @@ from pyspark.sql import types as T
 from plumbline.llm.common import binary_column
 from plumbline.llm.components import connected_components
 from plumbline.llm.shingles import Shingler, mix
-from plumbline.runtime import materialize, ship
+from plumbline.runtime import discard, materialize, ship
 
-MAX_FREQUENT = 1_000_000
-RANGES = 256
+MAX_FREQUENT = 4_000_000
+RANGES = 1024
 #: Bits of the map of shared shingles.
 SHARED_BITS = 1 << 27
 #: Cells a task gathers before it packs them.
@@ -53,6 +58,11 @@ CELLS_AT_ONCE = 4_000_000
 #: Bits of the filter over classes that have a partner to be compared with.
 FILTER_BITS = 1 << 25
 CLASSES_SEEN = 200_000
+#: Members of a block of an open bucket; bytes of the sketches that are compared at once.
+BLOCK = 2_000
+AT_ONCE = 1 << 21
+#: Powers of two that bound a sketch's bits.
+SKETCH_LEAST, SKETCH_MOST = 8, 15
 
 
 def class_of(tokens: np.ndarray) -> int:
@@ -158,32 +168,54 @@ def _profile(df: DataFrame, text_col: str, id_col: str, k: int) -> DataFrame:
 
 def _frequent(profile: DataFrame, bar: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingle cells in bar sets or more, sorted, at most MAX_FREQUENT by the choice of bar; the bitmap of cells in two
-    sets or more."""
-
-    def merge(table: pa.Table) -> pa.Table:
-        cells, counts = np.empty(0, np.uint32), np.empty(0, np.int64)
-        for blob in table.column("cells").to_pylist():
-            n = int.from_bytes(blob[:4], "little")
-            x = np.frombuffer(zlib.decompress(blob[4:]), np.uint32)
-            often, q = np.split(x[n:], 2)
-            own = np.ones(n, np.int64)
-            own[often] = q
-            both = np.concatenate([cells, np.cumsum(x[:n], dtype=np.uint32)])
-            order = np.argsort(both, kind="stable")
-            both, weights = both[order], np.concatenate([counts, own])[order]
-            starts = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-            cells, counts = both[starts], np.add.reduceat(weights, starts)
-        span = table.column("span")[0].as_py()
+    sets or more. A task holds the distinct cells of one range at a time."""
+
+    def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+        n = int.from_bytes(blob[:4], "little")
+        x = np.frombuffer(zlib.decompress(blob[4:]), np.uint32)
+        often, q = np.split(x[n:], 2)
+        own = np.ones(n, np.int64)
+        own[often] = q
+        return np.cumsum(x[:n], dtype=np.uint32), own
+
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        cells, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(cells, kind="stable")
+        cells, counts = cells[order], counts[order]
+        starts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+        return cells[starts], np.add.reduceat(counts, starts)
+
+    def finish(span: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        cells, counts = summed(parts)
         bits = np.zeros(SHARED_BITS // RANGES, np.uint8)
         bits[(cells[counts > 1] >> np.uint32(33 - SHARED_BITS.bit_length())) - span * len(bits)] = 1
-        return pa.table({"span": pa.array([span], pa.int32()), "often": pa.array([cells[counts >= bar].tobytes()]), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()])})
+        return pa.RecordBatch.from_arrays([pa.array([span], pa.int32()), pa.array([cells[counts >= bar].tobytes()]), pa.array([np.packbits(bits, bitorder="little").tobytes()])], names=["span", "often", "bits"])
 
-    found = profile.where("kind = 1").select("span", "cells").groupBy("span").applyInArrow(merge, "span int, often binary, bits binary").toArrow()
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows sorted by span; the parts of a span are summed whenever they have doubled."""
+        at, parts, size, floor = None, [], 0, 0
+        for batch in batches:
+            for span, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if span != at:
+                    if parts:
+                        yield finish(at, parts)
+                    at, parts, size, floor = span, [], 0, 0
+                parts.append(unpack(blob.as_py()))
+                size += len(parts[-1][0])
+                if size > 2 * floor + 100_000:
+                    parts = [summed(parts)]
+                    size = floor = len(parts[0][0])
+        if parts:
+            yield finish(at, parts)
+
+    n_parts = int(profile.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = profile.where("kind = 1").select("span", "cells").repartition(n_parts, "span").sortWithinPartitions("span")
+    found = cells.mapInArrow(merge, "span int, often binary, bits binary").toArrow()
     often, shared = [np.empty(0, np.uint32)], np.zeros(SHARED_BITS // 8, np.uint8)
     part = len(shared) // RANGES
-    for span, a, b in zip(*(found.column(c).to_pylist() for c in ("span", "often", "bits")), strict=True):
-        often.append(np.frombuffer(a, np.uint32))
-        shared[span * part : (span + 1) * part] = np.frombuffer(b, np.uint8)
+    for span, a, b in zip(found.column("span").to_pylist(), found.column("often"), found.column("bits"), strict=True):
+        often.append(np.frombuffer(a.as_buffer(), np.uint32))
+        shared[span * part : (span + 1) * part] = np.frombuffer(b.as_buffer(), np.uint8)
     return np.sort(np.concatenate(often)), shared
 
 
@@ -233,29 +265,75 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from finish(held, lead)
 
 
-def _cross(t: Fraction):
-    """Of rows sorted by sig and n: the pairs of a bucket in different components whose sizes allow a link."""
+def parity_sketch(tokens: np.ndarray) -> bytes:
+    """A bit for each of 2^k cells, at least twice as many as tokens if SKETCH_MOST allows it: the parity of its tokens."""
+    cells = 1 << min(max((2 * len(tokens) - 1).bit_length(), SKETCH_LEAST), SKETCH_MOST)
+    counts = np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def open_pairs(cls: np.ndarray, size: np.ndarray, comp: np.ndarray, part: np.ndarray | None, sketches: list[bytes], t: Fraction, nearest: bool) -> set[tuple[int, int]]:
+    """The pairs of different components (and parts) that sizes and sketches don't rule out; nearest: one for each member
+    and sketch size, the one whose sketch differs least."""
+    found: set[tuple[int, int]] = set()
+    width = np.array([len(x) for x in sketches])
+    by_width = {w: (at, np.frombuffer(b"".join(sketches[i] for i in at), np.uint64).reshape(len(at), -1)) for w in np.unique(width) for at in [np.flatnonzero(width == w)]}
+    num, den = t.numerator, t.denominator
+    for w, (rows, own) in by_width.items():
+        while True:
+            if w in by_width:
+                others, theirs = by_width[w]
+                step = max(1, AT_ONCE // (int(w) * len(others)))
+                for a in range(0, len(rows), step):
+                    at = rows[a : a + step]
+                    both = size[at][:, None] + size[others][None]
+                    may = (comp[at][:, None] != comp[others][None]) & (np.minimum(size[at][:, None], size[others][None]) * den >= np.maximum(size[at][:, None], size[others][None]) * num)
+                    if part is not None:
+                        may &= part[at][:, None] != part[others][None]
+                    if not may.any():
+                        continue
+                    differ = np.bitwise_count(own[a : a + step][:, None] ^ theirs[None]).sum(axis=2, dtype=np.int64)
+                    may &= differ * (den + num) <= both * (den - num)
+                    if nearest:
+                        i = np.flatnonzero(may.any(axis=1))
+                        j = np.where(may, differ, 1 << 40)[i].argmin(axis=1)
+                    else:
+                        i, j = np.nonzero(may)
+                    x, y = cls[at[i]], cls[others[j]]
+                    found.update(zip(np.maximum(x, y).tolist(), np.minimum(x, y).tolist(), strict=True))
+            if w <= (1 << SKETCH_LEAST) // 8:
+                break
+            half = own.shape[1] // 2  # folded to the next smaller size
+            w, own = w // 2, own[:, :half] ^ own[:, half:]
+    return found
+
+
+def _cross(t: Fraction, nearest: bool):
+    """Of rows (sig, i, j, part, cls, n, comp, sketch) sorted by the first three: the open pairs of each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig0, (cls, size, most, comp) = None, (np.empty(0, np.int64) for _ in range(4))
+        held: pa.Table | None = None
+
+        def pairs(table: pa.Table) -> pa.RecordBatch:
+            sig, i, j, part, cls, size, comp = (table.column(c).to_numpy() for c in range(7))
+            sketches, found = table.column(7).to_pylist(), set()
+            starts = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(sig)], strict=True):
+                if b - a > 1:
+                    found |= open_pairs(cls[a:b], size[a:b], comp[a:b], part[a:b] if i[a] != j[a] else None, sketches[a:b], t, nearest)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(2)], names=["a", "b"])
+
         for batch in batches:
-            found: set[tuple[int, int]] = set()
-            sigs, *rows = (batch.column(i).to_numpy() for i in range(5))
-            starts = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]])) if len(sigs) else []
-            for a, b in zip(starts, np.append(starts[1:], len(sigs)) if len(sigs) else [], strict=True):
-                if sigs[a] != sig0:
-                    sig0, (cls, size, most, comp) = sigs[a], (x[:0] for x in rows)
-                before = len(cls)
-                cls, size, most, comp = (np.concatenate([x, y[a:b]]) for x, y in zip((cls, size, most, comp), rows, strict=True))
-                if len(cls) > before and (comp != comp[0]).any():
-                    for i in range(max(before, 1), len(cls)):
-                        low = int(np.searchsorted(size, -(-size[i] * t.numerator // t.denominator)))
-                        fits = np.minimum(most[low:i], most[i]) * (t.numerator + t.denominator) >= (size[low:i] + size[i]) * t.numerator
-                        for j in np.flatnonzero(fits & (comp[low:i] != comp[i])) + low:
-                            x, y = int(cls[i]), int(cls[j])
-                            found.add((max(x, y), min(x, y)))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+            held = pa.concat_tables([held, pa.table(batch)]) if held is not None else pa.table(batch)
+            if not held.num_rows:
+                continue
+            key = [held.column(c).to_numpy() for c in range(3)]
+            cut = int(np.flatnonzero(np.logical_and.reduce([k == k[-1] for k in key]))[0])  # the last cell may go on
+            if cut:
+                yield pairs(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield pairs(held)
 
     return run
 
@@ -279,7 +357,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     return own.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("v")), "b").select("a", "b", "u", "v").mapInArrow(run, "a long, b long")
 
 
-def similar_components(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle_words: int = 5, threshold: Fraction = Fraction(3, 4), frequent_df: int = 32) -> DataFrame:
+def similar_components(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle_words: int = 5, threshold: Fraction = Fraction(3, 4), frequent_df: int = 64) -> DataFrame:
     """(id_col, n_shingles, component_id) of each row; a component is named by its least id."""
     spark = df.sparkSession
     ship(spark)
@@ -327,7 +405,7 @@ def similar_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
 
         shingle, held, seen = Shingler(shingle_words), shared.value, set()
         for batch in batches:
-            classes, blobs = [], []
+            classes, blobs, sketches = [], [], []
             for text in binary_column(batch, "text"):
                 tokens = shingle(text)
                 if len(tokens) < 3:
@@ -338,26 +416,48 @@ def similar_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
                     seen.add(c)
                     classes.append(c)
                     blobs.append(tokens.tobytes())
+                    sketches.append(parity_sketch(tokens))
             if len(seen) > CLASSES_SEEN:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(blobs, pa.binary())], names=["cls", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(blobs, pa.binary()), pa.array(sketches, pa.binary())], names=["cls", "tokens", "sketch"])
 
-    sets = materialize(docs.mapInArrow(gather, "cls long, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens")), "sets")
+    sets = materialize(docs.mapInArrow(gather, "cls long, tokens binary, sketch binary").groupBy("cls").agg(F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "sets")
 
     num, den = threshold.numerator, threshold.denominator
     fits = (F.col("n") * den >= F.col("lead_n") * num) & (F.col("lead_n") * den >= F.col("n") * num) & (F.least("most", "lead_most") * (num + den) >= (F.col("n") + F.col("lead_n")) * num)
     led = live.where((F.col("cls") != F.col("lead")) & fits).select(F.greatest("cls", "lead").alias("a"), F.least("cls", "lead").alias("b")).distinct()
-    led = materialize(led, "pairs")
-    links = materialize(_verify(led, sets, threshold), "links")
-    comps = materialize(connected_components(links), "components")
-    label = comps.select(F.col("node").alias("cls"), "component")
-    labelled = live.select("sig", "cls", "n", "most").join(label, "cls", "left").select("sig", "cls", "n", "most", F.coalesce("component", "cls").alias("comp"))
-    crossing = labelled.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-    open_ = labelled.join(crossing, "sig", "left_semi").repartition(n_parts, "sig").sortWithinPartitions("sig", "n")
-    rest = open_.mapInArrow(_cross(threshold), "a long, b long").distinct().join(led, ["a", "b"], "left_anti")
-    more = materialize(_verify(rest, sets, threshold), "links")
-    if more.limit(1).count():
-        comps = connected_components(links.unionByName(more))
-    members = rows.join(comps.select(F.col("node").alias("cls"), "component"), "cls", "left").select("doc", "n", "cls", F.coalesce("component", "cls").alias("comp"))
-    least = members.where("n > 0").groupBy("comp").agg(F.min("doc").alias("least"))
-    return members.join(least, "comp", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("component_id"))
+    links = materialize(_verify(materialize(led, "pairs"), sets, threshold), "links")
+    comps = connected_components(links)
+    members = live.select("sig", "cls", "n")
+    for nearest in (True, False):
+        open_ = materialize(_open(members, comps, sets), "open")
+        cells = open_.repartition(n_parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+        pairs = materialize(cells.mapInArrow(_cross(threshold, nearest), "a long, b long").distinct(), "pairs")
+        more = materialize(_verify(pairs, sets, threshold), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            comps = connected_components(links)
+        members = open_.where("i = part and j = part").select("sig", "cls", "n")
+        discard(pairs)
+
+    least = rows.where("n > 0").groupBy("cls").agg(F.min("doc").alias("least"))
+    least = materialize(least.join(comps.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "least", F.coalesce("component", "cls").alias("comp")), "least")
+    named = materialize(least.groupBy("comp").agg(F.min("least").alias("least")), "named")
+    of_class = materialize(least.select("cls", "comp").join(named, "comp").select("cls", "least"), "names")
+    discard(live, sets, least, named)
+    frequent.unpersist()
+    shared.unpersist()
+    return rows.join(of_class, "cls", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id"))
+
+
+def _open(members: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members (sig, cls, n) of buckets of several components, dealt out to cells (sig, i, j): a bucket's blocks i and j,
+    of which a member's own is part. Of buckets with the same members, one stays."""
+    label = comps.select(F.col("node").alias("cls"), F.col("component").alias("comp"))
+    labelled = members.join(label, "cls", "left").select("sig", "cls", "n", F.coalesce("comp", "cls").alias("comp"))
+    buckets = labelled.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("h"), F.sum(F.shiftright(F.xxhash64(F.lit(7), "cls"), 28)).alias("g"))
+    once = buckets.where("lo <> hi").groupBy("size", "h", "g").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    part = F.pmod(F.xxhash64(F.lit(11), "cls"), F.col("blocks")).cast("int")
+    dealt = labelled.join(once, "sig").withColumn("part", part).join(sets.select("cls", "sketch"), "cls")
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return other.select("sig", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "cls", "n", "comp", "sketch")
