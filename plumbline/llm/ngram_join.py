@@ -26,7 +26,8 @@ symmetric difference has tokens at most, and a link allows (1 - t) / (1 + t) (n
 nothing. Of the pairs that stay, each member's nearest one is verified and the components joined; then all that stay
 between different components are verified. Open buckets with the same members count once, and those of over BLOCK
 members are dealt out as pairs of blocks, so that a task holds two blocks at most. Sets are compared by their full 64-bit
-hashes.
+hashes. A pair meets in many buckets; it is skipped where the FIRST_SIGS least open signatures of both members show an
+earlier one.
 
 Defined results: a text without words has the empty set and links with nothing; null ids stay as rows and take no part;
 rows of one id each link by their own text. See also shingles.py.
@@ -60,6 +61,7 @@ FILTER_BITS = 1 << 25
 CLASSES_SEEN = 200_000
 #: Members of a block of an open bucket; bytes of the sketches that are compared at once.
 BLOCK = 2_000
+FIRST_SIGS = 8
 AT_ONCE = 1 << 21
 #: Powers of two that bound a sketch's bits.
 SKETCH_LEAST, SKETCH_MOST = 8, 15
@@ -272,9 +274,9 @@ def parity_sketch(tokens: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def open_pairs(cls: np.ndarray, size: np.ndarray, comp: np.ndarray, part: np.ndarray | None, sketches: list[bytes], t: Fraction, nearest: bool) -> set[tuple[int, int]]:
-    """The pairs of different components (and parts) that sizes and sketches don't rule out; nearest: one for each member
-    and sketch size, the one whose sketch differs least."""
+def open_pairs(sig: int, cls: np.ndarray, size: np.ndarray, comp: np.ndarray, part: np.ndarray | None, sketches: list[bytes], firsts: np.ndarray, t: Fraction, nearest: bool) -> set[tuple[int, int]]:
+    """The pairs of different components (and parts) that sizes and sketches don't rule out, but those that an earlier cell
+    has; nearest: one for each member and sketch size, the one whose sketch differs least."""
     found: set[tuple[int, int]] = set()
     width = np.array([len(x) for x in sketches])
     by_width = {w: (at, np.frombuffer(b"".join(sketches[i] for i in at), np.uint64).reshape(len(at), -1)) for w in np.unique(width) for at in [np.flatnonzero(width == w)]}
@@ -293,13 +295,17 @@ def open_pairs(cls: np.ndarray, size: np.ndarray, comp: np.ndarray, part: np.nda
                     if not may.any():
                         continue
                     differ = np.bitwise_count(own[a : a + step][:, None] ^ theirs[None]).sum(axis=2, dtype=np.int64)
-                    may &= differ * (den + num) <= both * (den - num)
-                    if nearest:
-                        i = np.flatnonzero(may.any(axis=1))
-                        j = np.where(may, differ, 1 << 40)[i].argmin(axis=1)
-                    else:
-                        i, j = np.nonzero(may)
-                    x, y = cls[at[i]], cls[others[j]]
+                    i, j = np.nonzero(may & (differ * (den + num) <= both * (den - num)))
+                    x, y = at[i], others[j]
+                    earlier = np.zeros(len(x), bool)
+                    for k in range(firsts.shape[1]):
+                        earlier |= (firsts[x, k] < sig) & (firsts[y] == firsts[x, k][:, None]).any(axis=1)
+                    i, j, x, y = i[~earlier], j[~earlier], x[~earlier], y[~earlier]
+                    if nearest and len(i):
+                        order = np.lexsort((differ[i, j], i))
+                        best = order[np.flatnonzero(np.concatenate([[True], i[order][1:] != i[order][:-1]]))]
+                        x, y = x[best], y[best]
+                    x, y = cls[x], cls[y]
                     found.update(zip(np.maximum(x, y).tolist(), np.minimum(x, y).tolist(), strict=True))
             if w <= (1 << SKETCH_LEAST) // 8:
                 break
@@ -309,7 +315,7 @@ def open_pairs(cls: np.ndarray, size: np.ndarray, comp: np.ndarray, part: np.nda
 
 
 def _cross(t: Fraction, nearest: bool):
-    """Of rows (sig, i, j, part, cls, n, comp, sketch) sorted by the first three: the open pairs of each cell."""
+    """Of rows (sig, i, j, part, cls, n, comp, sketch, s0 .. s7) sorted by the first three: the open pairs of each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -317,10 +323,11 @@ def _cross(t: Fraction, nearest: bool):
         def pairs(table: pa.Table) -> pa.RecordBatch:
             sig, i, j, part, cls, size, comp = (table.column(c).to_numpy() for c in range(7))
             sketches, found = table.column(7).to_pylist(), set()
+            firsts = np.stack([table.column(8 + k).to_numpy() for k in range(FIRST_SIGS)], axis=1)
             starts = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(sig)], strict=True):
                 if b - a > 1:
-                    found |= open_pairs(cls[a:b], size[a:b], comp[a:b], part[a:b] if i[a] != j[a] else None, sketches[a:b], t, nearest)
+                    found |= open_pairs(int(sig[a]), cls[a:b], size[a:b], comp[a:b], part[a:b] if i[a] != j[a] else None, sketches[a:b], firsts[a:b], t, nearest)
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(2)], names=["a", "b"])
 
         for batch in batches:
@@ -458,6 +465,9 @@ def _open(members: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
     buckets = labelled.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("h"), F.sum(F.shiftright(F.xxhash64(F.lit(7), "cls"), 28)).alias("g"))
     once = buckets.where("lo <> hi").groupBy("size", "h", "g").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     part = F.pmod(F.xxhash64(F.lit(11), "cls"), F.col("blocks")).cast("int")
-    dealt = labelled.join(once, "sig").withColumn("part", part).join(sets.select("cls", "sketch"), "cls")
+    open_ = labelled.join(once, "sig").withColumn("part", part)
+    padded = F.concat(F.slice(F.array_sort(F.collect_list("sig")), 1, FIRST_SIGS), F.array_repeat(F.lit((1 << 63) - 1), FIRST_SIGS))
+    firsts = open_.groupBy("cls").agg(padded.alias("sigs")).select("cls", *[F.col("sigs")[i].alias(f"s{i}") for i in range(FIRST_SIGS)])
+    dealt = open_.join(sets.select("cls", "sketch").join(firsts, "cls"), "cls")
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return other.select("sig", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "cls", "n", "comp", "sketch")
+    return other.select("sig", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "cls", "n", "comp", "sketch", *[f"s{i}" for i in range(FIRST_SIGS)])

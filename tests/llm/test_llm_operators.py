@@ -385,6 +385,8 @@ def test_connected_components(spark):
         if a != b:
             a, b = find(a), find(b)
             up[max(a, b)] = min(a, b)
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    table = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.component for r in connected_components(table).collect()}
+    assert got == {r.node: r.component for r in connected_components(table, local_edges=0).collect()}
     assert got == {x: find(x) for x in up}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
