@@ -1,16 +1,18 @@
 """Byte-level BPE encoding and decoding (operator 3).
 
-Encoding has three parts in one pass over the rows, without a shuffle:
+Encoding folds a distinct word once for the whole table, not once for each task:
 
-1. an Arrow stage splits each whole text by the tokenizer's pattern, numbers the distinct words of its task and emits,
-   for each block of rows, the words not seen before and the rows with word numbers in place of text;
-2. Spark higher-order functions fold the ranked merges over the byte arrays of those distinct words. The rank map is a
-   literal: an array of small maps, found by hash, so that a look-up takes constant time;
-3. a second Arrow stage strings the words' ids together for each row.
+1. an Arrow stage splits each whole text by the tokenizer's pattern and numbers the distinct words of its task (at most
+   about EPOCH_WORDS of them at a time, an epoch, which bounds memory on any input). It writes the rows with packed word
+   numbers in place of text and the epoch's words, packed by PARTS classes of their hash;
+2. a task takes ranges of classes, so that equal words of all epochs meet there. Spark higher-order functions fold the ranked
+   merges over the byte arrays of the distinct words. The rank map is a literal: an array of small maps, found by hash, so
+   that a look-up takes constant time. Each epoch's words go back to it as packed ids;
+3. rows and ids meet by epoch, and an Arrow stage strings the ids together for each row.
 
-A word is folded once for each task (or for each EPOCH_WORDS distinct words, which bounds memory on any input). The fold
+What moves is packed: word numbers, and each epoch's words and ids once. The fold
 is quadratic in the length of a word; words of over LONG_BYTES bytes take a heap-ordered fold of the same ranked merges
-instead, which is exact as well. Decoding concatenates the ids' binary pieces by higher-order functions.
+instead, which is exact as well. Decoding concatenates the ids' binary pieces in an Arrow stage.
 
 Defined results: null and empty texts encode to no ids, and no ids decode to no bytes; special tokens don't exist, their
 strings are ordinary text; rows keep their number, repeated rows and null ids included; a column of the output's name is
@@ -22,17 +24,19 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import arrow_type
-from plumbline.runtime import ship
+from plumbline.llm.common import append_columns, arrow_type
+from plumbline.runtime import materialize, ship
 
 #: Hash buckets of the literal rank map.
 BUCKETS = 65_536
@@ -40,6 +44,10 @@ LONG_BYTES = 128
 EPOCH_WORDS = 400_000
 #: Code points of text in a block of rows.
 BLOCK_CHARS = 1_000_000
+#: Hash classes of words; a task folds some of them.
+PARTS = 1024
+#: Words that one row hands to the fold.
+WORDS_AT_ONCE = 20_000
 #: The code points of Unicode's White_Space, for \s.
 WHITE_SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
@@ -138,6 +146,28 @@ def _blocks(batch: pa.RecordBatch, texts: list[str | None]) -> Iterator[tuple[in
         yield start, len(texts)
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Non-negative 32-bit integers, compressed; the number of bytes comes first."""
+    raw = values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()  # equal bytes of all values together
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    raw = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int64)
+
+
+def _pack_words(words: list[bytes]) -> tuple[bytes, bytes]:
+    data = b"".join(words)
+    return pack(np.fromiter(map(len, words), np.int64, len(words))), len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpack_words(lengths: bytes, data: bytes) -> list[bytes]:
+    ends = np.cumsum(unpack(lengths)).tolist()
+    raw = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids", keep_text: bool = True) -> DataFrame:
     """Add the token ids of each whole text as array<int>."""
     spark = df.sparkSession
@@ -146,9 +176,10 @@ def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: s
     carried_fields = [df.schema.fields[i] for i in carried]
     at = df.columns.index(text_col)
     names = [f"c{i}" for i in range(len(carried))]
-    row = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, carried_fields, strict=True)] + [T.StructField("codes", T.ArrayType(T.IntegerType()))])
-    staged = T.StructType([T.StructField("fresh", T.BooleanType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("long_words", T.ArrayType(T.BinaryType())), T.StructField("rows", T.ArrayType(row))])
-    split_by = unicode_pattern(pattern)
+    row = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, carried_fields, strict=True)] + [T.StructField("n_codes", T.IntegerType())])
+    binary = T.BinaryType()
+    staged = T.StructType([T.StructField("epoch", T.StringType()), T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("codes", binary), T.StructField("lengths", binary), T.StructField("words", binary), T.StructField("rows", T.ArrayType(row))])
+    row_type, split_by = arrow_type(row), unicode_pattern(pattern)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -156,66 +187,156 @@ def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: s
         find = regex.compile(split_by).findall
         numbers: defaultdict[str, int] = defaultdict()
         numbers.default_factory = numbers.__len__
-        fresh = True
+        epoch = uuid.uuid4().hex  # what is written of a task is written once, so its name holds
         for batch in batches:
             texts = batch.column(at).to_pylist()
             for a, b in _blocks(batch, texts):
-                known, codes, offsets = len(numbers), [], [0]
+                codes, counts = [], []
                 for t in texts[a:b]:
+                    before = len(codes)
                     if t:
                         codes.extend(map(numbers.__getitem__, find(t)))
-                    offsets.append(len(codes))
-                new = [w.encode() for w in list(numbers)[known:]] if len(numbers) > known else []
+                    counts.append(len(codes) - before)
                 part = batch.slice(a, b - a)
-                rows = pa.StructArray.from_arrays([part.column(i) for i in carried] + [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(codes, pa.int32()))], names=[*names, "codes"])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([fresh]),
-                    pa.array([[None if len(w) > LONG_BYTES else w.decode("latin-1") for w in new]], pa.list_(pa.string())),
-                    pa.array([[w for w in new if len(w) > LONG_BYTES]], pa.list_(pa.binary())),
-                    pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), rows),
-                ], names=staged.fieldNames())
-                if fresh := len(numbers) > EPOCH_WORDS:
+                rows = pa.StructArray.from_arrays([part.column(i) for i in carried] + [pa.array(counts, pa.int32())], names=[*names, "n_codes"])
+                yield pa.RecordBatch.from_arrays([pa.array([epoch]), pa.array([1], pa.int32()), pa.nulls(1, pa.int32()), pa.array([pack(np.array(codes, np.int64))], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), rows)], names=staged.fieldNames())
+                if len(numbers) > EPOCH_WORDS:
+                    yield dictionary(epoch, numbers)
                     numbers.clear()
+                    epoch = uuid.uuid4().hex
+        if numbers:
+            yield dictionary(epoch, numbers)
+
+    def dictionary(epoch: str, numbers: dict[str, int]) -> pa.RecordBatch:
+        import xxhash
+
+        words = [w.encode() for w in numbers]
+        part = np.fromiter((xxhash.xxh3_64_intdigest(w) % PARTS for w in words), np.int64, len(words))
+        order = np.argsort(part, kind="stable")
+        parts, starts = np.unique(part[order], return_index=True)
+        groups = np.split(order, starts[1:])
+        packed = [_pack_words([words[i] for i in g.tolist()]) for g in groups]
+        n = len(groups)
+        return pa.RecordBatch.from_arrays([pa.array([epoch] * n), pa.array([0] * n, pa.int32()), pa.array(parts, pa.int32()), pa.array([pack(g) for g in groups], pa.binary()), pa.array([x[0] for x in packed], pa.binary()), pa.array([x[1] for x in packed], pa.binary()), pa.nulls(n, pa.list_(row_type))], names=staged.fieldNames())
+
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = materialize(df.mapInArrow(split, staged), "word-numbers")
+    fold_in = T.StructType([T.StructField("epoch", T.StringType()), T.StructField("codes", binary), T.StructField("used", binary), T.StructField("fresh", T.BooleanType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("long_words", T.ArrayType(binary))])
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words not seen before, in rows of their own, before the row of the epoch that uses them."""
+        seen: dict[bytes, int] = {}
+        fresh, rows, size = True, [], 0
+        kinds = [pa.string(), pa.binary(), pa.binary(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.binary())]
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=fold_in.fieldNames())
+            rows.clear()
+            return out
 
-    words = df.mapInArrow(split, staged)
-    folded = words.withColumn("m", F.array(literal_rank_map(ranks))).select("fresh", F.expr(f"transform(m, m -> transform(words, w -> if(w is null, null, {FOLD})))[0]").alias("word_ids"), "long_words", "rows")
+        for batch in batches:
+            for epoch, codes, lengths, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if len(seen) > EPOCH_WORDS:
+                    seen, fresh = {}, True
+                words = _unpack_words(lengths, data)
+                new = [w for w in words if w not in seen]
+                seen.update(zip(new, range(len(seen), len(seen) + len(new)), strict=True))
+                for i in range(0, len(new), WORDS_AT_ONCE):
+                    some = new[i : i + WORDS_AT_ONCE]
+                    rows.append((None, None, None, fresh, [None if len(w) > LONG_BYTES else w.decode("latin-1") for w in some], [w for w in some if len(w) > LONG_BYTES]))
+                    fresh = False
+                rows.append((epoch, codes, pack(np.fromiter(map(seen.__getitem__, words), np.int64, len(words))), False, [], []))
+                size += len(words)
+                if size >= WORDS_AT_ONCE:
+                    yield flush()
+                    size = 0
+        if rows:
+            yield flush()
+
+    by_part = held.where("kind = 0").select("epoch", "codes", "lengths", "words", "part").repartitionByRange(n_parts, "part").sortWithinPartitions("part").drop("part")
+    words = by_part.mapInArrow(distinct, fold_in)
+    folded = words.withColumn("m", F.array(literal_rank_map(ranks))).select("epoch", "codes", "used", "fresh", F.expr(f"transform(m, m -> transform(words, w -> if(w is null, null, {FOLD})))[0]").alias("word_ids"), "long_words")
     shared = spark.sparkContext.broadcast(ranks)
-    out = T.StructType([*carried_fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    answer = T.StructType([T.StructField("epoch", T.StringType()), T.StructField("codes", binary), T.StructField("lengths", binary), T.StructField("words", binary)])
 
-    def string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, lengths = np.empty(0, np.int32), np.empty(0, np.int64)
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each epoch and class: the numbers of its words, how many ids each has, and the ids."""
+        flat, lengths, starts = [], [], None
         for batch in batches:
+            fresh, epochs, codes, used = batch.column(3).to_pylist(), batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            out = []
             for i in range(batch.num_rows):
-                word_ids = batch.column(1).slice(i, 1).flatten()
-                if batch.column(0)[i].as_py():
-                    flat, lengths = flat[:0], lengths[:0]
-                if len(word_ids):
-                    long = batch.column(2)[i].as_py()
+                if fresh[i]:
+                    flat, lengths = [], []
+                if epochs[i] is None:
+                    word_ids = batch.column(4).slice(i, 1).flatten()
+                    long = batch.column(5)[i].as_py()
                     if long:
                         spare = iter(long)
                         word_ids = pa.array([merge_long(next(spare), shared.value) if x is None else x for x in word_ids.to_pylist()], pa.list_(pa.int32()))
-                    flat = np.concatenate([flat, word_ids.flatten().to_numpy()])
-                    lengths = np.concatenate([lengths, np.diff(word_ids.offsets.to_numpy())])
-                starts = np.concatenate([[0], np.cumsum(lengths)])
-                rows = batch.column(3).slice(i, 1).flatten()
-                lists = rows.field("codes")
-                codes, bounds = lists.flatten().to_numpy(), lists.offsets.to_numpy().astype(np.int64)
-                bounds = bounds - bounds[0]
-                size = lengths[codes]
-                ends = np.concatenate([[0], np.cumsum(size)])
-                ids = flat[np.repeat(starts[codes] - ends[:-1], size) + np.arange(ends[-1])]
-                ids_lists = pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*[rows.field(n) for n in names], ids_lists], names=out.fieldNames())
-
-    return folded.mapInArrow(string, out)
+                    flat.append(word_ids.flatten().to_numpy())
+                    lengths.append(np.diff(word_ids.offsets.to_numpy()).astype(np.int64))
+                    starts = None
+                    continue
+                if starts is None:
+                    flat, lengths = [np.concatenate(flat)], [np.concatenate(lengths)]
+                    starts = np.concatenate([[0], np.cumsum(lengths[0])])
+                which = unpack(used[i])
+                size = lengths[0][which]
+                out.append((epochs[i], codes[i], pack(size), pack(flat[0][_ranges(starts[which], size)])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string() if not k else pa.binary()) for k in range(4)], names=answer.fieldNames())
+
+    back = folded.mapInArrow(answers, answer).withColumns({"kind": F.lit(0), "rows": F.lit(None).cast(T.ArrayType(row))})
+    both = back.unionByName(held.where("kind = 1").select("epoch", "kind", "codes", "lengths", "words", "rows"))
+    by_epoch = both.repartition(n_parts, "epoch").sortWithinPartitions("epoch", "kind").select("epoch", "kind", "codes", "lengths", "words", "rows")
+    out = T.StructType([*carried_fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+
+    def string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        epoch, parts, starts, size, flat = None, [], None, None, None
+        for batch in batches:
+            epochs, kinds, codes, lengths, ids = (batch.column(k).to_pylist() for k in range(5))
+            for i in range(batch.num_rows):
+                if epochs[i] != epoch:
+                    epoch, parts, starts = epochs[i], [], None
+                if kinds[i] == 0:
+                    parts.append((unpack(codes[i]), unpack(lengths[i]), unpack(ids[i]).astype(np.int32)))
+                    continue
+                if starts is None:
+                    numbers, own, flat = (np.concatenate(x) if parts else np.empty(0, np.int64) for x in (zip(*parts, strict=True) if parts else ((), (), ())))
+                    starts, size = np.empty(len(numbers), np.int64), np.empty(len(numbers), np.int64)
+                    starts[numbers], size[numbers] = np.cumsum(own) - own, own
+                    parts = []
+                rows = batch.column(5).slice(i, 1).flatten()
+                which = unpack(codes[i])
+                n_ids = size[which]
+                ends = np.concatenate([[0], np.cumsum(n_ids)])
+                bounds = np.concatenate([[0], np.cumsum(rows.field("n_codes").to_numpy())])
+                lists = pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(flat[_ranges(starts[which], n_ids)], pa.int32()))
+                yield pa.RecordBatch.from_arrays([*[rows.field(n) for n in names], lists], names=out.fieldNames())
+
+    return by_epoch.mapInArrow(string, out)
+
+
+def _ranges(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each start and its size, one after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(starts - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def bpe_decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Add the bytes that an array of ids stands for: its binary pieces, one after the other. Null for null ids."""
-    size = max(ranks.values()) + 1
-    pieces = [""] * size
+    pieces = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
-        pieces[rank] = token.hex()
-    literal = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    held = F.transform(F.array(literal), lambda p: F.array_join(F.transform(F.col(ids_col), lambda i: F.get(p, i)), ""))[0]
-    return df.withColumn(out_col, F.unhex(held))
+        pieces[rank] = token
+    shared = df.sparkSession.sparkContext.broadcast(pieces)
+    at = df.columns.index(ids_col)
+
+    def decode(batches: Iterator[pa.RecordBatch]):
+        piece = shared.value.__getitem__
+        for batch in batches:
+            lists = batch.column(at)
+            flat, ends = lists.flatten().to_pylist(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).tolist()
+            yield batch, [[None if null else b"".join(map(piece, flat[a:b])) for null, a, b in zip(lists.is_null().to_pylist(), ends, ends[1:], strict=False)]]
+
+    return append_columns(df, [T.StructField(out_col, T.BinaryType())], decode)
