@@ -25,6 +25,7 @@ import base64
 import heapq
 import json
 import uuid
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -41,9 +42,10 @@ from plumbline.runtime import materialize, ship
 #: Hash buckets of the literal rank map.
 BUCKETS = 65_536
 LONG_BYTES = 128
-EPOCH_WORDS = 400_000
-#: Code points of text in a block of rows.
-BLOCK_CHARS = 1_000_000
+#: Distinct words of an epoch, and those that a task remembers while it folds.
+EPOCH_WORDS, FOLDED_WORDS = 200_000, 400_000
+#: Code points of text, or ids, in a block of rows.
+BLOCK_CHARS = 500_000
 #: Hash classes of words; a task folds some of them.
 PARTS = 1024
 #: Words that one row hands to the fold.
@@ -135,15 +137,15 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def _blocks(batch: pa.RecordBatch, texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def _blocks(sizes: list[int]) -> Iterator[tuple[int, int]]:
     start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
+    for i, n in enumerate(sizes):
+        size += n
         if size >= BLOCK_CHARS:
             yield start, i + 1
             start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -189,17 +191,17 @@ def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: s
         numbers.default_factory = numbers.__len__
         epoch = uuid.uuid4().hex  # what is written of a task is written once, so its name holds
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in _blocks(batch, texts):
-                codes, counts = [], []
-                for t in texts[a:b]:
+            texts = batch.column(at)
+            for a, b in _blocks(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
+                codes, counts = array("I"), []
+                for t in texts.slice(a, b - a).to_pylist():
                     before = len(codes)
                     if t:
                         codes.extend(map(numbers.__getitem__, find(t)))
                     counts.append(len(codes) - before)
                 part = batch.slice(a, b - a)
                 rows = pa.StructArray.from_arrays([part.column(i) for i in carried] + [pa.array(counts, pa.int32())], names=[*names, "n_codes"])
-                yield pa.RecordBatch.from_arrays([pa.array([epoch]), pa.array([1], pa.int32()), pa.nulls(1, pa.int32()), pa.array([pack(np.array(codes, np.int64))], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), rows)], names=staged.fieldNames())
+                yield pa.RecordBatch.from_arrays([pa.array([epoch]), pa.array([1], pa.int32()), pa.nulls(1, pa.int32()), pa.array([pack(np.frombuffer(codes, np.uint32) if codes else np.empty(0, np.uint32))], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), rows)], names=staged.fieldNames())
                 if len(numbers) > EPOCH_WORDS:
                     yield dictionary(epoch, numbers)
                     numbers.clear()
@@ -235,8 +237,8 @@ def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: s
             return out
 
         for batch in batches:
-            for epoch, codes, lengths, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if len(seen) > EPOCH_WORDS:
+            for epoch, codes, lengths, data in ([x[i].as_py() for x in batch.columns] for i in range(batch.num_rows)):
+                if len(seen) > FOLDED_WORDS:
                     seen, fresh = {}, True
                 words = _unpack_words(lengths, data)
                 new = [w for w in words if w not in seen]
@@ -295,12 +297,13 @@ def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: s
     def string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         epoch, parts, starts, size, flat = None, [], None, None, None
         for batch in batches:
-            epochs, kinds, codes, lengths, ids = (batch.column(k).to_pylist() for k in range(5))
+            epochs, kinds = (batch.column(k).to_pylist() for k in range(2))
+            codes, lengths, ids = (batch.column(k) for k in (2, 3, 4))
             for i in range(batch.num_rows):
                 if epochs[i] != epoch:
                     epoch, parts, starts = epochs[i], [], None
                 if kinds[i] == 0:
-                    parts.append((unpack(codes[i]), unpack(lengths[i]), unpack(ids[i]).astype(np.int32)))
+                    parts.append((unpack(codes[i].as_py()), unpack(lengths[i].as_py()), unpack(ids[i].as_py()).astype(np.int32)))
                     continue
                 if starts is None:
                     numbers, own, flat = (np.concatenate(x) if parts else np.empty(0, np.int64) for x in (zip(*parts, strict=True) if parts else ((), (), ())))
@@ -308,7 +311,7 @@ def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: s
                     starts[numbers], size[numbers] = np.cumsum(own) - own, own
                     parts = []
                 rows = batch.column(5).slice(i, 1).flatten()
-                which = unpack(codes[i])
+                which = unpack(codes[i].as_py())
                 n_ids = size[which]
                 ends = np.concatenate([[0], np.cumsum(n_ids)])
                 bounds = np.concatenate([[0], np.cumsum(rows.field("n_codes").to_numpy())])
@@ -329,14 +332,23 @@ def bpe_decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out
     pieces = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token
-    shared = df.sparkSession.sparkContext.broadcast(pieces)
+    shared = df.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([0, *map(len, pieces)])))
     at = df.columns.index(ids_col)
 
     def decode(batches: Iterator[pa.RecordBatch]):
-        piece = shared.value.__getitem__
+        data, bounds = shared.value
         for batch in batches:
             lists = batch.column(at)
-            flat, ends = lists.flatten().to_pylist(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).tolist()
-            yield batch, [[None if null else b"".join(map(piece, flat[a:b])) for null, a, b in zip(lists.is_null().to_pylist(), ends, ends[1:], strict=False)]]
+            n_ids = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            out = []
+            for a, b in _blocks(n_ids.tolist()):
+                part = lists.slice(a, b - a)
+                ids = part.flatten().to_numpy()
+                ends = np.concatenate([[0], np.cumsum(bounds[ids + 1] - bounds[ids])])
+                raw = data[_ranges(bounds[ids], np.diff(ends))]
+                offsets = ends[np.concatenate([[0], np.cumsum(n_ids[a:b])])].astype(np.int32)
+                own = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
+                out.append(pc.if_else(part.is_valid(), own, pa.scalar(None, pa.binary())) if part.null_count else own)
+            yield batch, [pa.concat_arrays(out) if out else pa.array([], pa.binary())]
 
     return append_columns(df, [T.StructField(out_col, T.BinaryType())], decode)
