@@ -3,10 +3,11 @@
 A line's key is the line without [\\x20\\x09-\\x0D] at its ends and with A-Z in lower case. A key of at least min_chars code
 points that min_docs or more documents hold keeps its lines in the largest doc_id that holds it and loses them elsewhere.
 
-Keys are hashed to 128 bits in the JVM. The (hash, document, position) rows are range-partitioned by hash and document,
+Keys are hashed to 120 bits in the JVM. The (hash, document, position) rows are range-partitioned by hash and document,
 so that even one key with a third of all rows is dealt over many tasks, sorted by hash, document (largest first) and
 position, and streamed: the first document of a run keeps its lines, the second waits until a third is seen, later ones
-lose theirs at once. A task knows nothing beyond its range, so a run at its edge is handed on with a summary of one row,
+lose theirs at once, so a run of any length holds the rows of the documents before the min_docs-th and no others. A task
+knows nothing beyond its range: rows of its first run, and those that its last run still holds, are handed on with a summary of one row,
 and the summaries (two for each task at most) settle it. What comes out is a compressed keep bitmap for each document that
 loses lines, not text.
 
@@ -51,67 +52,78 @@ def _mark(min_docs: int):
         full = lambda v: np.full(n, v, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (full(kind), h1, h2, doc, pos, full(n_docs))], names=MARKED.fieldNames())
 
-    def settle(rows, edge: bool):
-        """Rows of one or more whole runs of this task."""
-        h1, h2, doc, pos = rows
-        if not len(doc):
-            return
+    def settle(rows):
+        """Rows of whole runs that begin and end in this task."""
+        h1, h2, doc, _ = rows
         new_key = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
         new_doc = new_key | np.concatenate([[True], doc[1:] != doc[:-1]])
         run = np.cumsum(new_key) - 1
         starts = np.flatnonzero(new_key)
         n_docs = np.add.reduceat(new_doc.astype(np.int64), starts)
-        if edge:
-            yield emit(PENDING, rows)
-            yield emit(SUMMARY, tuple(x[:1] for x in rows), int(n_docs[0]))
-        else:
-            lost = (n_docs[run] >= min_docs) & (doc != doc[starts][run])
-            if lost.any():
-                yield emit(DROP, tuple(x[lost] for x in rows))
+        lost = (n_docs[run] >= min_docs) & (doc != doc[starts][run])
+        if lost.any():
+            yield emit(DROP, tuple(x[lost] for x in rows))
+
+    class Run:
+        """The run that is open; edge: it may have begun in the task before, so its top document isn't known."""
+
+        def __init__(self, rows, edge: bool):
+            self.first, self.edge, self.docs, self.last, self.held = tuple(x[:1] for x in rows), edge, 0, None, []
+
+        def holds(self, rows) -> bool:
+            return rows[0][0] == self.first[0][0] and rows[1][0] == self.first[1][0]
+
+        def take(self, rows):
+            doc = rows[2]
+            self.docs += 1 + int((doc[1:] != doc[:-1]).sum()) - (doc[0] == self.last)
+            self.last = doc[-1]
+            if self.edge:
+                yield emit(PENDING, rows)
+                return
+            self.held.append(tuple(x[doc != self.first[2][0]] for x in rows))
+            if self.docs >= min_docs:
+                yield from self.drop(DROP)
+
+        def drop(self, kind):
+            rows = tuple(map(np.concatenate, zip(*self.held, strict=True))) if self.held else ((),) * 4
+            self.held = []
+            if len(rows[2]):
+                yield emit(kind, rows)
+
+        def end(self, last: bool):
+            """last: the task ends with it, and the run may go on in the next one."""
+            if last:
+                yield from self.drop(PENDING)
+            if last or self.edge:
+                yield emit(SUMMARY, self.first, self.docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, first = tuple(np.empty(0, np.int64) for _ in range(4)), True
-        docs_before, top = 0, None  # documents of the open run whose rows have been handed on, and its key
+        open_ = None
         for batch in batches:
-            rows = tuple(np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held))
-            h1, h2, doc, _ = rows
-            if not len(doc):
-                continue
-            change = np.flatnonzero((h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])) + 1
-            if first:  # the first run may have begun in the task before
-                end = int(change[0]) if len(change) else len(doc)
-                if len(change):
-                    yield from settle_edge(rows, 0, end, docs_before, top)
-                    docs_before, top, first = 0, None, False
-                    rows = tuple(x[end:] for x in rows)
-                    change = change[1:] - end
-                else:  # still open: hand on all rows but those of the last document
-                    last = int(np.searchsorted(-doc, -doc[-1], side="left"))
-                    if last:
-                        top = doc[0] if top is None else top
-                        docs_before += len(np.unique(doc[:last]))
-                        yield emit(PENDING, tuple(x[:last] for x in rows))
-                    held = tuple(x[last:] for x in rows)
-                    continue
-            cut = int(change[-1]) if len(change) else 0
-            yield from settle(tuple(x[:cut] for x in rows), False)
-            held = tuple(x[cut:] for x in rows)
-        if len(held[0]) or docs_before:  # the last run may go on in the next task
-            yield from settle_edge(held, 0, len(held[0]), docs_before, top)
-
-    def settle_edge(rows, a, b, docs_before, top):
-        part = tuple(x[a:b] for x in rows)
-        if len(part[2]):
-            yield emit(PENDING, part)
-            n = docs_before + len(np.unique(part[2]))
-            summary = (part[0][:1], part[1][:1], np.array([part[2][0] if top is None else top], np.int64), part[3][:1])
-            yield emit(SUMMARY, summary, n)
+            rows = tuple(batch.column(i).to_numpy() for i in range(4))
+            while len(rows[0]):
+                h1, h2 = rows[:2]
+                change = np.flatnonzero((h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])) + 1
+                if open_ is None or open_.holds(rows):
+                    end = int(change[0]) if len(change) else len(h1)
+                    open_ = open_ or Run(rows, True)
+                    yield from open_.take(tuple(x[:end] for x in rows))
+                else:
+                    yield from open_.end(False)
+                    end = int(change[-1]) if len(change) else 0
+                    if end:
+                        yield from settle(tuple(x[:end] for x in rows))
+                    open_ = Run(tuple(x[end:] for x in rows), False)
+                rows = tuple(x[end:] for x in rows)
+        if open_ is not None:
+            yield from open_.end(True)
 
     return run
 
 
 def dropped_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """(doc, pos) of every line that goes. One shuffle of 32-byte rows; memory is bounded by a batch and a document."""
+    """(doc, pos) of every line that goes. One shuffle of 32-byte rows; a task holds a batch and the rows of min_docs - 2
+    documents."""
     spark = docs.sparkSession
     ship(spark)
     rows = line_rows(docs, text_col, id_col, min_chars)
