@@ -4,18 +4,20 @@ A text becomes a sequence of tokens: words without punctuation at their ends, in
 words inside a sentence) and units after a number become typed placeholders. The first token of a document's window is taken
 in every reading that its form allows, since what stands before an item is not the item's. Line breaks are white space like
 any other, so re-wrapped copies match. Windows of WINDOW tokens (or the whole item,
-if it is shorter) are hashed and joined with those of the benchmark. Matches of a document and an item are gathered by
-their alignment (position in the document less position in the item). A window whose slots equal the item's always counts.
-A re-parameterised window counts only if its slots are consistent with the other re-parameterised windows of its alignment:
-windows with a value of the item that stands for two values of the document there are dropped, and no others. A document is
-reported for an item when the windows that count, of all alignments, cover min_share of the item's, so re-parameterised
-copies are caught along with exact ones, or when VERBATIM_WORDS consecutive words of the item stand in it, whatever their
-share of the item.
+if it is shorter) are hashed and joined with those of the benchmark. A window of fewer than MIN_PLAIN plain words is hashed
+with the values of its slots, so that tables of numbers and lists of names match only if they are the same. Matches of a
+document and an item are gathered by their alignment (position in the document less position in the item). A window whose
+slots equal the item's always counts. A re-parameterised window counts only if its slots are consistent with the other
+re-parameterised windows of its alignment: windows with a value of the item that stands for two values of the document there
+are dropped, and no others. A document is reported for an item when the windows that count, of all alignments, cover
+min_share of the item's, so re-parameterised copies are caught along with exact ones, or when VERBATIM_WORDS consecutive
+words of the item stand in it, whatever their share of the item. Items of fewer than MIN_TOKENS tokens are compared whole:
+a document matches that holds those words and no others.
 
 Documents are read once. A bitmap of fixed size over the benchmark's window hashes lets through what may match; the equi-join
 is on the full 64-bit hash. The benchmark's windows are broadcast if their number is at most MAX_BROADCAST, else shuffled.
 
-Defined results: null and empty texts, and items of fewer than MIN_TOKENS tokens, match nothing; rows of one id count as one
+Defined results: null and empty texts, and items without a word, match nothing; rows of one id count as one
 document; rows with a null id take no part; only matching pairs are returned, so clean documents don't appear.
 """
 
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ from pyspark.sql import types as T
 from plumbline.llm.shingles import MEMO_WORDS, mix
 from plumbline.runtime import materialize, ship
 
-WINDOW, MIN_TOKENS = 8, 5
+WINDOW, MIN_TOKENS, MIN_PLAIN = 8, 5, 3
 VERBATIM_WORDS = 20
 FILTER_BITS = 1 << 25
 MAX_BROADCAST = 200_000
@@ -67,11 +70,20 @@ class _Words(dict):
         return i
 
 
-Readings = tuple[np.ndarray, np.ndarray, np.ndarray]  # position, kind, hash
+@dataclass
+class Tokens:
+    """A text's tokens: as written, the hash of the word and of its place in a template, its kind, and the places and kinds
+    of the readings that a token had after other tokens."""
 
+    raw: list[str]
+    word: np.ndarray
+    place: np.ndarray
+    kind: np.ndarray
+    other_at: np.ndarray
+    other_kind: np.ndarray
 
-def canonical(text: str | None, words: _Words) -> tuple[list[str], np.ndarray, np.ndarray, Readings]:
-    """The tokens as written, their template hashes and kinds, and the readings that they had after other tokens."""
+
+def canonical(text: str | None, words: _Words) -> Tokens:
     raw = (text or "").split()
     if len(words) > MEMO_WORDS:
         words.clear()
@@ -81,39 +93,62 @@ def canonical(text: str | None, words: _Words) -> tuple[list[str], np.ndarray, n
     if not keep.all():
         raw = [w for w, k in zip(raw, keep, strict=True) if k]
         h, form, titled, ends = h[keep], form[keep], titled[keep], ends[keep]
-    kind, plain = form, h
+    kind, place = form, h
     if len(h):
         before_number = np.concatenate([[False], form[:-1] == NUMBER])
         inside = np.concatenate([[False], ~ends[:-1]])
         kind = np.where((kind == UNIT) & ~before_number, PLAIN, kind)
         kind = np.where((kind == PLAIN) & titled & inside, NAME, kind)
-        h = np.where(kind == PLAIN, h, _PLACE[kind])
+        place = np.where(kind == PLAIN, h, _PLACE[kind])
     others = [np.flatnonzero(may & (kind != k)) for k, may in ((PLAIN, form != NUMBER), (NAME, titled & (form != NUMBER)), (UNIT, form == UNIT))]
-    first = np.repeat([PLAIN, NAME, UNIT], [len(x) for x in others])
-    where = np.concatenate(others)
-    return raw, h, kind, (where, first, np.where(first == PLAIN, plain[where], _PLACE[first]))
+    return Tokens(raw, h, place, kind, np.concatenate(others), np.repeat([PLAIN, NAME, UNIT], [len(x) for x in others]))
+
+
+def _literal(word: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the words themselves from the given places on."""
+    out = np.full(len(at), size + 0x1000, np.uint64)
+    for i in range(size):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + word[at + i])
+    return out
 
 
-def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
-    n = len(h) - size + 1
+def _plain_words(t: Tokens, size: int) -> np.ndarray:
+    upto = np.concatenate([[0], np.cumsum(t.kind == PLAIN)])
+    return upto[size:] - upto[:-size]
+
+
+def window_hashes(t: Tokens, size: int) -> np.ndarray:
+    n = len(t.place) - size + 1
     if n < 1:
         return np.empty(0, np.uint64)
     out = np.full(n, size, np.uint64)
     for i in range(size):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + t.place[i : i + n])
+    few = np.flatnonzero(_plain_words(t, size) < min(MIN_PLAIN, size))
+    out[few] = _literal(t.word, few, size)
     return out
 
 
-def reread_hashes(h: np.ndarray, size: int, others: Readings) -> Readings:
-    """The windows that begin with a token in another reading, as its kind and the window's hash."""
-    held = others[0] <= len(h) - size
-    at, first, token = (x[held] for x in others)
+def reread_hashes(t: Tokens, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows that begin with a token in another reading: place, kind, hash."""
+    held = t.other_at <= len(t.place) - size
+    at, first = t.other_at[held], t.other_kind[held]
+    if not len(at):
+        return at, first, np.empty(0, np.uint64)
     out = np.full(len(at), size, np.uint64)
     for i in range(size):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + (h[at + i] if i else token))
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + (t.place[at + i] if i else np.where(first == PLAIN, t.word[at], _PLACE[first])))
+    plain = _plain_words(t, size)[at] - (t.kind[at] == PLAIN) + (first == PLAIN)
+    few = np.flatnonzero(plain < min(MIN_PLAIN, size))
+    out[few] = _literal(t.word, at[few], size)
     return at, first, out
 
 
+def whole_hash(t: Tokens) -> np.ndarray:
+    """Of a text of fewer than MIN_TOKENS tokens: one hash of all its words, apart from those of windows."""
+    return _literal(t.word, np.zeros(1, np.int64), len(t.word)) ^ np.uint64(0x5DEECE66D)
+
+
 def _slots(raw: list[str], kind: np.ndarray, at: int, size: int, first: int | None = None) -> list[str]:
     """The values of a window's slots; first is the kind of its first token where it isn't that of kind."""
     return [raw[j].strip(_STRIP).lower() for j in range(at, at + size) if (kind[j] if first is None or j > at else first) != PLAIN]
@@ -128,24 +163,27 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             out = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw, h, kind, _ = canonical(text, words)
-                if item is None or len(h) < MIN_TOKENS:
+                t = canonical(text, words)
+                if item is None or not t.raw:
+                    continue
+                if len(t.raw) < MIN_TOKENS:
+                    out.append((int(whole_hash(t).view(np.int64)[0]), item, 0, len(t.raw), 1, []))
                     continue
-                size = min(WINDOW, len(h))
-                hashes = window_hashes(h, size).view(np.int64).tolist()
-                out += [(x, item, i, size, len(hashes), _slots(raw, kind, i, size)) for i, x in enumerate(hashes)]
+                size = min(WINDOW, len(t.raw))
+                hashes = window_hashes(t, size).view(np.int64).tolist()
+                out += [(x, item, i, size, len(hashes), _slots(t.raw, t.kind, i, size)) for i, x in enumerate(hashes)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())])], names=ITEM_WINDOWS.fieldNames())
 
     return benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).mapInArrow(run, ITEM_WINDOWS)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", min_share: float = 0.5) -> DataFrame:
-    """(id_col, item_id_col, n_windows, n_matched, n_changed) of each document and item that match; n_changed counts slots
-    whose value differs."""
+    """(id_col, item_id_col, n_windows, n_matched, n_changed) of each document and item that match; n_changed counts the
+    values that differ in the alignment of most windows, the first of equals."""
     spark = docs.sparkSession
     ship(spark)
     items = materialize(item_windows(benchmark, item_id_col, item_text_col), "item-windows")
-    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most WINDOW values
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect() if r[0] >= MIN_TOKENS)  # at most WINDOW values
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     words = items.select(F.expr(f"h & {FILTER_BITS - 1}L").alias("bit")).select(F.expr("bit div 64").alias("w"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     bits[words.column("w").to_numpy()] = words.column("m").to_numpy()
@@ -163,14 +201,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if doc is None or not text:
                     continue
-                raw, h, kind, others = canonical(text, known)
+                t = canonical(text, known)
+                if 0 < len(t.raw) < MIN_TOKENS:
+                    out.append((int(whole_hash(t).view(np.int64)[0]), doc, 0, []))
                 for size in sizes:
-                    x = window_hashes(h, size)
+                    x = window_hashes(t, size)
                     for i in np.flatnonzero(in_filter(x)).tolist():
-                        out.append((int(x[i : i + 1].view(np.int64)[0]), doc, i, _slots(raw, kind, i, size)))
-                    at, first, x = reread_hashes(h, size, others)
+                        out.append((int(x[i : i + 1].view(np.int64)[0]), doc, i, _slots(t.raw, t.kind, i, size)))
+                    at, first, x = reread_hashes(t, size)
                     for i in np.flatnonzero(in_filter(x)).tolist():
-                        out.append((int(x[i : i + 1].view(np.int64)[0]), doc, int(at[i]), _slots(raw, kind, int(at[i]), size, int(first[i]))))
+                        out.append((int(x[i : i + 1].view(np.int64)[0]), doc, int(at[i]), _slots(t.raw, t.kind, int(at[i]), size, int(first[i]))))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())])], names=["h", "doc", "pos", "slots"])
 
     found = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "h long, doc long, pos long, slots array<string>")
@@ -187,11 +227,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     clashes = F.filter("pairs", lambda p, i: (i > 0) & (F.get("pairs", i - 1)["a"] == p["a"]))["a"]
     good = F.filter("other", lambda w: ~F.arrays_overlap(w["pairs"]["a"], F.col("clashes")))
     counted = pairs.withColumn("clashes", clashes).withColumn("good", good).withColumn("run", F.array_sort(F.array_distinct("same.item_pos")))
+    counted = counted.withColumn("places", F.array_distinct(F.concat("same.item_pos", "good.item_pos")))
+    changed = F.size(F.array_distinct(F.filter(F.flatten("good.pairs"), lambda p: p["a"] != p["b"])))
     step = VERBATIM_WORDS - F.col("size")
     total = counted.groupBy("doc", "item").agg(
         F.max("n_windows").alias("n_windows"),
-        F.size(F.array_distinct(F.flatten(F.collect_set(F.concat("same.item_pos", "good.item_pos"))))).alias("n_matched"),
-        F.size(F.array_distinct(F.flatten(F.collect_set(F.filter(F.flatten("good.pairs"), lambda p: p["a"] != p["b"]))))).alias("n_changed"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n_matched"),
+        F.max_by(changed, F.struct(F.size("places"), -F.col("shift"))).alias("n_changed"),
         F.max(F.exists(F.transform("run", lambda x, i: F.coalesce(F.get("run", i + step) == x + step, F.lit(False))), lambda x: x)).alias("verbatim"),
     )
     found = total.where((F.col("n_matched") >= min_share * F.col("n_windows")) & (F.col("n_matched") > 0) | F.col("verbatim"))

@@ -296,6 +296,48 @@ def test_contamination_whatever_stands_before_an_item(spark):
     assert got == {(0, 0): (1, 0), (1, 0): (1, 0), (2, 1): (1, 0), (3, 2): (4, 0), (4, 0): (1, 0), (4, 1): (1, 0)}
 
 
+def test_contamination_of_numbers_and_short_items(spark):
+    numbers = " ".join(map(str, range(100, 130)))
+    items = [numbers, "Paris", "two plus two", "The 12 sheep and the 5 goats of Anna graze near the old mill by noon", ".", "Anna 12 kg Berta 5 km Carla 9 m Dora"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    other = " ".join(map(str, range(500, 560)))
+    texts = [other, f"a table {numbers} end", " paris. ", "paris is large", "Two plus two!", "two plus three", items[3].replace("12", "40").replace("Anna", "Olga"), f"{items[3]} {items[3].replace('12', '40')}", None, ".", "Emil 1 kg Fritz 2 km Gerd 3 m Hans", items[5]]
+    rows = docs(spark, texts).unionByName(spark.createDataFrame([(None, "Paris"), (2, "Paris"), (2, "Paris")], DOC))
+    got = {(r.doc_id, r.item_id): (r.n_matched, r.n_changed) for r in decontamination.contaminated(rows, bench).collect()}
+    assert got == {(1, 0): (23, 0), (2, 1): (1, 0), (4, 2): (1, 0), (6, 3): (9, 2), (7, 3): (9, 0), (11, 5): (3, 0)}
+
+
+def brute_contamination(texts, items):
+    """Items whose windows of 8 words stand in a text to at least a half, or 20 words in a row; no placeholders."""
+    out = set()
+    for d, t in enumerate(texts):
+        held = set(zip(*[t.split()[i:] for i in range(8)]))
+        run = set(zip(*[t.split()[i:] for i in range(20)]))
+        for k, item in enumerate(items):
+            w = item.split()
+            windows = list(zip(*[w[i:] for i in range(8)]))
+            if 2 * sum(x in held for x in windows) >= len(windows) or any(x in run for x in zip(*[w[i:] for i in range(20)])):
+                out.add((d, k))
+    return out
+
+
+def test_contamination_against_brute_force(spark):
+    rnd = random.Random(88)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    items = [" ".join(word() for _ in range(rnd.randint(9, 60))) for _ in range(12)]
+    texts = []
+    for _ in range(150):
+        w = items[rnd.randrange(12)].split()
+        a = rnd.randrange(len(w))
+        cut = w[a : a + rnd.randint(1, 60)]
+        if rnd.random() < 0.5:
+            cut[rnd.randrange(len(cut))] = word()
+        texts.append(" ".join([word() for _ in range(rnd.randint(0, 20))] + cut + [word() for _ in range(rnd.randint(0, 20))]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs(spark, texts), bench).collect()}
+    assert got == brute_contamination(texts, items) and len(got) > 30
+
+
 # 9
 def secrets(t):
     spans = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
