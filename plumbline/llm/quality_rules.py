@@ -199,7 +199,8 @@ def learn_quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
 
 def quality_verdicts(df: DataFrame, rules: list[list[Condition]], text_col: str = "text", rule_col: str = "rule", kept_col: str = "kept") -> DataFrame:
     """Add the base features, base_failed, the number of the rule that rejects the text (or null) and the verdict."""
-    features = rule_features(text_col)
+    features = {f"__pl_{n}": c for n, c in rule_features(text_col).items()}
+    own = [[Condition(f"__pl_{c.feature}", c.above, c.threshold) for c in rule] for rule in rules]
     out = base_features(df, text_col).withColumns(features)
-    out = out.withColumns({"base_failed": base_failed(), rule_col: verdict(rules)})
+    out = out.withColumns({"base_failed": base_failed(), rule_col: verdict(own)})
     return out.withColumn(kept_col, ~F.col("base_failed") & F.col(rule_col).isNull()).drop(*features)

@@ -85,7 +85,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.toxicity import learn_lexicon, toxicity
 
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))  # a null id is never learned from
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon = learn_lexicon(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out))
     return toxicity(docs, lexicon).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers as P
-from plumbline.llm import bpe, chat_format, decontamination, html_text, line_dedup, ngram_join, quality_rules, secret_scan, token_counts, toxicity
+from plumbline.llm import bpe, chat_format, decontamination, html_text, line_dedup, ngram_join, quality_rules, queries, secret_scan, token_counts, toxicity
 from plumbline.llm.components import connected_components
 
 DOC = "doc_id long, text string"
@@ -124,7 +124,36 @@ def test_decision_list_finds_planted_rules(spark):
     assert [r for r in kept if r.n_words < 50] == []
 
 
+def test_columns_of_the_callers_own_stay(spark):
+    df = docs(spark, ["a b c"] * 3 + [None]).withColumns({"f_words": F.lit("mine"), "__pl_x": F.lit(1)})
+    out = quality_rules.quality_verdicts(df, [[quality_rules.Condition("f_words", False, 2.0)]])
+    assert {(r.f_words, r["__pl_x"], r.kept) for r in out.collect()} == {("mine", 1, False)} and out.count() == 4
+
+
 # 5
+def test_lexicon_against_brute_force():
+    rnd = random.Random(55)
+    word = lambda n: "".join(rnd.choice("abc") for _ in range(n))
+    for _ in range(60):
+        weights = {word(rnd.randint(1, 4)) + rnd.choice(["", "", "|"]): 1.0 for _ in range(12)}
+        text = " ".join(word(rnd.randint(1, 7)) for _ in range(40)).replace("ab ", "ab-")
+        want = []
+        for m in re.finditer("[a-c]+", text):
+            fits = [t for t in weights if "|" not in t and m[0].startswith(t)] + [t for t in weights if t == m[0] + "|"]
+            if fits:
+                want.append((m.start(), m.end(), max(fits, key=lambda t: (t[-1] == "|", len(t)))))
+        assert toxicity.Lexicon(weights).terms(text) == want
+
+
+def test_toxicity_of_null_ids_and_repeated_rows(spark, tmp_path):
+    rows = [(1, "some text"), (1, "some text"), (None, "some text"), (None, None), (2, "")]
+    spark.createDataFrame(rows, DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1), (None, 1), (1, 0)], "doc_id long, toxic long").write.parquet(str(tmp_path / "labels.parquet"))
+    got = queries.op5_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == 5 and all(r.held_out is not None and 0 <= r.score <= 1 for r in got)
+    assert {r.held_out for r in got if r.doc_id is None} == {True}
+
+
 def test_folding():
     assert toxicity.fold("M0R0N іdiоt Ｓtupid 2024 $cum!") == "moron idiot stupid 2024 scum!"
 
