@@ -63,10 +63,30 @@ def unsigned_value(v: Column) -> Column:
 
 
 def orientation(ax, ay, bx, by, cx, cy) -> Column:
-    """Twice the signed area of a, b, c. Exact for integer ticks (longs) within 2^31 of each other."""
+    """Twice the signed area of a, b, c in doubles; for integer ticks of any size see orientation_sign."""
     return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
 
 
+def orientation_sign(ax, ay, bx, by, cx, cy) -> Column:
+    """-1, 0 or 1 by the side of a, b on which c lies: exact for all 64-bit ticks.
+
+    Both products are taken apart into 32-bit limbs, whose sums fit decimals; carries go up, and the highest limb decides.
+    """
+    limb = F.lit(1 << 32).cast("decimal(38,0)")
+    wide = lambda v: v.cast("decimal(20,0)")
+    low = lambda v: F.pmod(v.cast("decimal(38,0)"), limb).cast("decimal(12,0)")
+    high = lambda v: ((v.cast("decimal(38,0)") - F.pmod(v.cast("decimal(38,0)"), limb)) / limb).cast("decimal(16,0)")
+    (p, q), (r, s) = ((wide(bx) - wide(ax), wide(cy) - wide(ay)), (wide(by) - wide(ay), wide(cx) - wide(ax)))
+    part = lambda f, g: (f(p) * g(q) - f(r) * g(s)).cast("decimal(38,0)")
+    middle = part(high, low) + part(low, high)
+    bottom = part(low, low)
+    carry = lambda v: ((v - F.pmod(v, limb)) / limb).cast("decimal(38,0)")
+    middle = (middle.cast("decimal(38,0)") + carry(bottom)).cast("decimal(38,0)")
+    top = part(high, high) + carry(middle)
+    rest = (F.pmod(middle, limb) > 0) | (F.pmod(bottom, limb) > 0)
+    return F.when(top > 0, 1).when(top < 0, -1).when(rest, 1).otherwise(0)
+
+
 def tolerance_class(residual: Column, below: float, above: float) -> Column:
     """Both limits are within."""
     return F.when(residual < -below, "below").when(residual > above, "above").when(residual.isNotNull(), "within")
@@ -78,12 +98,19 @@ def canonical_zero(c: Column) -> Column:
 
 # Display mappings.
 
-#: Colours of classes 0 to 18; the stops of the elevation ramp; the multipliers and shifts for other classes.
+#: Colours of classes 0 to 18; the multipliers and shifts for other classes; the neutral colour.
 CLASS_COLOURS = [
     (120, 120, 120), (155, 155, 155), (139, 95, 57), (80, 180, 80), (45, 150, 45), (20, 110, 20), (220, 70, 70), (200, 200, 200), (170, 120, 220), (80, 150, 230),
     (60, 100, 210), (40, 180, 210), (230, 170, 60), (220, 120, 40), (235, 80, 150), (170, 70, 170), (255, 220, 80), (100, 220, 190), (245, 245, 245),
 ]
 OTHER_CLASS = ((73, 41), (151, 97), (199, 17))
+NEUTRAL = (190, 205, 220)
+
+
+def grey(v: Column) -> Column:
+    """An intensity as an opaque colour of three equal parts."""
+    c = scale_u16(v)
+    return F.array(c, c, c, F.lit(255).cast("long"))
 
 
 def scale_u16(v: Column) -> Column:
@@ -118,6 +145,36 @@ def ramp_colour(position: Column, stops: list[tuple[int, int, int]]) -> list[Col
     return out
 
 
+def display_colour(mapping: str, attributes: dict[str, Column], low: float = 0.0, high: float = 1.0, stops: list[tuple[int, int, int]] = ()) -> Column:
+    """The opaque colour (red, green, blue, alpha) of a point under a mapping: neutral, elevation, rgb, intensity or class.
+    A mapping whose attributes aren't there is an error."""
+    need = {"neutral": [], "elevation": ["z"], "rgb": ["red", "green", "blue"], "intensity": ["intensity"], "class": ["classification"]}
+    if mapping not in need:
+        raise PlumblineError(f"no such mapping: {mapping}")
+    if missing := [a for a in need[mapping] if a not in attributes]:
+        raise PlumblineError(f"the mapping needs {missing}")
+    opaque = F.lit(255).cast("long")
+    if mapping == "intensity":
+        return grey(attributes["intensity"])
+    if mapping == "neutral":
+        parts = [F.lit(v).cast("long") for v in NEUTRAL]
+    elif mapping == "rgb":
+        parts = [scale_u16(attributes[c]) for c in ("red", "green", "blue")]
+    elif mapping == "class":
+        parts = class_colour(attributes["classification"])
+    else:
+        parts = ramp_colour(normalised_elevation(attributes["z"], low, high), list(stops))
+    return F.array(*parts, opaque)
+
+
+def circumcentre(ax, ay, bx, by, cx, cy) -> tuple[Column, Column]:
+    """The centre of the circle through three points; nulls where they lie on one line."""
+    ux, uy, vx, vy = bx - ax, by - ay, cx - ax, cy - ay
+    d = 2.0 * (ux * vy - uy * vx)
+    u2, v2 = ux * ux + uy * uy, vx * vx + vy * vy
+    return F.when(d != 0, ax + (vy * u2 - uy * v2) / d), F.when(d != 0, ay + (ux * v2 - vx * u2) / d)
+
+
 def density_point_size(pixels: float, points: Column) -> Column:
     return F.least(F.greatest(0.55 * F.sqrt(F.lit(float(pixels)) / points), F.lit(1.0)), F.lit(4.0))
 
@@ -204,6 +261,25 @@ class Camera:
             raw = [(f, -self.near), (neg(f), self.far), (r, hv * aspect), (neg(r), hv * aspect), (u, hv), (neg(u), hv)]
         return [(tuple(c / (n := math.sqrt(_dot(v, v))) for c in v), d / n) for v, d in raw]
 
+    def matrix(self, aspect: float) -> list[float]:
+        """The view-projection matrix by columns, in single precision: x and y from -1 to 1, depth from 0 to 1."""
+        import numpy as np
+
+        f, r, u = (np.array(v) for v in self.basis())
+        eye = np.array(self.eye)
+        view = np.eye(4)
+        view[:3, :3] = [r, u, -f]
+        view[:3, 3] = [-r @ eye, -u @ eye, f @ eye]
+        out = np.zeros((4, 4))
+        reach = self.near - self.far
+        if self.fov_radians is not None:
+            k = 1.0 / math.tan(self.fov_radians * 0.5)
+            out[0, 0], out[1, 1], out[2, 2], out[2, 3], out[3, 2] = k / aspect, k, self.far / reach, self.near * self.far / reach, -1.0
+        else:
+            h = self.world_height
+            out[0, 0], out[1, 1], out[2, 2], out[2, 3], out[3, 3] = 2.0 / (h * aspect), 2.0 / h, 1.0 / reach, self.near / reach, 1.0
+        return (out @ view).T.astype(np.float32).ravel().tolist()
+
     def sees(self, box: dict[str, Column], width: int, height: int) -> Column:
         """Whether a box (min_x .. max_z) is outside no plane, with slack for rounding."""
         out = F.lit(True)

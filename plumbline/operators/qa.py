@@ -51,11 +51,28 @@ def residuals(located: DataFrame, below: float, above: float) -> DataFrame:
 def statistics(rows: DataFrame) -> DataFrame:
     """Covered, gaps, least, greatest, mean and RMS; the RMS is scaled by the greatest magnitude, so it can't overflow.
     Without covered points all but the counts are null."""
-    m = rows.agg(F.max(F.abs("residual")).alias("m")).first()["m"]
-    scaled = F.col("residual") / (m or 1.0)
-    rms = F.sqrt(F.avg(scaled * scaled)) * (m or 1.0)
-    mean = F.avg(scaled) * (m or 1.0)
-    return rows.agg(F.count("residual").alias("covered"), F.count_if(F.col("residual").isNull()).alias("gaps"), F.min("residual").alias("min"), F.max("residual").alias("max"), mean.alias("mean"), rms.alias("rms"))
+    held = rows.agg(F.max(F.abs("residual")).alias("m"), F.count("residual").alias("n")).first()
+    m, n = held.m or 1.0, held.n
+    scaled = F.col("residual") / m
+    own = rows.where("residual is not null")
+    mean = compensated_sum(own.select(scaled.alias("v"))) / n * m if n else None
+    rms = math.sqrt(compensated_sum(own.select((scaled * scaled).alias("v"))) / n) * m if n else None
+    return rows.agg(F.count("residual").alias("covered"), F.count_if(F.col("residual").isNull()).alias("gaps"), F.min("residual").alias("min"), F.max("residual").alias("max"), F.lit(mean).cast("double").alias("mean"), F.lit(rms).cast("double").alias("rms"))
+
+
+def compensated_sum(values: DataFrame) -> float:
+    """The sum of a column of doubles, without the rounding of each addition: a batch gives its correctly rounded sum and
+    what that leaves out, and these pairs are summed exactly. Order and partitions don't show in the result."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            own = batch.column(0).drop_null().to_pylist()
+            high = math.fsum(own)
+            yield pa.RecordBatch.from_arrays([pa.array([high, math.fsum([*own, -high])])], names=["part"])
+
+    return math.fsum(r.part for r in values.mapInArrow(run, "part double").toLocalIterator())  # two for a batch
 
 
 def tolerance_summary(rows: DataFrame) -> DataFrame:

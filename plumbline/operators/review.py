@@ -22,13 +22,21 @@ def rectangle(first: tuple[float, float], second: tuple[float, float], width: in
     return left, top, right, bottom
 
 
-def screen_through(rows: DataFrame, camera: Camera, transform: Transform, rect: tuple[float, float, float, float], width: int, height: int, classification: int | None = None, check: bool = False) -> DataFrame:
+def replace_highlights(ids: DataFrame, limit: int) -> DataFrame:
+    """A new set of highlighted ids; the limit holds for what is handed in, before repeats go."""
+    if ids.limit(limit + 1).count() > limit:
+        raise PlumblineError(f"more than {limit} highlights")
+    return ids.select("ordinal").distinct()
+
+
+def screen_through(rows: DataFrame, camera: Camera, transform: Transform, rect: tuple[float, float, float, float], width: int, height: int, classification: int | None = None, check: bool = True) -> DataFrame:
     """Rows whose projection lies in the rectangle, edges included. With check, a projection that isn't finite is an error
     even where the class filter would drop the row."""
     view = camera.projected(*[transform.column(i) for i in range(3)], width, height)
     seen = rows.withColumns({"__depth": view["depth"], "px": view["px"], "py": view["py"], "__inside": view["inside"]})
     if check:
-        odd = F.isnan("__depth") | (F.abs("__depth") == F.lit(math.inf))
+        finite = lambda c: ~F.isnan(c) & (F.abs(c) < F.lit(math.inf))
+        odd = ~finite("__depth") | (F.col("__inside") & ~(finite("px") & finite("py")))
         seen = seen.withColumn("__inside", F.when(odd, F.raise_error(F.lit("a projection is not finite"))).otherwise(F.col("__inside")))
     left, top, right, bottom = rect
     hit = seen.where(F.col("__inside") & F.col("px").between(left, right) & F.col("py").between(top, bottom))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,6 +54,15 @@ def topology_drift(reference: DataFrame, returned: DataFrame, matches: DataFrame
     return lost.unionByName(moved.exceptAll(own).select(F.lit("returned").alias("side"), "v1", "v2", "v3"))
 
 
+def drift_summary(drift: DataFrame, sample: int = 16) -> DataFrame:
+    """(side, faces, face_check, sample) of the faces that one side has alone: how many, a check that doesn't depend on
+    their order, and the first few."""
+    first = Window.partitionBy("side").orderBy("v1", "v2", "v3")
+    few = drift.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample)  # a report of the first few, by design
+    listed = few.groupBy("side").agg(F.array_sort(F.collect_list(F.array("v1", "v2", "v3"))).alias("sample"))
+    return drift.groupBy("side").agg(F.count("*").alias("faces"), F.bit_xor(F.xxhash64("v1", "v2", "v3")).alias("face_check")).join(listed, "side")
+
+
 def bad_faces(faces: DataFrame, points: DataFrame) -> DataFrame:
     """(reason, v1, v2, v3): repeated corners, missing points, no area, or a face that is there twice."""
     f = faces.select("v1", "v2", "v3")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.model import Bounds, PlumblineError, SpatialReference, Transform
 from plumbline.operators import qa, terrain, workspace
-from plumbline.sources.spans import content_digest
+from plumbline.sources.spans import content_digest, ordered_batches
 
 
 @dataclass(frozen=True)
@@ -55,7 +55,7 @@ def prepare(spark: SparkSession, root: str, snapshot: DataFrame, lineage: str, r
         with open(done) as f:
             d = json.load(f)
         v, fa = spark.read.schema(terrain.VERTEX).parquet(paths["vertices"]), spark.read.schema(terrain.FACE).parquet(paths["faces"])
-        if list(_hashes(v, fa)) != [d["geometry"], d["topology"]] or any(r.n for r in terrain.surface_violations(v, fa).collect()):
+        if list(_hashes(v, fa)) != [d["geometry"], d["topology"]] or any(r.n for r in terrain.surface_violations(v, fa, transform.scale[:2]).collect()):
             raise PlumblineError("the stored surface doesn't match its descriptor")
         return Surface(v, fa, d, "opened")
     resumed = os.path.exists(os.path.join(paths["input"], "_SUCCESS"))
@@ -79,6 +79,27 @@ def prepare(spark: SparkSession, root: str, snapshot: DataFrame, lineage: str, r
     return Surface(v, fa, d, "resumed" if resumed else "built")
 
 
+def vertex_batches(surface: Surface, rows: int = 65_536):
+    """The vertices in order of their ids, as Arrow batches of a bounded size. Each call starts anew."""
+    yield from ordered_batches(surface.vertices, "vertex_id", rows)
+
+
+def face_batches(surface: Surface, rows: int = 65_536):
+    """The faces in order of their ids, as Arrow batches of a bounded size."""
+    yield from ordered_batches(surface.faces, "face_id", rows)
+
+
+def results_digest(report: Report, lineage: str, artifact: str, below: float, above: float) -> str:
+    """One digest of a report's ordered results, bound to the snapshot, the surface and the tolerance."""
+    parts = [["qa", lineage, artifact, below.hex(), above.hex()]]
+    for df, key in ((report.source_points, "ordinal"), (report.check_points, "id"), (report.profile, "idx")):
+        if df is not None:
+            named = df if key == "ordinal" else df.withColumn("ordinal", F.col(key))
+            own = [c for c in ("ordinal", "x", "y", "z", "face_id", "surface_z", "residual", "tolerance") if c in named.columns]
+            parts.append([key, own, content_digest(named, own).first()[0]])
+    return hashlib.sha256(json.dumps(parts).encode()).hexdigest()
+
+
 def compare(before: Surface, after: Surface) -> DataFrame:
     """Faces added and removed; surfaces of different recipes don't compare."""
     if before.descriptor["recipe"] != after.descriptor["recipe"]:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.geometry import orientation
+from plumbline.functions.geometry import orientation_sign
 from plumbline.model import PlumblineError, SpatialReference
 
 VERTEX, FACE = "vertex_id long, ordinal long, tx long, ty long, tz long", "face_id long, v1 long, v2 long, v3 long"
@@ -36,9 +36,9 @@ def grid_vertices(points: DataFrame, side: int) -> DataFrame:
     return points.select((F.col("tx") * side + F.col("ty") + 1).alias("vertex_id"), "ordinal", "tx", "ty", "tz")
 
 
-def grid_faces(spark: SparkSession, side: int) -> DataFrame:
-    """Faces of a full grid: every cell is cocircular and takes the diagonal of smaller ids; ids are closed-form."""
-    cells = spark.range((side - 1) * (side - 1)).select(F.col("id").alias("cell"), F.expr(f"id div {side - 1}").alias("i"), (F.col("id") % (side - 1)).alias("j"))
+def grid_faces(spark: SparkSession, rows: int, side: int) -> DataFrame:
+    """Faces of a full grid of rows of side points: every cell is cocircular and takes the diagonal of smaller ids; ids are closed-form."""
+    cells = spark.range((rows - 1) * (side - 1)).select(F.col("id").alias("cell"), F.expr(f"id div {side - 1}").alias("i"), (F.col("id") % (side - 1)).alias("j"))
     a = (F.col("i") * side + F.col("j") + 1).alias("a")
     two = F.array(F.struct((F.col("cell") * 2 + 1).alias("face_id"), F.col("a").alias("v1"), (F.col("a") + side).alias("v2"), (F.col("a") + side + 1).alias("v3")), F.struct((F.col("cell") * 2 + 2).alias("face_id"), F.col("a").alias("v1"), (F.col("a") + side + 1).alias("v2"), (F.col("a") + 1).alias("v3")))
     return cells.select("cell", a).select(F.explode(two).alias("f")).select("f.*")
@@ -159,22 +159,47 @@ def with_corners(faces: DataFrame, verts: DataFrame) -> DataFrame:
     return out
 
 
-def surface_violations(verts: DataFrame, faces: DataFrame) -> DataFrame:
+def _forbidden(inner: DataFrame, ratio: Fraction) -> DataFrame:
+    """Of inner edges (p, q) with the corners o and d across, in ticks: those whose circle through p, q, o holds d.
+
+    Doubles decide wherever their error bound allows; only what they leave open goes to Python's exact integers.
+    """
+    wide = lambda c: F.col(c).cast("decimal(38,0)")
+    ((ax, ay), (bx, by), (cx, cy)) = (((wide(f"{a}x") - wide("dx")).cast("double") * float(ratio), (wide(f"{a}y") - wide("dy")).cast("double")) for a in ("p", "q", "o"))
+    lift = [x * x + y * y for x, y in ((ax, ay), (bx, by), (cx, cy))]
+    crosses = [(bx * cy, cx * by), (cx * ay, ax * cy), (ax * by, bx * ay)]
+    det, size = F.lit(0.0), F.lit(0.0)
+    for l2, (u, v) in zip(lift, crosses, strict=True):
+        det, size = det + l2 * (u - v), size + l2 * (F.abs(u) + F.abs(v))
+    open_ = inner.withColumns({"det": det, "slack": size * 1e-13})
+    names = [f"{a}{b}" for a in "pqod" for b in "xy"]
+    num, den = ratio.numerator, ratio.denominator
+
+    def exact(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            held = [[v * (num if i % 2 == 0 else den) for v in batch.column(i).to_pylist()] for i in range(8)]
+            inside = [_in_circle(*((held[2 * k][r], held[2 * k + 1][r]) for k in range(4))) > 0 for r in range(batch.num_rows)]
+            yield batch.filter(pa.array(inside, pa.bool_()))
+
+    sure = open_.where("det > slack").select(names)
+    return sure.unionByName(open_.where("abs(det) <= slack or isnan(det)").select(names).mapInArrow(exact, ", ".join(f"{n} long" for n in names)))
+
+
+def surface_violations(verts: DataFrame, faces: DataFrame, scale_xy: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """(rule, n): faces not counter-clockwise or not canonical, edges of more than two faces, unused vertices, and inner
-    edges that a circle forbids. A sound surface has n = 0 throughout."""
+    edges that a circle forbids, in the plane of the scaled positions. A sound surface has n = 0 throughout."""
     c = with_corners(faces, verts)
-    turned = c.where(orientation(*[F.col(x) for x in ("x1", "y1", "x2", "y2", "x3", "y3")]) <= 0)
+    turned = c.where(orientation_sign(*[F.col(x) for x in ("x1", "y1", "x2", "y2", "x3", "y3")]) <= 0)
     uneven = faces.where("v1 > v2 or v1 > v3 or v2 = v3")
     edges = c.select("face_id", F.explode(F.array(*[F.struct(F.col(f"v{a}").alias("p"), F.col(f"v{b}").alias("q"), F.col(f"x{a}").alias("px"), F.col(f"y{a}").alias("py"), F.col(f"x{b}").alias("qx"), F.col(f"y{b}").alias("qy"), F.col(f"x{o}").alias("ox"), F.col(f"y{o}").alias("oy")) for a, b, o in ((1, 2, 3), (2, 3, 1), (3, 1, 2))])).alias("e")).select("face_id", "e.*")
     shared = edges.groupBy("p", "q").count().where("count > 1")
     unused = verts.join(faces.select(F.explode(F.array("v1", "v2", "v3")).alias("vertex_id")), "vertex_id", "left_anti")
     mate = edges.select(F.col("q").alias("p"), F.col("p").alias("q"), F.col("ox").alias("dx"), F.col("oy").alias("dy"))
     inner = edges.join(mate, ["p", "q"])
-    d = lambda a: [F.col(f"{a}x").cast("decimal(38,0)") - F.col("dx"), F.col(f"{a}y").cast("decimal(38,0)") - F.col("dy")]
-    (ax, ay), (bx, by), (cx, cy) = (([v.cast("decimal(12,0)") for v in d(a)]) for a in ("p", "q", "o"))
-    sq = lambda x, y: x * x + y * y
-    det = ax * (by * sq(cx, cy) - sq(bx, by) * cy) - ay * (bx * sq(cx, cy) - sq(bx, by) * cx) + sq(ax, ay) * (bx * cy - by * cx)
-    parts = [("orientation", turned), ("canonical", uneven), ("edge", shared), ("unused", unused), ("circle", inner.where(det > 0))]
+    circle = _forbidden(inner, Fraction(scale_xy[0]) / Fraction(scale_xy[1]))
+    parts = [("orientation", turned), ("canonical", uneven), ("edge", shared), ("unused", unused), ("circle", circle)]
     out = None
     for rule, df in parts:
         one = df.agg(F.lit(rule).alias("rule"), F.count("*").alias("n"))
@@ -201,7 +226,3 @@ def change_bounds(changed: DataFrame, points: DataFrame) -> DataFrame:
     """Extremes, in ticks, of the vertices of changed faces."""
     hit = changed.select(F.explode(F.array("k1", "k2", "k3")).alias("ordinal")).distinct().join(points, "ordinal")
     return hit.agg(F.count("*").alias("vertices"), *[f(f"t{a}").alias(f"{n}_t{a}") for a in "xyz" for n, f in (("min", F.min), ("max", F.max))])
-
-
-def ranked_faces(faces: DataFrame) -> DataFrame:
-    return faces.withColumn("face_id", F.row_number().over(Window.orderBy("v1", "v2", "v3")))

@@ -11,10 +11,11 @@ import json
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.model import Bounds, PlumblineError, Transform
+from plumbline.sources.spans import content_digest, read_spans
 
 
 def overlay(revision_rows: DataFrame, seq: int) -> DataFrame:
@@ -27,6 +28,12 @@ def snapshot(points: DataFrame, revision_rows: DataFrame, seq: int) -> DataFrame
     return points.join(overlay(revision_rows, seq), "ordinal", "left").withColumn("classification", F.coalesce("value", "classification")).drop("value")
 
 
+def snapshot_spans(points: DataFrame, revision_rows: DataFrame, seq: int, spans: list[tuple[int, int]]) -> DataFrame:
+    """The part of a snapshot that some spans cover. Both sides get the spans' ranges, so that overlay files whose ordinals
+    lie elsewhere are skipped by their statistics."""
+    return snapshot(read_spans(points, spans), read_spans(revision_rows, spans), seq)
+
+
 def query(rows: DataFrame, transform: Transform, bounds: Bounds | None = None, classification: int | None = None) -> DataFrame:
     """All rows in the box (closed) and of the class; either may be left out. Complete, never cut."""
     if bounds is not None:
@@ -89,6 +96,19 @@ def footprint(revision: DataFrame, points: DataFrame, transform: Transform) -> D
     return world.agg(F.count("*").alias("points"), *[f(a).alias(f"{n}_{a}") for a in "xyz" for n, f in (("min", F.min), ("max", F.max))])
 
 
+def rows_check() -> Column:
+    """A check of a revision's rows that doesn't depend on their order."""
+    return F.coalesce(F.bit_xor(F.xxhash64("ordinal", "before", "after")), F.lit(0))
+
+
+def chained(before: str, body: dict) -> str:
+    return hashlib.sha256((before + json.dumps(body, sort_keys=True)).encode()).hexdigest()
+
+
+def root_revision(source_id: str) -> str:
+    return hashlib.sha256(f"root|{source_id}".encode()).hexdigest()
+
+
 @dataclass(frozen=True)
 class Outcome:
     state: str  # committed, rejected or indeterminate
@@ -99,35 +119,77 @@ class Outcome:
 class Workspace:
     """A linear chain of revisions over a source. The folder must be one that driver and executors share."""
 
-    def __init__(self, spark: SparkSession, root: str, points: DataFrame, source_id: str = "source"):
-        self.spark, self.root, self.points, self.source_id = spark, root, points, source_id
+    def __init__(self, spark: SparkSession, root: str, points: DataFrame, source_id: str = "source", transform: Transform = Transform()):
+        self.transform = transform
+        self.spark, self.root, self.points, self.source_id, self._torn = spark, root, points, source_id, 0
+        self._lock = None
 
     @classmethod
-    def create(cls, spark: SparkSession, root: str, points: DataFrame, source_id: str = "source") -> Workspace:
+    def create(cls, spark: SparkSession, root: str, points: DataFrame, source_id: str = "source", transform: Transform = Transform()) -> Workspace:
         os.makedirs(os.path.join(root, "operations"), exist_ok=False)
         with open(os.path.join(root, "manifest.json"), "x") as f:
-            json.dump({"source": source_id, "root": hashlib.sha256(f"root|{source_id}".encode()).hexdigest()}, f)
-        return cls(spark, root, points, source_id)
+            json.dump({"source": source_id, "root": root_revision(source_id)}, f)
+        made = cls(spark, root, points, source_id, transform)
+        made.lock()
+        return made
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str, points: DataFrame) -> Workspace:
+    def open(cls, spark: SparkSession, root: str, points: DataFrame, transform: Transform = Transform()) -> Workspace:
+        """Takes the workspace's lock, checks the manifest, the chain and that the rows of every revision are there in the
+        recorded number; anything amiss is an error, and nothing is repaired but a torn last line."""
         with open(os.path.join(root, "manifest.json")) as f:
-            found = cls(spark, root, points, json.load(f)["source"])
-        if [r["seq"] for r in found.revisions()] != list(range(1, len(found.revisions()) + 1)):
+            held = json.load(f)
+        found = cls(spark, root, points, held["source"], transform)
+        if held.get("root") != root_revision(found.source_id):
+            raise PlumblineError("the manifest is damaged")
+        chain = found.revisions()
+        if [r["seq"] for r in chain] != list(range(1, len(chain) + 1)):
             raise PlumblineError("the revision chain has a gap")
+        counts = {r.seq: (r.n, r.h) for r in found.rows().groupBy("seq").agg(F.count("*").alias("n"), rows_check().alias("h")).collect()}  # a row for each revision
+        if bad := [r["seq"] for r in chain if counts.get(r["seq"]) != (r["changed_points"], r["rows_check"])]:
+            raise PlumblineError(f"the rows of revision {bad[0]} are damaged")
+        found.lock()
         return found
 
+    def lock(self) -> None:
+        """One holder at a time: the file is created only once. A holder that died leaves it; unlock(root) removes it."""
+        try:
+            self._lock = os.open(os.path.join(self.root, "lock"), os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+        except FileExistsError:
+            raise PlumblineError("the workspace is locked") from None
+        os.write(self._lock, f"{os.getpid()}\n".encode())
+
+    def close(self) -> None:
+        if self._lock is not None:
+            os.close(self._lock)
+            self._lock = None
+            os.remove(os.path.join(self.root, "lock"))
+
+    @staticmethod
+    def unlock(root: str) -> None:
+        """Removes the lock of a holder that is known to have ended."""
+        os.remove(os.path.join(root, "lock"))
+
     def revisions(self) -> list[dict]:
         path = os.path.join(self.root, "revisions.jsonl")
         if not os.path.exists(path):
             return []
-        out = []
-        with open(path) as f:
-            for line in f:
-                try:
-                    out.append(json.loads(line))
-                except ValueError:
-                    break  # a torn tail
+        with open(path, "rb") as f:
+            lines = f.read().split(b"\n")
+        torn = lines.pop()  # what a crash cut off before its line end; never acknowledged
+        out: list[dict] = []
+        for line in lines:
+            try:
+                held = json.loads(line)
+                body = {k: v for k, v in held.items() if k != "digest"}
+                sound = held["digest"] == chained(out[-1]["digest"] if out else "", body)
+            except (ValueError, KeyError, TypeError):
+                sound = False
+            if not sound:
+                raise PlumblineError(f"revision line {len(out) + 1} is damaged")
+            out.append(held)
+        if torn:
+            self._torn = len(torn)
         return out
 
     def head(self) -> int:
@@ -184,14 +246,16 @@ class Workspace:
 
     def set_classification(self, operation: str, points: DataFrame, value: int, expected_head: int, source_id: str | None = None, max_points: int | None = None) -> Outcome:
         """Checks in order: known operation, foreign set, stale head, limit, nothing to change."""
-        digest = hashlib.sha256(f"set|{value}|{expected_head}".encode()).hexdigest()
+        ids = points.select("ordinal").distinct()
+        facts = [value, expected_head, source_id, max_points, ids.count(), content_digest(ids, ["ordinal"]).first()[0]]
+        digest = hashlib.sha256(json.dumps(["set", *facts]).encode()).hexdigest()
         if found := self._existing(operation, digest):
             return found
         if source_id not in (None, self.source_id):
             return self._reject(operation, digest, "ForeignPointSet")
         if expected_head != self.head():
             return self._reject(operation, digest, "StaleHead")
-        rows = changes(self.snapshot().join(points.select("ordinal").distinct(), "ordinal", "left_semi"), value)
+        rows = changes(self.snapshot().join(ids, "ordinal", "left_semi"), value)
         return self._commit(operation, digest, rows, {"kind": "set", "value": value}, max_points)
 
     def revert_head(self, operation: str, expected_head: int) -> Outcome:
@@ -208,12 +272,12 @@ class Workspace:
         seq = self.head() + 1
         staging = os.path.join(self.root, f"staging-{operation}")
         rows.repartitionByRange("ordinal").sortWithinPartitions("ordinal").write.mode("overwrite").parquet(staging)
-        count = self.spark.read.schema("ordinal long, before long, after long").parquet(staging).count()
+        count, check = self.spark.read.schema("ordinal long, before long, after long").parquet(staging).agg(F.count("*"), rows_check()).first()
         if not count:
             return self._reject(operation, digest, "NoChanges")
         if max_points is not None and count > max_points:
             return self._reject(operation, digest, "LimitExceeded")
-        self._record(operation, digest, state="ready", seq=seq, facts=facts | {"changed_points": count})
+        self._record(operation, digest, state="ready", seq=seq, facts=facts | {"changed_points": count, "rows_check": check})
         return self.retry(operation)
 
     def retry(self, operation: str) -> Outcome:
@@ -230,8 +294,14 @@ class Workspace:
                 os.makedirs(os.path.dirname(target), exist_ok=True)
                 os.rename(staging, target)
             if not any(r["seq"] == seq for r in self.revisions()):
-                with open(os.path.join(self.root, "revisions.jsonl"), "a") as f:
-                    f.write(json.dumps({"seq": seq, "parent": seq - 1, "operation": operation, **held["facts"]}) + "\n")
+                known = self.revisions()
+                path = os.path.join(self.root, "revisions.jsonl")
+                if self._torn:
+                    os.truncate(path, os.path.getsize(path) - self._torn)
+                    self._torn = 0
+                body = {"seq": seq, "parent": seq - 1, "operation": operation, **held["facts"]}
+                with open(path, "a") as f:
+                    f.write(json.dumps(body | {"digest": chained(known[-1]["digest"] if known else "", body)}) + "\n")
                     f.flush()
                     os.fsync(f.fileno())
         except OSError:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from plumbline import views
 from plumbline.functions import geometry as g
-from plumbline.model import Bounds, Transform
-from plumbline.operators import index, qa, review, roundtrip, terrain, workspace
+from plumbline.model import Bounds, PlumblineError, SpatialReference, Transform
+from plumbline.operators import audit, index, point_set, qa, review, roundtrip, store, surfaces, terrain, workspace
 from plumbline.plans import view as plans
+from plumbline.runtime import local_folder
 from plumbline.sources import spans as sp
 from plumbline.streaming import render_state
 
@@ -37,8 +38,8 @@ WE = "world_e AS (SELECT *, CAST(tx AS DOUBLE) AS x, CAST(ty AS DOUBLE) AS y, CA
 RR = """c AS (SELECT ordinal, classification AS c0, CASE WHEN ordinal % 7 = 0 THEN 2 ELSE classification END AS c1 FROM points_e),
 d AS (SELECT *, CASE WHEN ordinal % 11 = 0 THEN 1 ELSE c1 END AS c2 FROM c),
 revision_rows AS (SELECT 1 AS seq, ordinal, c0 AS before, c1 AS after FROM d WHERE c0 <> c1 UNION ALL SELECT 2, ordinal, c1, c2 FROM d WHERE c1 <> c2 UNION ALL SELECT 3, ordinal, c2, c1 FROM d WHERE c1 <> c2)"""
-GR = """side AS (SELECT CAST(pow(2, floor(log2(sqrt(count(*)) - 1))) AS BIGINT) + 1 AS n FROM part),
-grid AS (SELECT p_partkey AS ordinal, p_partkey // n AS tx, p_partkey % n AS ty, CAST(round(p_retailprice * 10) AS BIGINT) AS tz, n FROM part, side WHERE p_partkey < n * n),
+GR = """side AS (SELECT max(c) // max(k) AS n FROM (SELECT count(*) AS c FROM part) t, range(1, 100000) r(k) WHERE c % k = 0 AND k * k <= c),
+grid AS (SELECT p_partkey AS ordinal, p_partkey // n AS tx, p_partkey % n AS ty, CAST(round(p_retailprice * 10) AS BIGINT) AS tz, n FROM part, side),
 verts AS (SELECT row_number() OVER (ORDER BY tx, ty, tz, ordinal) AS vertex_id, * FROM grid),
 cells AS (SELECT a.vertex_id AS a, b.vertex_id AS b, c.vertex_id AS c, d.vertex_id AS d FROM verts a JOIN verts b ON b.tx = a.tx AND b.ty = a.ty + 1 JOIN verts c ON c.tx = a.tx + 1 AND c.ty = a.ty JOIN verts d ON d.tx = a.tx + 1 AND d.ty = a.ty + 1),
 tri AS (SELECT a AS v1, c AS v2, d AS v3 FROM cells UNION ALL SELECT a, d, b FROM cells),
@@ -161,9 +162,9 @@ def _(s, d):
     return index.pruned_query(p, index.blocks(p, TE, 256), BOX_E, TE, 256).select("ordinal", "tx", "ty", "tz", "classification")
 
 
-@query("candidate_span_merge", f"WITH {PE}, {WE}, {_BLOCKS.format(t='world_e').replace('4096', '256')} " + _ISLANDS.format(src="(SELECT first_ordinal AS a, point_count AS n FROM blocks WHERE block_id % 5 <> 3) v"))
+@query("candidate_span_merge", f"WITH {PE}, {WE}, {_BLOCKS.format(t='world_e').replace('4096', '256')} " + _ISLANDS.format(src="(SELECT first_ordinal AS a, point_count AS n FROM blocks WHERE max_z < 310.0) v"))
 def _(s, d):
-    return index.merge_adjacent(index.blocks(views.points_e(s, d), TE, 256).where("block_id % 5 <> 3"))
+    return index.merge_adjacent(index.blocks(views.points_e(s, d), TE, 256).where("max_z < 310.0"))
 
 
 def _mul(x: str, c: int) -> str:
@@ -225,15 +226,15 @@ def _(s, d):
     return workspace.summary(workspace.query(workspace.snapshot(*_edited(s, d), 2), TE, None, 1)).drop("candidate_count")
 
 
-@query("select_point_ids", f"WITH {PE} SELECT ordinal, classification FROM points_e WHERE ordinal IN (SELECT o_custkey % 100 FROM orders)")
+@query("select_point_ids", f"WITH {PE} SELECT ordinal, classification FROM points_e WHERE ordinal IN (SELECT o_custkey FROM orders)")
 def _(s, d):
-    ids = s.read.parquet(f"{d}/orders.parquet").select((F.col("o_custkey") % 100).alias("ordinal"))
+    ids = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("ordinal"))
     return workspace.select_ids(views.points_e(s, d), ids).select("ordinal", "classification")
 
 
-@query("point_id_spans", _ISLANDS.format(src="(SELECT DISTINCT event_id AS a, 1 AS n FROM events WHERE user_id % 3 <> 0) v"))
+@query("point_id_spans", _ISLANDS.format(src="(SELECT DISTINCT event_id AS a, 1 AS n FROM events WHERE event_type <> (SELECT min(event_type) FROM events)) v"))
 def _(s, d):
-    return workspace.id_spans(s.read.parquet(f"{d}/events.parquet").where("user_id % 3 <> 0").select(F.col("event_id").alias("ordinal")))
+    return workspace.id_spans(views.points_e(s, d).where("classification <> 0"))
 
 
 @query("confirm_pick", f"WITH {PE}, {WE} SELECT ordinal, tx, ty, tz, x, y, z, classification FROM world_e WHERE ordinal = 77")
@@ -273,6 +274,11 @@ def _(s, d):
     return ids.join(views.points_e(s, d).where("classification = 2"), "ordinal", "left_anti").agg(F.count("*").alias("foreign_ids"))
 
 
+@query("snapshot_span_rows", f"WITH {PE}, {RR}, {_SNAP.format(n=3)} SELECT ordinal, classification FROM snap WHERE ordinal BETWEEN 10 AND 24 OR ordinal BETWEEN 100 AND 104 OR ordinal BETWEEN 200 AND 249")
+def _(s, d):
+    return workspace.snapshot_spans(*_edited(s, d), 3, sp.check_spans(SPANS, 10**9)).select("ordinal", "classification")
+
+
 # Review.
 def _screen_sql(c: g.Camera) -> str:
     f, r, u = c.basis()
@@ -305,8 +311,8 @@ query("screen_through_ortho", _screen_sql(CAMERA_O))(_screen(CAMERA_O))
 
 # Terrain.
 def _grid(s, d):
-    p, n = views.grid_points(s, d)
-    return terrain.grid_vertices(p, n), terrain.grid_faces(s, n), n
+    p, rows, n = views.grid_points(s, d)
+    return terrain.grid_vertices(p, n), terrain.grid_faces(s, rows, n), n
 
 
 @query("tin_vertices", f"WITH {GR} SELECT vertex_id, ordinal, tx, ty, tz FROM verts")
@@ -609,5 +615,164 @@ def _(s, d):
     return s.createDataFrame([(record["source_id"], record["content_hash"], record["point_count"])], "source_id string, content_hash string, point_count long")
 
 
+# Digests, point sets, audits and the stored index.
+def _framed(c: str) -> str:
+    return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '~')"
+
+
+def _digest_sql(name: str, src: str, columns: list[str]) -> str:
+    """CTEs that end in name(h): rows in chunks of 4096 ordinals, then chunk digests, three times, then the whole."""
+    out = f"{name}_0 AS (SELECT ordinal, {' || '.join(map(_framed, columns))} AS t FROM {src})"
+    for i in range(3):
+        out += f", {name}_{i + 1} AS (SELECT ordinal // 4096 AS ordinal, sha256(string_agg({_framed('t')}, '' ORDER BY ordinal)) AS t FROM {name}_{i} GROUP BY ordinal // 4096)"
+    return out + f", {name} AS (SELECT sha256(coalesce(string_agg({_framed('t')}, '' ORDER BY ordinal), '')) AS h FROM {name}_3)"
+
+
+_CONTENT = ["ordinal", "tx", "ty", "tz", "classification"]
+SQL["content_digest"] = f"WITH {PE}, {_digest_sql('a', 'points_e', _CONTENT)} SELECT h AS content_hash FROM a"
+
+
+@query("digest_framing", "SELECT true AS differ")
+def _(s, d):
+    """Cells that run into one another, and nulls that look like values, have digests of their own."""
+    a, b, c = (s.createDataFrame([(0, x, y)], "ordinal long, x string, y string") for x, y in (("a|b", "c"), ("a", "b|c"), ("a|b", None)))
+    return _all_differ(s, [sp.content_digest(x, ["x", "y"]) for x in (a, b, c, b.withColumn("y", F.lit("~")))])
+
+
+def _all_differ(s, digests):
+    out = digests[0]
+    for x in digests[1:]:
+        out = out.unionByName(x)
+    return out.agg((F.countDistinct("content_hash") == len(digests)).alias("differ"))
+
+
+_HITS = f"{PE}, {WE}, {RR}, {_SNAP.format(n=3)}, ws AS (SELECT s.*, w.x, w.y, w.z FROM snap s JOIN (SELECT ordinal, x, y, z FROM world_e) w USING (ordinal)), hit AS (SELECT * FROM ws WHERE {_box(BOX_E)} AND classification = 2)"
+_MET = " AND ".join(f"max_{c} >= {lo} AND min_{c} <= {hi}" for c, lo, hi in zip("xyz", BOX_E.low, BOX_E.high, strict=True))
+
+
+@query("point_set_hashes", f"WITH {_HITS}, {_BLOCKS.format(t='world_e').replace('4096', '256')}, {_digest_sql('dg_i', 'hit', ['ordinal'])}, {_digest_sql('dg_c', 'hit', _CONTENT)} SELECT (SELECT CAST(sum(point_count) AS BIGINT) FROM blocks WHERE {_MET}) AS candidate_count, (SELECT count(*) FROM hit) AS exact_count, (SELECT h FROM dg_i) AS point_id_hash, (SELECT h FROM dg_c) AS content_hash")
+def _(s, d):
+    snap = workspace.snapshot(*_edited(s, d), 3)
+    return point_set.terminal_summary(snap, workspace.query(snap, TE, BOX_E, 2), BOX_E, TE, 256)
+
+
+@query("span_facts", f"WITH {PE}, f AS (SELECT * FROM points_e WHERE ordinal BETWEEN 10 AND 24 OR ordinal BETWEEN 100 AND 104 OR ordinal BETWEEN 200 AND 249), {_digest_sql('i', 'f', ['ordinal'])} SELECT 3 AS spans, 70 AS points, (SELECT count(*) FROM f) AS found, (SELECT h FROM i) AS point_id_hash")
+def _(s, d):
+    return point_set.span_facts(views.points_e(s, d), sp.check_spans(SPANS, 10**9))
+
+
+@query("point_set_stored", f"WITH {_HITS} SELECT ordinal, classification FROM hit")
+def _(s, d):
+    """Through the stored form: built, opened again and held against its facts."""
+    snap = workspace.snapshot(*_edited(s, d), 3)
+    folder = local_folder(s, "point-set")
+    point_set.PointSet.build(s, folder, snap, "events", 3, TE, BOX_E, 2, 256)
+    return point_set.PointSet.open(s, folder).rows().select("ordinal", "classification")
+
+
+@query("revision_audit", f"""WITH {PE}, {WE}, {RR}, r AS (SELECT * FROM revision_rows JOIN world_e USING (ordinal) WHERE seq = 2), {_digest_sql('p', 'r', ['ordinal', 'tx', 'ty', 'tz'])}, t AS (SELECT before, after, count(*) AS n FROM r GROUP BY ALL)
+SELECT (SELECT count(*) FROM r) AS changed_points, (SELECT string_agg(before || '>' || after || ':' || n, ',' ORDER BY before, after) FROM t) AS transitions, (SELECT h FROM p) AS position_hash, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM r""")
+def _(s, d):
+    p, r = _edited(s, d)
+    out = audit.revision_audit(r.where("seq = 2"), p, TE)
+    listed = F.array_join(F.transform("transitions", lambda t: F.concat(t.before.cast("string"), F.lit(">"), t.after.cast("string"), F.lit(":"), t.points.cast("string"))), ",")
+    return out.withColumn("transitions", listed)
+
+
+def _store(s, d):
+    points = views.points_e(s, d)
+    return points, store.build(s, local_folder(s, "index"), points, "events", TE, store.Recipe((), 256, 64))
+
+
+@query("index_query", SQL["snapshot_box_rows"])
+def _(s, d):
+    points, found = _store(s, d)
+    return points.join(found.query(BOX_E).select("ordinal"), "ordinal", "left_semi").select("ordinal", "tx", "ty", "tz", "classification")
+
+
+@query("index_blocks", f"WITH {PE}, {WE}, {_BLOCKS.format(t='world_e').replace('4096', '256')} SELECT * FROM blocks")
+def _(s, d):
+    return _store(s, d)[1].table("blocks")
+
+
+@query("index_node_read", f"WITH {PE}, {WE}, {_PRIO} SELECT ordinal, tx, ty, tz, x, y, z FROM prio JOIN (SELECT ordinal AS o, x, y, z FROM world_e) ON o = ordinal ORDER BY p, ordinal LIMIT 64")
+def _(s, d):
+    return _store(s, d)[1].read_node(0)
+
+
+@query("index_leaf_read", f"WITH {PE}, {WE} SELECT ordinal, tx, ty, tz, x, y, z FROM world_e WHERE ordinal < 256")
+def _(s, d):
+    found = _store(s, d)[1]
+    leaf = found.table("nodes").where("block_id = 0").first().node_id
+    return found.read_node(leaf)
+
+
+@query("index_sample_problems", "SELECT 0 AS problems")
+def _(s, d):
+    points, found = _store(s, d)
+    return store.sample_problems(points, found.table("samples"), found.table("nodes"), found.recipe).agg(F.count("*").alias("problems"))
+
+
+@query("index_resume", "SELECT 'frames' AS stopped, true AS same UNION ALL SELECT 'tree', true")
+def _(s, d):
+    """Builds that were cut off go on and end in the same manifest as one that wasn't."""
+    points, whole = _store(s, d)
+    rows = []
+    for at in ("frames", "tree"):
+        folder = local_folder(s, "index")
+        try:
+            store.build(s, folder, points, "events", TE, whole.recipe, stop_after=at)
+        except PlumblineError:
+            rows.append((at, store.build(s, folder, points, "events", TE, whole.recipe).manifest == whole.manifest))
+    return s.createDataFrame(rows, "stopped string, same boolean")
+
+
+@query("relative_positions", f"WITH {PE}, {WE} SELECT ordinal, CAST(CAST(x - 75.0 AS FLOAT) AS DOUBLE) AS rx, CAST(CAST(y - 1000000.0 AS FLOAT) AS DOUBLE) AS ry, CAST(CAST(z - 250.0 AS FLOAT) AS DOUBLE) AS rz FROM world_e")
+def _(s, d):
+    out = store.relative_positions(views.points_e(s, d).select("ordinal", *TE.columns()), (75.0, 1000000.0, 250.0))
+    return out.select("ordinal", *[F.col(c).cast("double").alias(c) for c in ("rx", "ry", "rz")])
+
+
+@query("orientation_far_ticks", "WITH e AS (SELECT event_id, user_id, event_id % 7 - 3 AS k FROM events), p AS (SELECT event_id, k, CAST(user_id AS HUGEINT) * 10000000000000000 AS u FROM e) SELECT event_id, CASE WHEN k * u > 0 THEN 1 WHEN k * u < 0 THEN -1 ELSE 0 END AS side FROM p")
+def _(s, d):
+    """c lies k ticks left of the line from (-u, -u) to (u, u), u up to 1.5 * 10^18."""
+    u = F.col("user_id") * 10_000_000_000_000_000
+    k = F.col("event_id") % 7 - 3
+    return s.read.parquet(f"{d}/events.parquet").select("event_id", g.orientation_sign(-u, -u, u, u, F.expr("event_id") * 0 + u, u + k).cast("long").alias("side"))
+
+
+@query("display_grey", f"WITH {PU} SELECT intensity, count(*) AS n, (intensity * 1311 * 255 + 32767) // 65535 AS grey, 255 AS alpha FROM points_u GROUP BY intensity")
+def _(s, d):
+    p = views.lines_unordered(s, d).groupBy("intensity").agg(F.count("*").alias("n"))
+    return p.withColumn("c", g.grey(F.col("intensity") * 1311)).select("intensity", "n", F.col("c")[0].alias("grey"), F.col("c")[3].alias("alpha"))
+
+
+@query("operation_outcomes", "SELECT * FROM (VALUES ('again', 'committed', NULL), ('other_points', 'rejected', 'OperationConflict'), ('other_value', 'rejected', 'OperationConflict'), ('revert', 'committed', NULL), ('stale', 'rejected', 'StaleHead')) v(step, state, reason)")
+def _(s, d):
+    p = views.points_e(s, d)
+    w = workspace.Workspace.create(s, local_folder(s, "workspace"), p, "events", TE)
+    first = workspace.query(p, TE, BOX_E)
+    w.set_classification("a", first, 9, 0)
+    steps = {
+        "again": w.set_classification("a", first, 9, 0),
+        "other_points": w.set_classification("a", workspace.query(p, TE, None, 1), 9, 0),
+        "other_value": w.set_classification("a", first, 8, 0),
+        "stale": w.set_classification("b", first, 8, 0),
+        "revert": w.revert_head("c", 1),
+    }
+    w.close()
+    return s.createDataFrame([(k, v.state, v.reason) for k, v in steps.items()], "step string, state string, reason string")
+
+
+@query("surface_warm_open", "SELECT * FROM (VALUES ('built', true), ('opened', true)) v(disposition, sound)")
+def _(s, d):
+    """Points in general position under a scale that differs by axis: built, opened again, and sound both times."""
+    points = s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("ordinal"), F.expr("s_suppkey * 7919 % 1009").alias("tx"), F.expr("s_suppkey * 104729 % 997").alias("ty"), F.round("s_acctbal").cast("long").alias("tz"), F.lit(2).cast("long").alias("classification"))
+    t, folder = Transform((0.0, 0.0, 0.0), (0.25, 1.0, 0.1)), local_folder(s, "surfaces")
+    made = [surfaces.prepare(s, folder, points, "suppliers", surfaces.Recipe(), t, SpatialReference(32647, 5703)) for _ in range(2)]
+    sound = [not any(r.n for r in terrain.surface_violations(m.vertices, m.faces, t.scale[:2]).collect()) for m in made]
+    return s.createDataFrame([(m.disposition, ok) for m, ok in zip(made, sound, strict=True)], "disposition string, sound boolean")
+
+
 QUERIES = Q
 ORACLE_SQL = SQL

@@ -71,3 +71,14 @@ def discard(*written: DataFrame) -> None:
         held = _written.pop(id(df), None)
         if held:
             _remove(df.sparkSession, held[1])
+
+
+def local_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder below the shared one, for stores that name and rename their files themselves. It needs a
+    shared file system with a path; stores of objects can't rename."""
+    top = shared_dir(spark)
+    if not top.startswith(("file:", "/")):
+        raise ValueError(f"{top} is not a folder with a path")
+    path = os.path.join("/" + top.removeprefix("file:").lstrip("/"), f"{name}-{uuid.uuid4().hex}")
+    atexit.register(_remove, spark, f"file://{path}")
+    return path

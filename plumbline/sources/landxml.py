@@ -6,6 +6,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from datetime import datetime
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,16 +32,18 @@ def plain(x: float) -> str:
 
 
 def valid_date(value: str) -> bool:
-    if not re.fullmatch(r"\d{4}-\d{2}-\d{2}", value):
-        return False
-    y, m, d = map(int, value.split("-"))
-    days = [31, 29 if y % 4 == 0 and (y % 100 or y % 400 == 0) else 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
-    return 1 <= m <= 12 and 1 <= d <= days[m - 1]
+    return _parses(value, r"\d{4}-\d{2}-\d{2}", "%Y-%m-%d")
 
 
 def valid_time(value: str) -> bool:
-    m = re.fullmatch(r"(\d{2}):(\d{2}):(\d{2})Z", value)
-    return bool(m) and int(m[1]) <= 23 and int(m[2]) <= 59 and int(m[3]) <= 59
+    return _parses(value, r"\d{2}:\d{2}:[0-5]\dZ", "%H:%M:%SZ")
+
+
+def _parses(value: str, form: str, calendar: str) -> bool:
+    try:
+        return bool(re.fullmatch(form, value, re.A) and datetime.strptime(value, calendar))
+    except ValueError:
+        return False
 
 
 def point_rows(verts: DataFrame, transform: Transform) -> DataFrame:
@@ -90,8 +93,66 @@ def write(verts: DataFrame, faces: DataFrame, transform: Transform, reference: S
     return digest.hexdigest()
 
 
+#: The elements of the subset that is read: parent, and the attributes that each must have.
+_TREE = {"LandXML": (None, ("version",)), "CoordinateSystem": ("LandXML", ("horizontalCoordinateSystemName", "verticalDatum", "desc")), "Units": ("LandXML", ()), "Metric": ("Units", ("linearUnit",)), "Surfaces": ("LandXML", ()), "Surface": ("Surfaces", ("name",)), "Definition": ("Surface", ("surfType",)), "Pnts": ("Definition", ()), "P": ("Pnts", ("id",)), "Faces": ("Definition", ()), "F": ("Faces", ())}
+
+
+def check_strict(path: str, max_bytes: int = 1 << 30, max_rows: int = 20_000_000) -> tuple[int, int]:
+    """Streams a file once and returns its numbers of points and faces; anything outside the subset that write makes is an
+    error: other elements or places, repeated single elements, document types, units, ids, numbers that aren't finite.
+    Memory holds one element and the ids; files and rows beyond the limits are errors."""
+    import math
+    from xml.etree import ElementTree
+
+    def fail(why: str):
+        raise PlumblineError(f"{os.path.basename(path)}: {why}")
+
+    if os.path.getsize(path) > max_bytes:
+        fail(f"more than {max_bytes} bytes")
+    with open(path, "rb") as f:
+        if re.search(rb"<!(DOCTYPE|ENTITY)", f.read(1 << 16)):
+            fail("document types are not read")
+    above: list[str] = []
+    seen: dict[str, int] = {}
+    ids: set[int] = set()
+    try:
+        for event, e in ElementTree.iterparse(path, events=("start", "end")):
+            space, _, name = e.tag.rpartition("}")
+            if event == "start":
+                if space != "{" + NAMESPACE or name not in _TREE or _TREE[name][0] != (above[-1] if above else None):
+                    fail(f"{e.tag} has no place here")
+                if missing := [a for a in _TREE[name][1] if a not in e.attrib]:
+                    fail(f"{name} lacks {missing}")
+                seen[name] = seen.get(name, 0) + 1
+                if seen[name] > (max_rows if name in ("P", "F") else 1):
+                    fail(f"too many {name}")
+                above.append(name)
+                continue
+            above.pop()
+            parts = (e.text or "").split()
+            if name == "P":
+                if len(parts) != 3 or not all(math.isfinite(float(v)) for v in parts) or not re.fullmatch(r"[1-9]\d{0,17}", e.attrib["id"]) or int(e.attrib["id"]) in ids:
+                    fail(f"point {e.attrib['id']}")
+                ids.add(int(e.attrib["id"]))
+            elif name == "F" and (len(parts) != 3 or not all(re.fullmatch(r"[1-9]\d{0,17}", v) for v in parts)):
+                fail(f"face {seen['F']}")
+            elif name == "LandXML" and e.attrib["version"] != "1.2" or name == "Definition" and e.attrib["surfType"] != "TIN" or name == "Metric" and e.attrib["linearUnit"] != "meter":
+                fail(f"{name} of another kind")
+            elif name not in ("P", "F") and parts:
+                fail(f"text in {name}")
+            e.clear()
+    except (ElementTree.ParseError, ValueError) as error:
+        if isinstance(error, PlumblineError):
+            raise
+        fail(str(error))
+    if lacking := [n for n in _TREE if n not in seen]:
+        fail(f"no {lacking[0]}")
+    return seen["P"], seen["F"]
+
+
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(points: id, x, y, z; faces: v1, v2, v3) of a surface file."""
+    """(points: id, x, y, z; faces: v1, v2, v3) of a surface file, which must pass check_strict."""
+    check_strict(path)
     p = spark.read.format("xml").option("rowTag", "P").schema("_VALUE string, _id long").load(path)
     xyz = F.split(F.trim("_VALUE"), r"\s+")
     points = p.select(F.col("_id").alias("id"), xyz[1].cast("double").alias("x"), xyz[0].cast("double").alias("y"), xyz[2].cast("double").alias("z"))

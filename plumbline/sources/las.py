@@ -60,8 +60,13 @@ class Header:
         return self.record_bytes - RECORD_BYTES[self.point_format]
 
 
-def read_header(data: bytes) -> Header:
-    """Parses a header and its variable-length records; the two point counts must agree."""
+#: Bytes of extended records that a file may have; more is an error.
+MAX_EXTENDED = 64 << 20
+
+
+def read_header(data: bytes, tail=None) -> Header:
+    """Parses a header and its records, extended ones included (tail: the bytes from a place on); the two point counts must
+    agree."""
     if data[:4] != b"LASF":
         raise UnsupportedFormat("not a LAS file")
     major, minor = data[24], data[25]
@@ -81,6 +86,21 @@ def read_header(data: bytes) -> Header:
         user, rid, size = struct.unpack_from("<2x16sHH", data, at)
         records.append((user.rstrip(b"\0").decode("latin-1"), rid, data[at + 54 : at + 54 + size]))
         at += 54 + size
+    if (major, minor) >= (1, 4):  # extended records lie after the points
+        start, n_extended = struct.unpack_from("<QI", data, 235)
+        if n_extended:
+            if tail is None or start < offset + count * length:
+                raise PlumblineError("the extended records can't be read")
+            rest = tail(start)
+            at = 0
+            for _ in range(n_extended):
+                if at + 60 > len(rest):
+                    raise PlumblineError("an extended record is cut off")
+                user, rid, size = struct.unpack_from("<2x16sHQ", rest, at)
+                if at + 60 + size > len(rest):
+                    raise PlumblineError("an extended record is cut off")
+                records.append((user.rstrip(b"\0").decode("latin-1"), rid, rest[at + 60 : at + 60 + size]))
+                at += 60 + size
     return Header((major, minor), fmt, length, offset, count, Transform(off, scale), (ranges[1], ranges[3], ranges[5]), (ranges[0], ranges[2], ranges[4]), tuple(records))
 
 
@@ -94,11 +114,15 @@ def spatial_reference(header: Header) -> SpatialReference | str | None:
         return None
     shorts = struct.unpack(f"<{len(keys[0]) // 2}H", keys[0][: len(keys[0]) // 2 * 2])
     found: dict[int, int] = {}
+    seen: set[int] = set()
+    if len(shorts) < 4 + 4 * shorts[3]:
+        return None
     for i in range(4, min(len(shorts), 4 + 4 * shorts[3]) - 3, 4):
         key, where, n, value = shorts[i : i + 4]
+        if key in seen or where != 0 or n != 1:
+            return None  # any key that is there twice, or points elsewhere, leaves the whole unknown
+        seen.add(key)
         if key in (1024, 3072, 3076, 4096, 4099):
-            if key in found or where != 0 or n != 1:
-                return None
             found[key] = value
     units = {9001: "metre", 9002: "foot", 9003: "us_survey_foot"}
     if len(found) < 5 or found[1024] != 1 or found[3076] not in units or found[4099] not in units:
@@ -144,7 +168,16 @@ def _head(path: str) -> Header:
     with open(path.removeprefix("file://"), "rb") as f:
         data = f.read(375)
         offset = struct.unpack_from("<I", data, 96)[0] if len(data) >= 100 else 0
-        return read_header(data + f.read(max(0, offset - len(data))))
+        data += f.read(max(0, offset - len(data)))
+
+        def tail(start: int) -> bytes:
+            f.seek(start)
+            rest = f.read(MAX_EXTENDED + 1)
+            if len(rest) > MAX_EXTENDED:
+                raise PlumblineError(f"extended records of more than {MAX_EXTENDED} bytes")
+            return rest
+
+        return read_header(data, tail)
 
 
 @dataclass

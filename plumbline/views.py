@@ -65,19 +65,26 @@ def lines_unordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def grid_side(parts: int) -> int:
-    """2^k + 1, the largest whose square the parts fill."""
-    return 2 ** int(math.floor(math.log2(math.sqrt(parts) - 1))) + 1
+def grid_shape(parts: int) -> tuple[int, int]:
+    """Rows and columns of a full grid of so many points, as near to a square as their divisors allow."""
+    rows = next(k for k in range(math.isqrt(parts), 0, -1) if parts % k == 0)
+    return rows, parts // rows
 
 
-def grid_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    """A regular square of terrain points from the parts; its side."""
+def grid_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
+    """All parts as a full grid of terrain points; its rows and columns."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    n = grid_side(part.count())
-    rows = part.where(F.col("p_partkey") < n * n).select(
-        F.col("p_partkey").alias("ordinal"), F.expr(f"p_partkey div {n}").alias("tx"), (F.col("p_partkey") % n).alias("ty"), F.round(F.col("p_retailprice") * 10).cast("long").alias("tz")
-    )
-    return rows, n
+    rows, n = grid_shape(part.count())
+    points = part.select(F.col("p_partkey").alias("ordinal"), F.expr(f"p_partkey div {n}").alias("tx"), (F.col("p_partkey") % n).alias("ty"), F.round(F.col("p_retailprice") * 10).cast("long").alias("tz"))
+    return points, rows, n
+
+
+def synthetic_points(spark: SparkSession, n: int, width: int, first: int = 0) -> DataFrame:
+    """Test terrain: n points of a grid from an ordinal on, with slopes, steps and a hash's noise. The same for any split."""
+    o = F.col("id")
+    noise = F.pmod(F.xxhash64(F.lit(0x5EED), o), F.lit(9)) - 4
+    tx, ty = F.expr(f"id div {width}"), o % width
+    return spark.range(first, first + n).select(o.alias("ordinal"), tx.alias("tx"), ty.alias("ty"), (3 * tx + 5 * ty + F.when(tx % 64 < 8, 40).otherwise(0) + noise).alias("tz"), (F.pmod(noise, F.lit(2)) * 3 + 2).cast("long").alias("classification"))
 
 
 def revision_rows(points: DataFrame) -> DataFrame:

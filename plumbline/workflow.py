@@ -83,6 +83,14 @@ class Run:
 
     def __init__(self, root: str, run_id: str, intent: dict):
         os.makedirs(root, exist_ok=True)
+        path = os.path.join(root, "run.json")
+        if os.path.exists(path):
+            with open(path) as f:
+                if json.load(f) != {"run_id": run_id, "intent": intent}:
+                    raise PlumblineError("the run was started with another intent")
+        else:
+            ensure_report(path, {"run_id": run_id, "intent": intent})
+        self.root = root
         self.journal, self.intent = Journal(os.path.join(root, "journal.jsonl"), run_id), intent
 
     def advance(self, steps: dict[str, Callable[[dict], dict]], stop_after: str | None = None) -> dict:

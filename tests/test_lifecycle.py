@@ -71,7 +71,6 @@ def test_cli_inspects_runs(tmp_path, capsys):
     from plumbline.workflow import Run
 
     Run(str(tmp_path), "r", {}).advance({}, stop_after="comparison")
-    (tmp_path / "run.json").write_text('{"run_id": "r"}')
     assert main(["inspect", str(tmp_path)]) == 0 and '"complete": false' in capsys.readouterr().out
     assert main(["verify", str(tmp_path)]) == 1
 

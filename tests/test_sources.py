@@ -9,7 +9,7 @@ import pytest
 from plumbline.functions.geometry import MUL_1, MUL_2, ORDINAL_DOMAIN, STEP, unsigned_value, with_priority
 from plumbline.model import Bounds, PlumblineError, SpatialReference, Transform
 from plumbline.operators import index, terrain, workspace
-from plumbline.plans.view import Budget, Planner
+from plumbline.plans.view import Budget, Planner, RequestQueue
 from plumbline.sources import landxml, las, spans
 from plumbline.streaming import render_state
 from plumbline.workflow import PHASES, Journal, Run, ensure_report
@@ -138,6 +138,10 @@ def test_workspace(spark, tmp_path):
     assert w.set_classification("d", some, 1, 1, source_id="other").reason == "ForeignPointSet"
     assert w.set_classification("e", some, 9, 1, max_points=2).reason == "LimitExceeded"
     assert w.revert_head("f", 1) == workspace.Outcome("committed", 2)
+    assert w.set_classification("a", p.where("ordinal in (1, 4, 8)"), 42, 0).reason == "OperationConflict"
+    with pytest.raises(PlumblineError, match="locked"):
+        workspace.Workspace.open(spark, w.root, p)
+    w.close()
     again = workspace.Workspace.open(spark, w.root, p)
     classes = lambda n: [r.classification for r in again.snapshot(n).orderBy("ordinal").collect()]
     assert classes(0) == classes(2) == [i % 3 for i in range(10)] and classes(1)[4] == 42
@@ -186,6 +190,22 @@ def test_planner(spark):
     assert tight.cut == [0] and tight.requests == []
     with pytest.raises(PlumblineError):
         Planner().plan(frame.unionByName(frame), Budget(1, 1, 1))
+    # the second frame: 0 alone would need 1, which doesn't fit; together with 1, refined before, it needs nothing
+    rows = [(0, None, True, 8.0, "resident", 10, 1), (1, 0, True, 5.0, "missing", 1000, 1), (2, 0, True, 0.1, "resident", 10, 1), (3, 1, True, 0.1, "resident", 10, 1), (4, 1, True, 0.1, "resident", 10, 1)]
+    second = spark.createDataFrame(rows, frame.schema)
+    planner = Planner()
+    assert planner.plan(second, Budget(100, 100, 10)).cut == [0]
+    planner.refined = frozenset({0, 1})
+    out = planner.plan(second, Budget(100, 100, 10))
+    assert out.cut == [2, 3, 4] and out.retained == [2, 3, 4] and out.retired == [0] and out.requests == [] and out.refined == {0, 1}
+    assert Planner().plan(second, Budget(1500, 100, 10)).cut == [2, 3, 4]
+
+
+def test_request_queue():
+    q = RequestQueue()
+    assert q.next(str) is None and q.reconcile([3, 1, 2], [3, 1, 2]) == 0
+    assert q.next(str) == (3, "3") and q.reconcile([3, 2], [3, 2]) == 1
+    assert q.waiting == [2] and q.done(3) and not q.done(3) and q.reconcile([], []) == 1
 
 
 def test_render_state(spark, tmp_path):

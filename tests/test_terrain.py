@@ -37,7 +37,7 @@ def test_closed_forms(spark):
     points = spark.createDataFrame(rows, "ordinal long, tx long, ty long, tz long")
     v, f = terrain.derive(points)
     assert f.count() == 2 * (side - 1) ** 2 and hull_size(v.count(), f.count()) == 4 * (side - 1)
-    assert sorted(map(tuple, f.collect())) == sorted(map(tuple, terrain.grid_faces(spark, side).select(f.columns).collect()))
+    assert sorted(map(tuple, f.collect())) == sorted(map(tuple, terrain.grid_faces(spark, side, side).select(f.columns).collect()))
     assert all(r.n == 0 for r in terrain.surface_violations(v, f).collect())
     few = points.where("ordinal <> 40")
     change = terrain.compare_surfaces((v, f), terrain.derive(few)).groupBy("change").count().collect()
