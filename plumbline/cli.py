@@ -1,4 +1,4 @@
-"""python -m plumbline.cli inspect RUN | verify RUN | compare REFERENCE RETURNED --horizontal H --vertical V"""
+"""python -m plumbline.cli start RUN INTENT.json | resume RUN | inspect RUN | verify RUN | compare REFERENCE RETURNED --horizontal H --vertical V"""
 
 from __future__ import annotations
 
@@ -39,6 +39,12 @@ def main(args: list[str] | None = None) -> int:
     sub = top.add_subparsers(dest="command", required=True)
     for name in ("inspect", "verify"):
         sub.add_parser(name).add_argument("run")
+    for name in ("start", "resume"):
+        p = sub.add_parser(name)
+        p.add_argument("run")
+        if name == "start":
+            p.add_argument("intent")
+        p.add_argument("--stop-after", choices=PHASES)
     c = sub.add_parser("compare")
     c.add_argument("reference")
     c.add_argument("returned")
@@ -51,11 +57,28 @@ def main(args: list[str] | None = None) -> int:
         out = compare_files(SparkSession.builder.getOrCreate(), a.reference, a.returned, a.horizontal, a.vertical)
         print(json.dumps(out))
         return int(not out["equal"])
-    with open(f"{a.run}/run.json") as f:
-        journal = Journal(f"{a.run}/journal.jsonl", json.load(f)["run_id"])
+    if a.command in ("start", "resume"):
+        from pyspark.sql import SparkSession
+
+        from plumbline.correction import CorrectionRun, Intent
+
+        spark = SparkSession.builder.getOrCreate()
+        try:
+            if a.command == "start":
+                with open(a.intent) as f:
+                    run = CorrectionRun.start(spark, a.run, Intent.of(json.load(f)))
+            else:
+                run = CorrectionRun.resume(spark, a.run)
+            print(json.dumps(run.advance(a.stop_after)))
+        except (PlumblineError, OSError, TypeError) as error:
+            print(error, file=sys.stderr)
+            return 1
+        return 0
     try:
+        with open(f"{a.run}/run.json") as f:
+            journal = Journal(f"{a.run}/journal.jsonl", json.load(f)["run_id"])
         held = journal.complete() if a.command == "verify" else journal.read(repair=True)
-    except PlumblineError as error:
+    except (PlumblineError, OSError) as error:
         print(error, file=sys.stderr)
         return 1
     print(json.dumps({"phases": [p.phase for p in held], "complete": len(held) == len(PHASES)}))
