@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +18,25 @@ def world_faces(faces: DataFrame, verts: DataFrame, transform: Transform) -> Dat
     return c.select("face_id", *[transform.column("xyz".index(a), f"{a}{i}").alias(f"{a}{i}") for i in (1, 2, 3) for a in "xyz"])
 
 
+#: Relative error of a side's area in doubles, with room to spare: beyond it, the sign is sure.
+SLACK = 1e-15
+
+
+def _holds(x1, y1, x2, y2, x3, y3, x, y) -> bool:
+    """Whether the closed triangle holds the point, in exact fractions; a point without coordinates is nowhere."""
+    if None in (x, y):
+        return False
+    a, b, c, p = ((Fraction(u), Fraction(v)) for u, v in ((x1, y1), (x2, y2), (x3, y3), (x, y)))
+    return all((s[0] - r[0]) * (p[1] - r[1]) - (s[1] - r[1]) * (p[0] - r[0]) >= 0 for r, s in ((b, c), (c, a), (a, b)))
+
+
 def locate(queries: DataFrame, faces: DataFrame, cell: float, keys: list[str]) -> DataFrame:
     """Each query point (keys, x, y, ...) with the lowest face that holds it, edges included, and the height there; nulls
     are gaps.
 
     A range join by a grid: faces go to the cells that their boxes touch, points to theirs, and only equal cells meet. The
-    exact test and the least face follow; a point's candidates are the few faces of a cell.
+    exact test and the least face follow; a point's candidates are the few faces of a cell. Doubles decide where their error
+    bound allows; points on or next to an edge are decided in exact fractions.
     """
     if not cell > 0:
         raise PlumblineError("cells need a size")
@@ -32,11 +46,27 @@ def locate(queries: DataFrame, faces: DataFrame, cell: float, keys: list[str]) -
     q = queries.withColumns({"__cx": index(F.col("x")), "__cy": index(F.col("y"))})
     col = lambda i: (F.col(f"x{i}"), F.col(f"y{i}"))
     point = (F.col("x"), F.col("y"))
-    area = [orientation(*col(a), *col(b), *point) for a, b in ((2, 3), (3, 1), (1, 2))]
-    inside = (area[0] >= 0) & (area[1] >= 0) & (area[2] >= 0)
+    sides = ((2, 3), (3, 1), (1, 2))
+    area = [orientation(*col(a), *col(b), *point) for a, b in sides]
     total = orientation(*col(1), *col(2), *col(3))
     height = (area[0] / total) * F.col("z1") + (area[1] / total) * F.col("z2") + (1.0 - area[0] / total - area[1] / total) * F.col("z3")
-    hit = q.join(cells, ["__cx", "__cy"]).where(inside).groupBy(*keys).agg(F.min(F.struct("face_id", height.alias("surface_z"))).alias("hit"))
+    near = q.join(cells, ["__cx", "__cy"])
+    slack = [SLACK * (F.abs(F.col(f"x{b}") - F.col(f"x{a}")) * F.abs(F.col("y") - F.col(f"y{a}")) + F.abs(F.col(f"y{b}") - F.col(f"y{a}")) * F.abs(F.col("x") - F.col(f"x{a}"))) for a, b in sides]
+    sure, beyond = F.lit(True), F.lit(False)
+    for v, e in zip(area, slack, strict=True):
+        sure, beyond = sure & (v > e), beyond | (v < -e)
+    names = near.columns
+    spots = [names.index(c) for c in ("x1", "y1", "x2", "y2", "x3", "y3", "x", "y")]
+
+    def exact(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            held = [batch.column(i).to_pylist() for i in spots]
+            yield batch.filter(pa.array([_holds(*values) for values in zip(*held, strict=True)], pa.bool_()))
+
+    found = near.where(sure).unionByName(near.where(~sure & ~beyond).mapInArrow(exact, near.schema))
+    hit = found.groupBy(*keys).agg(F.min(F.struct("face_id", height.alias("surface_z"))).alias("hit"))
     return queries.join(hit.select(*keys, "hit.face_id", "hit.surface_z"), keys, "left")
 
 

@@ -60,6 +60,26 @@ def test_plane_residuals(spark):
     assert [x.surface_z for x in stations] == [0.0, 10.0, 20.0]
 
 
+def test_points_next_to_edges_are_decided_exactly(spark):
+    from fractions import Fraction
+
+    rnd = random.Random(9)
+    faces, checks, want = [], [], {}
+    for i in range(200):
+        x0 = 1000.0 * i
+        corners = [(x0 + rnd.random(), rnd.random()), (x0 + 3 + rnd.random(), rnd.random() / 3), (x0 + rnd.random(), 3 + rnd.random())]
+        t = rnd.random()
+        x, y = (a + (b - a) * t for a, b in zip(corners[0], corners[1]))  # on an edge, but for rounding
+        faces.append((i + 1, *[v for c in corners for v in (*c, 1.0)]))
+        checks.append((i + 1, x, y, 2.0))
+        exact = [tuple(map(Fraction, c)) for c in corners]
+        want[i + 1] = _orient(exact[0], exact[1], (Fraction(x), Fraction(y))) >= 0
+    f = spark.createDataFrame(faces, "face_id long, " + ", ".join(f"{a}{i} double" for i in (1, 2, 3) for a in "xyz"))
+    q = spark.createDataFrame([*checks, (999, None, 1.0, 1.0)], "id long, x double, y double, z double")
+    got = {r.id: r.face_id is not None for r in qa.locate(q, f, 4.0, ["id"]).collect()}
+    assert got == want | {999: False} and 20 < sum(want.values()) < 180
+
+
 def test_huge_residuals_do_not_overflow(spark):
     r = spark.createDataFrame([(1e200,), (-1e200,), (1e200,), (1e200,)], "residual double")
     s = qa.statistics(r).first()
