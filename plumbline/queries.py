@@ -571,9 +571,28 @@ def _(s, d):
 
 @query("las_bitfields", "SELECT l_partkey, l_suppkey, count(*) AS n, (l_partkey % 256) & 7 AS return_number, ((l_partkey % 256) >> 3) & 7 AS number_of_returns, ((l_partkey % 256) >> 6) & 1 AS scan_direction, (l_partkey % 256) >> 7 AS edge_of_flight_line, l_suppkey & 31 AS classification, (l_suppkey >> 5) & 1 AS synthetic, (l_suppkey >> 6) & 1 AS key_point FROM lineitem GROUP BY l_partkey, l_suppkey")
 def _(s, d):
-    b, c = F.col("l_partkey") % 256, F.col("l_suppkey")
+    """Records of format 0 made of the keys' bytes, decoded by the source's own decoder."""
+    from plumbline.runtime import ship
+
+    ship(s)
+    out = ["return_number", "number_of_returns", "scan_direction", "edge_of_flight_line", "classification", "synthetic", "key_point"]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from plumbline.sources import las
+
+        kind = np.dtype(las._fields(0))
+        head = las.Header((1, 2), 0, las.RECORD_BYTES[0], 0, 0, Transform(), (0.0,) * 3, (0.0,) * 3, ())
+        for batch in batches:
+            records = np.zeros(batch.num_rows, kind)
+            records["bits"], records["classes"] = (batch.column(i).to_numpy() % 256 for i in (0, 1))
+            held = las.decode(head, 0, records.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(held[c].astype(np.int64)) for c in out]], names=["l_partkey", "l_suppkey", "n", *out])
+
     rows = s.read.parquet(f"{d}/lineitem.parquet").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
-    return rows.select("l_partkey", "l_suppkey", "n", b.bitwiseAND(7).alias("return_number"), F.shiftright(b, 3).bitwiseAND(7).alias("number_of_returns"), F.shiftright(b, 6).bitwiseAND(1).alias("scan_direction"), F.shiftright(b, 7).alias("edge_of_flight_line"), c.bitwiseAND(31).alias("classification"), F.shiftright(c, 5).bitwiseAND(1).alias("synthetic"), F.shiftright(c, 6).bitwiseAND(1).alias("key_point"))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("l_partkey", "l_suppkey", "n", *out)))
 
 
 # Whole reports and history.
