@@ -63,6 +63,17 @@ def test_preference_pairs(spark):
     assert chat_format.preference_pairs(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_preference_pairs_with_ties_repeats_and_long_turns(spark):
+    long = "x" * 300_000
+    rows = [(1, side, turn, role, text) for side in ("chosen", "rejected") for turn, role, text in ((0, "user", "b"), (0, "user", "a"), (1, "assistant", long), (1, "assistant", long))]
+    rows += [(1, "rejected", 2, "user", "more"), (2, "chosen", 0, None, None), (2, "chosen", 0, None, None)]
+    schema = "pair_id long, side string, turn long, role string, text string"
+    one, other = (sorted(map(str, chat_format.preference_pairs(spark.createDataFrame(r, schema).repartition(n)).collect())) for n, r in ((1, rows), (5, rows[::-1])))
+    assert one == other and len(one) == 2  # ties follow role and text, so the order of rows doesn't show
+    held = {r.pair_id: r for r in chat_format.preference_pairs(spark.createDataFrame(rows, schema)).collect()}
+    assert held[1].n_common == 4 and held[1].prompt.count(long) == 2 and held[1].prompt.index("a<") < held[1].prompt.index("b<") and held[1].chosen_text == ""
+
+
 # 3
 def test_bpe_round_trip(spark):
     import tiktoken

@@ -71,3 +71,20 @@ def test_encoded_digest(spark):
         one = got[r.doc_id]
         assert (one.n_tokens, one.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert one.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import random
+
+    rnd = random.Random(1)
+    text = lambda: " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8))) for _ in range(80))
+    a, b, c, item = text(), text(), text(), text()
+    rows = [(1, a), (2, a), (3, b), (3, b), (None, c), (4, None), (5, ""), (6, f"{text()} {item}"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.length("text").cast("long"), "kept": F.lit("mine"), "component_id": F.lit(7), "f_words": F.lit(0.0)})
+    labels, bench = spark.createDataFrame([(1, 1, 0), (None, 0, 1), (2, None, None)], "doc_id long, quality long, toxic long"), spark.createDataFrame([(0, item), (None, a), (1, None)], "item_id long, text string")
+    for n, (d, q) in enumerate(((docs, labels), (docs.limit(0), labels), (docs, labels.limit(0)))):
+        for name, df in (("documents", d), ("labels", q), ("benchmark", bench)):
+            df.write.parquet(f"{tmp_path}/{n}/{name}.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{n}").collect()
+        assert sorted((r.doc_id or 0 for r in out)) == ([] if n == 1 else [0, 1, 3, 3])
+        assert all(r.n_tokens == len(r.ids) > 80 for r in out)
