@@ -170,11 +170,11 @@ def _unpack_words(lengths: bytes, data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids", keep_text: bool = True) -> DataFrame:
-    """Add the token ids of each whole text as array<int>."""
+def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids", keep_text: bool = True, decoded_col: str | None = None) -> DataFrame:
+    """Add the token ids of each whole text as array<int> and, on request, the bytes that these ids decode to."""
     spark = df.sparkSession
     ship(spark)
-    carried = [i for i, c in enumerate(df.columns) if c != ids_col and (keep_text or c != text_col)]
+    carried = [i for i, c in enumerate(df.columns) if c not in (ids_col, decoded_col) and (keep_text or c != text_col)]
     carried_fields = [df.schema.fields[i] for i in carried]
     at = df.columns.index(text_col)
     names = [f"c{i}" for i in range(len(carried))]
@@ -291,8 +291,9 @@ def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: s
 
     back = folded.mapInArrow(answers, answer).withColumns({"kind": F.lit(0), "rows": F.lit(None).cast(T.ArrayType(row))})
     both = back.unionByName(held.where("kind = 1").select("epoch", "kind", "codes", "lengths", "words", "rows"))
-    by_epoch = both.repartition(n_parts, "epoch").sortWithinPartitions("epoch", "kind").select("epoch", "kind", "codes", "lengths", "words", "rows")
-    out = T.StructType([*carried_fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    by_epoch = both.repartition(4 * n_parts, "epoch").sortWithinPartitions("epoch", "kind").select("epoch", "kind", "codes", "lengths", "words", "rows")
+    pieces = _pieces(spark, ranks) if decoded_col else None
+    out = T.StructType([*carried_fields, T.StructField(ids_col, T.ArrayType(T.IntegerType())), *([T.StructField(decoded_col, binary)] if decoded_col else [])])
 
     def string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         epoch, parts, starts, size, flat = None, [], None, None, None
@@ -316,7 +317,7 @@ def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: s
                 ends = np.concatenate([[0], np.cumsum(n_ids)])
                 bounds = np.concatenate([[0], np.cumsum(rows.field("n_codes").to_numpy())])
                 lists = pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(flat[_ranges(starts[which], n_ids)], pa.int32()))
-                yield pa.RecordBatch.from_arrays([*[rows.field(n) for n in names], lists], names=out.fieldNames())
+                yield pa.RecordBatch.from_arrays([*[rows.field(n) for n in names], lists, *([_decoded(lists, pieces.value)] if decoded_col else [])], names=out.fieldNames())
 
     return by_epoch.mapInArrow(string, out)
 
@@ -327,28 +328,35 @@ def _ranges(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def _pieces(spark: SparkSession, ranks: dict[bytes, int]):
+    """All binary pieces by id, as one array and its bounds, broadcast; as large as the vocabulary."""
+    held = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        held[rank] = token
+    return spark.sparkContext.broadcast((np.frombuffer(b"".join(held), np.uint8), np.cumsum([0, *map(len, held)])))
+
+
+def _decoded(lists: pa.Array, pieces: tuple[np.ndarray, np.ndarray]) -> pa.Array:
+    """The pieces of each list of ids, one after the other; a null stays null."""
+    data, bounds = pieces
+    ids, n_ids = lists.flatten().to_numpy(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    size = bounds[ids + 1] - bounds[ids]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    offsets = ends[np.concatenate([[0], np.cumsum(n_ids)])].astype(np.int32)
+    own = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[_ranges(bounds[ids], size)].tobytes())])
+    return pc.if_else(lists.is_valid(), own, pa.scalar(None, pa.binary())) if lists.null_count else own
+
+
 def bpe_decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Add the bytes that an array of ids stands for: its binary pieces, one after the other. Null for null ids."""
-    pieces = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        pieces[rank] = token
-    shared = df.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([0, *map(len, pieces)])))
+    pieces = _pieces(df.sparkSession, ranks)
     at = df.columns.index(ids_col)
 
     def decode(batches: Iterator[pa.RecordBatch]):
-        data, bounds = shared.value
         for batch in batches:
             lists = batch.column(at)
-            n_ids = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            out = []
-            for a, b in _blocks(n_ids.tolist()):
-                part = lists.slice(a, b - a)
-                ids = part.flatten().to_numpy()
-                ends = np.concatenate([[0], np.cumsum(bounds[ids + 1] - bounds[ids])])
-                raw = data[_ranges(bounds[ids], np.diff(ends))]
-                offsets = ends[np.concatenate([[0], np.cumsum(n_ids[a:b])])].astype(np.int32)
-                own = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
-                out.append(pc.if_else(part.is_valid(), own, pa.scalar(None, pa.binary())) if part.null_count else own)
+            n_ids = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
+            out = [_decoded(lists.slice(a, b - a), pieces.value) for a, b in _blocks(n_ids)]
             yield batch, [pa.concat_arrays(out) if out else pa.array([], pa.binary())]
 
     return append_columns(df, [T.StructField(out_col, T.BinaryType())], decode)

@@ -27,11 +27,11 @@ def encoded_digest(docs: DataFrame) -> DataFrame:
     """doc_id and the digests of the ids and of the bytes that they decode to."""
     import public_tokenizers
 
-    from plumbline.llm.bpe import bpe_decode, bpe_encode, read_ranks
+    from plumbline.llm.bpe import bpe_encode, read_ranks
 
     ranks = read_ranks(docs.sparkSession, tokenizer_path("byte_bpe_multi_50k.tiktoken"))
-    encoded = bpe_encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, keep_text=False)
-    return bpe_decode(encoded, ranks).select(
+    encoded = bpe_encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, keep_text=False, decoded_col="decoded")
+    return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),

@@ -86,6 +86,8 @@ def test_bpe_round_trip(spark):
     got = bpe.bpe_decode(bpe.bpe_encode(df, ranks, P.PATTERN), ranks).orderBy("doc_id").collect()
     for r, t in zip(got, texts, strict=True):
         assert r.ids == enc.encode_ordinary(t or "") and bytes(r.decoded) == (t or "").encode() and r.text == t and r.codes == 1
+    both = bpe.bpe_encode(df, ranks, P.PATTERN, keep_text=False, decoded_col="__x").select("doc_id", "__x").collect()
+    assert {r.doc_id: bytes(r["__x"]).decode() for r in both} == {i: t or "" for i, t in enumerate(texts)}
     assert bpe.bpe_encode(nothing(spark), ranks, P.PATTERN).count() == 0
 
 
