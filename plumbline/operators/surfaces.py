@@ -45,6 +45,18 @@ def _hashes(v: DataFrame, f: DataFrame) -> tuple[str, str]:
     return geometry, topology
 
 
+def _artifact(descriptor: dict) -> str:
+    return hashlib.sha256(json.dumps({k: v for k, v in descriptor.items() if k != "artifact"}, sort_keys=True).encode()).hexdigest()
+
+
+def _publish(path: str, facts: dict) -> None:
+    with open(path + ".new", "w") as f:
+        json.dump(facts, f)
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(path + ".new", path)
+
+
 def prepare(spark: SparkSession, root: str, snapshot: DataFrame, lineage: str, recipe: Recipe, transform: Transform, reference: SpatialReference | None) -> Surface:
     """Opens the surface of this lineage and recipe if it is complete, else builds it; a verified input that an earlier
     attempt left is used again. The descriptor is written last, so an incomplete surface is never opened."""
@@ -54,28 +66,34 @@ def prepare(spark: SparkSession, root: str, snapshot: DataFrame, lineage: str, r
     if os.path.exists(done):
         with open(done) as f:
             d = json.load(f)
+        if d["artifact"] != _artifact(d):
+            raise PlumblineError("the stored descriptor is damaged")
         v, fa = spark.read.schema(terrain.VERTEX).parquet(paths["vertices"]), spark.read.schema(terrain.FACE).parquet(paths["faces"])
         if list(_hashes(v, fa)) != [d["geometry"], d["topology"]] or any(r.n for r in terrain.surface_violations(v, fa, transform.scale[:2]).collect()):
             raise PlumblineError("the stored surface doesn't match its descriptor")
         return Surface(v, fa, d, "opened")
-    resumed = os.path.exists(os.path.join(paths["input"], "_SUCCESS"))
-    if not resumed:
-        ground_input(snapshot, recipe, transform, reference).write.mode("overwrite").parquet(paths["input"])
     terrain.require_metric(reference)
-    points = spark.read.schema("ordinal long, tx long, ty long, tz long").parquet(paths["input"])
+    read = lambda: spark.read.schema("ordinal long, tx long, ty long, tz long").parquet(paths["input"])
+    known, own = os.path.join(folder, "input.json"), ["ordinal", "tx", "ty", "tz"]
+    resumed = False
+    if os.path.exists(known):
+        with open(known) as f:
+            resumed = json.load(f) == {"lineage": lineage, "input": content_digest(read(), own).first()[0]}
+    if not resumed:  # not there, or not what was written
+        ground_input(snapshot, recipe, transform, reference).write.mode("overwrite").parquet(paths["input"])
+        _publish(known, {"lineage": lineage, "input": content_digest(read(), own).first()[0]})
+    points = read()
+    with open(known) as f:
+        input_hash = json.load(f)["input"]
     v, fa = terrain.derive(points, transform.scale[:2])
     v.write.mode("overwrite").parquet(paths["vertices"])
     fa.write.mode("overwrite").parquet(paths["faces"])
     v, fa = spark.read.schema(terrain.VERTEX).parquet(paths["vertices"]), spark.read.schema(terrain.FACE).parquet(paths["faces"])
     n, m = v.count(), fa.count()
     geometry, topology = _hashes(v, fa)
-    d = {"lineage": lineage, "recipe": recipe.digest(), "vertices": n, "faces": m, "hull": terrain.hull_size(n, m), "geometry": geometry, "topology": topology}
-    d["artifact"] = hashlib.sha256(json.dumps(d, sort_keys=True).encode()).hexdigest()
-    with open(done + ".new", "w") as f:
-        json.dump(d, f)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(done + ".new", done)
+    d = {"lineage": lineage, "recipe": recipe.digest(), "reference": reference.canonical_bytes().hex(), "transform": [list(transform.offset), list(transform.scale)], "input": input_hash, "vertices": n, "faces": m, "hull": terrain.hull_size(n, m), "geometry": geometry, "topology": topology}
+    d["artifact"] = _artifact(d)
+    _publish(done, d)
     return Surface(v, fa, d, "resumed" if resumed else "built")
 
 
@@ -102,8 +120,9 @@ def results_digest(report: Report, lineage: str, artifact: str, below: float, ab
 
 def compare(before: Surface, after: Surface) -> DataFrame:
     """Faces added and removed; surfaces of different recipes don't compare."""
-    if before.descriptor["recipe"] != after.descriptor["recipe"]:
-        raise PlumblineError("the surfaces have different recipes")
+    for part in ("recipe", "reference", "transform"):
+        if json.dumps(before.descriptor[part]) != json.dumps(after.descriptor[part]):
+            raise PlumblineError(f"the surfaces differ in their {part}")
     return terrain.compare_surfaces((before.vertices, before.faces), (after.vertices, after.faces))
 
 

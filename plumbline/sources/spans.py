@@ -87,6 +87,14 @@ def batch_points(schema, count: int, max_bytes: int) -> int:
     return max(1, min(count, QUANTUM, max_bytes // width))
 
 
+def slice_batch(batch, start: int, stop: int):
+    """(first ordinal, rows) of a part of a batch whose ordinals are consecutive; a range beyond it is an error."""
+    if not 0 <= start < stop <= batch.num_rows:
+        raise PlumblineError(f"rows {start} to {stop} of a batch of {batch.num_rows}")
+    part = batch.slice(start, stop - start)
+    return part.column("ordinal")[0].as_py(), part
+
+
 class Pull:
     """A scan of spans, batch by batch in ordinal order. Every batch is held against the schema, the ordinals that are due and
     the budget; after the first error nothing more comes."""

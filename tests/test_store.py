@@ -235,6 +235,10 @@ def test_pull_scans(spark, points):
     spans = sp.check_spans([(10, 5), (100, 300)], 5003)
     pull = sp.Pull(points, spans, ["tx"], max_bytes=16 * 64)
     got = []
+    first, part = sp.slice_batch(sp.Pull(points, spans).next(), 2, 5)
+    assert first == 12 and part.column("ordinal").to_pylist() == [12, 13, 14]
+    with pytest.raises(PlumblineError):
+        sp.slice_batch(part, 0, 4)
     while (batch := pull.next()) is not None:
         assert batch.column_names == ["ordinal", "tx"] and batch.num_rows <= 64
         got += batch.column("ordinal").to_pylist()
