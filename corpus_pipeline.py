@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; its result is written as Parquet and
 read again before the next. All stages but the last return the columns of documents. Null ids pass every stage that decides
-by id; n_chars follows the text.
+by id; rows of one id stay or go together where a stage decides by id, so equal rows of one id all stay; n_chars follows the
+text. Tables without rows give tables without rows, and columns beyond those of documents are left out.
 """
 
 from __future__ import annotations
@@ -60,7 +61,8 @@ STAGES = [
     ("bpe_encoding", encode),
 ]
 
-#: Learned rules and components of any depth are beyond one SQL query; tests/llm hold each stage against brute force.
+#: Learned rules and components of any depth are beyond one SQL query; tests/llm hold the stages' operators against brute force
+#: or an exact library, and the whole against a small corpus whose survivors are known.
 ORACLE_SQL = None
 
 
