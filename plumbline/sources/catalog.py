@@ -8,6 +8,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.jobs import Job
 from plumbline.model import Bounds, PlumblineError, SpatialReference, Transform
 from plumbline.sources import las
 from plumbline.sources.spans import content_digest, outside, source_bounds, source_id
@@ -40,6 +41,29 @@ def from_points(spark: SparkSession, rows: list[tuple], schema: str, transform:
     return df, verify(df, transform or Transform(), "memory")
 
 
+def from_columns(spark: SparkSession, table, transform: Transform, declared: dict[str, str], point_count: int, bounds: Bounds | None = None) -> tuple[DataFrame, SourceRecord]:
+    """An in-memory source from an Arrow table that the caller describes: the columns' types, the number of points and, on
+    request, the bounds must be those that are declared. Ordinals follow the rows."""
+    if table.num_rows != point_count:
+        raise PlumblineError(f"{table.num_rows} rows; {point_count} are declared")
+    df = spark.createDataFrame(table.append_column("ordinal", [list(range(table.num_rows))]))
+    found = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name != "ordinal"}
+    if found != declared:
+        raise PlumblineError(f"the columns differ from those declared: {sorted(set(found.items()) ^ set(declared.items()))}")
+    return df, verify(df, transform, "memory", declared=bounds)
+
+
+def open_memory(spark: SparkSession, rows: list[tuple], schema: str, transform: Transform | None = None) -> Job:
+    """from_points as a background job: full verification, which can be waited for or cancelled."""
+
+    def run(job: Job):
+        out = from_points(spark, rows, schema, transform)
+        job.check()
+        return out
+
+    return Job(spark, run)
+
+
 def verify(points: DataFrame, transform: Transform, adapter: str, version: int = 1, declared: Bounds | None = None, token: str | None = None) -> SourceRecord:
     """Full verification: dense ordinals from 0, world bounds, declared bounds kept, an order-dependent content hash."""
     for c in ("ordinal", "tx", "ty", "tz"):

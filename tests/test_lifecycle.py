@@ -33,6 +33,20 @@ def test_catalog(spark):
         catalog.verify(df, Transform(), "memory", declared=Bounds((0.0, 0.0, 0.0), (1.0, 1.0, 1.0)))
 
 
+def test_declared_columns_and_background_opening(spark):
+    import pyarrow as pa
+
+    table = pa.table({"tx": [1, 2], "ty": [3, 4], "tz": [5, 6], "classification": pa.array([2, 2], pa.int32())})
+    kinds = {"tx": "bigint", "ty": "bigint", "tz": "bigint", "classification": "int"}
+    df, record = catalog.from_columns(spark, table, Transform(), kinds, 2, Bounds((0.0, 0.0, 0.0), (9.0, 9.0, 9.0)))
+    assert df.count() == record.point_count == 2
+    _, same = catalog.open_memory(spark, [(1, 3, 5, 2), (2, 4, 6, 2)], "tx long, ty long, tz long, classification int").wait(60)
+    assert same.content_hash == record.content_hash
+    for bad in ((kinds, 3, None), (kinds | {"classification": "bigint"}, 2, None), (kinds | {"red": "int"}, 2, None), (kinds, 2, Bounds((0.0, 0.0, 0.0), (1.0, 9.0, 9.0)))):
+        with pytest.raises(PlumblineError):
+            catalog.from_columns(spark, table, Transform(), *bad)
+
+
 def test_surfaces_open_and_resume(spark, tmp_path):
     args = (grid(spark), "lineage", surfaces.Recipe(), Transform(), METRIC)
     first = surfaces.prepare(spark, str(tmp_path), *args)
