@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.geometry import orientation, tolerance_class
 from plumbline.model import PlumblineError, Transform
 from plumbline.operators.terrain import with_corners
+from plumbline.runtime import ship
 
 
 def world_faces(faces: DataFrame, verts: DataFrame, transform: Transform) -> DataFrame:
@@ -40,6 +41,7 @@ def locate(queries: DataFrame, faces: DataFrame, cell: float, keys: list[str]) -
     """
     if not cell > 0:
         raise PlumblineError("cells need a size")
+    ship(queries.sparkSession)
     index = lambda c: F.floor(c / cell).cast("long")
     boxes = faces.select("*", *[F.sequence(index(F.least(*[F.col(f"{a}{i}") for i in (1, 2, 3)])), index(F.greatest(*[F.col(f"{a}{i}") for i in (1, 2, 3)]))).alias(f"c{a}") for a in "xy"])
     cells = boxes.withColumn("__cx", F.explode("cx")).withColumn("__cy", F.explode("cy")).drop("cx", "cy")
@@ -94,6 +96,8 @@ def compensated_sum(values: DataFrame) -> float:
     """The sum of a column of doubles, without the rounding of each addition: a batch gives its correctly rounded sum and
     what that leaves out, and these pairs are summed exactly. Order and partitions don't show in the result."""
 
+    ship(values.sparkSession)
+
     def run(batches):
         import pyarrow as pa
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.geometry import orientation_sign
 from plumbline.model import PlumblineError, SpatialReference
+from plumbline.runtime import ship
 
 VERTEX, FACE = "vertex_id long, ordinal long, tx long, ty long, tz long", "face_id long, v1 long, v2 long, v3 long"
 
@@ -164,6 +165,7 @@ def _forbidden(inner: DataFrame, ratio: Fraction) -> DataFrame:
 
     Doubles decide wherever their error bound allows; only what they leave open goes to Python's exact integers.
     """
+    ship(inner.sparkSession)
     wide = lambda c: F.col(c).cast("decimal(38,0)")
     ((ax, ay), (bx, by), (cx, cy)) = (((wide(f"{a}x") - wide("dx")).cast("double") * float(ratio), (wide(f"{a}y") - wide("dy")).cast("double")) for a in ("p", "q", "o"))
     lift = [x * x + y * y for x, y in ((ax, ay), (bx, by), (cx, cy))]
