@@ -47,7 +47,7 @@ EPOCH_WORDS, FOLDED_WORDS = 200_000, 400_000
 #: Code points of text, or ids, in a block of rows.
 BLOCK_CHARS = 500_000
 #: Hash classes of words; a task folds some of them.
-PARTS = 1024
+PARTS = 256
 #: Words that one row hands to the fold.
 WORDS_AT_ONCE = 20_000
 #: The code points of Unicode's White_Space, for \s.
@@ -219,7 +219,7 @@ def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: s
         groups = np.split(order, starts[1:])
         packed = [_pack_words([words[i] for i in g.tolist()]) for g in groups]
         n = len(groups)
-        return pa.RecordBatch.from_arrays([pa.array([epoch] * n), pa.array([0] * n, pa.int32()), pa.array(parts, pa.int32()), pa.array([pack(g) for g in groups], pa.binary()), pa.array([x[0] for x in packed], pa.binary()), pa.array([x[1] for x in packed], pa.binary()), pa.nulls(n, pa.list_(row_type))], names=staged.fieldNames())
+        return pa.RecordBatch.from_arrays([pa.array([epoch] * n), pa.array([0] * n, pa.int32()), pa.array(parts, pa.int32()), pa.array([pack(np.diff(g, prepend=0)) for g in groups], pa.binary()), pa.array([x[0] for x in packed], pa.binary()), pa.array([x[1] for x in packed], pa.binary()), pa.nulls(n, pa.list_(row_type))], names=staged.fieldNames())
 
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = materialize(df.mapInArrow(split, staged), "word-numbers")
@@ -304,7 +304,7 @@ def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: s
                 if epochs[i] != epoch:
                     epoch, parts, starts = epochs[i], [], None
                 if kinds[i] == 0:
-                    parts.append((unpack(codes[i].as_py()), unpack(lengths[i].as_py()), unpack(ids[i].as_py()).astype(np.int32)))
+                    parts.append((np.cumsum(unpack(codes[i].as_py())), unpack(lengths[i].as_py()), unpack(ids[i].as_py()).astype(np.int32)))
                     continue
                 if starts is None:
                     numbers, own, flat = (np.concatenate(x) if parts else np.empty(0, np.int64) for x in (zip(*parts, strict=True) if parts else ((), (), ())))
