@@ -6,11 +6,12 @@ Encoding folds a distinct word once for the whole table, not once for each task:
    about EPOCH_WORDS of them at a time, an epoch, which bounds memory on any input). It writes the rows with packed word
    numbers in place of text and the epoch's words, packed by PARTS classes of their hash;
 2. a task takes ranges of classes, so that equal words of all epochs meet there. Spark higher-order functions fold the ranked
-   merges over the byte arrays of the distinct words. The rank map is a literal: an array of small maps, found by hash, so
-   that a look-up takes constant time. Each epoch's words go back to it as packed ids;
-3. rows and ids meet by epoch, and an Arrow stage strings the ids together for each row.
+   merges over arrays of the pieces of each distinct word. The ranks of pairs of ids are two arrays, broadcast as one row, so
+   that a look-up takes two accesses. Each epoch's words go back to it as packed ids;
+3. the rows lie in buckets by epoch, so that only the ids move to meet them, and an Arrow stage strings the ids together for
+   each row.
 
-What moves is packed: word numbers, and each epoch's words and ids once. The fold
+What moves is packed: each epoch's words and ids once. Word numbers are written once and stay where they lie. The fold
 is quadratic in the length of a word; words of over LONG_BYTES bytes take a heap-ordered fold of the same ranked merges
 instead, which is exact as well. Decoding concatenates the ids' binary pieces in an Arrow stage.
 
@@ -23,7 +24,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import json
 import uuid
 from array import array
 from collections import defaultdict
@@ -37,19 +37,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.common import append_columns, arrow_type
-from plumbline.runtime import materialize, ship
+from plumbline.runtime import materialize_buckets, ship
 
-#: Hash buckets of the literal rank map.
-BUCKETS = 65_536
 LONG_BYTES = 128
+#: Bits of an id in a piece of a word, and the rank of a pair that does not merge.
+ID_BITS = 24
+NONE = 1 << ID_BITS
 #: Distinct words of an epoch, and those that a task remembers while it folds.
-EPOCH_WORDS, FOLDED_WORDS = 200_000, 400_000
+EPOCH_WORDS, FOLDED_WORDS = 300_000, 200_000
 #: Code points of text, or ids, in a block of rows.
 BLOCK_CHARS = 500_000
 #: Hash classes of words; a task folds some of them.
 PARTS = 256
 #: Words that one row hands to the fold.
-WORDS_AT_ONCE = 20_000
+WORDS_AT_ONCE = 3_000
 #: The code points of Unicode's White_Space, for \s.
 WHITE_SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
@@ -80,41 +81,94 @@ def unicode_pattern(pattern: str) -> str:
     return "".join(out)
 
 
-def literal_rank_map(ranks: dict[bytes, int]) -> F.Column:
-    """A literal array of BUCKETS maps from a token's bytes (as ISO-8859-1 characters) to its rank."""
-    import xxhash
-
-    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+def merge_tables(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays d and e such that, for ids a and b, e[d[a] + b] ^ a << ID_BITS is the rank of the merged pair, and NONE or more
+    where the pair does not merge. The rows of a table of all pairs, shifted until no two entries meet."""
+    top = max(ranks.values()) + 1  # stands for either end of a word
+    if top + 2 >= NONE or any(bytes([i]) not in ranks for i in range(256)):
+        raise ValueError("a vocabulary holds every byte, and at most 2**24 ranks")
+    rows: defaultdict[int, tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
     for token, rank in ranks.items():
-        s = token.decode("latin-1")
-        h = xxhash.xxh64_intdigest(s.encode(), seed=42)
-        maps[h % BUCKETS][s] = rank
-    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
-
-
-def _rank(x: str) -> str:
-    return f"element_at(m[cast(xxhash64({x}) & {BUCKETS - 1} as int)], {x})"
-
-
-#: Folds the merges of one word w by the rank map m: the pair of least rank first, the leftmost of equals.
+        for i in range(1, len(token)):
+            a, b = ranks.get(token[:i]), ranks.get(token[i:])
+            if a is not None and b is not None:
+                rows[a][0].append(b)
+                rows[a][1].append(rank)
+    size = 1 << max(10, (4 * sum(len(b) for b, _ in rows.values())).bit_length())
+    used, d, e = np.zeros(size + top + 1, bool), np.zeros(top + 1, np.int64), np.full(size + top + 1, top + 1 << ID_BITS, np.int64)
+    random = np.random.default_rng(0)
+    for a, (b, rank) in sorted(rows.items(), key=lambda x: (-len(x[1][0]), x[0])):
+        places = np.array(b)
+        while True:
+            free = ~used[(tried := random.integers(0, size, 16))[:, None] + places].any(axis=1)
+            if free.any():
+                break
+        d[a] = tried[free.argmax()]
+        used[d[a] + places], e[d[a] + places] = True, np.array(rank) | a << ID_BITS
+    return d, e
+
+
+def _rank(a: str, b: str) -> str:
+    return f"shiftleft(least(e[d[{a}] + {b}] ^ shiftleft({a}, {ID_BITS}), {NONE}L), 32)"
+
+
+#: Folds the merges of each word: the pair of least rank first, the leftmost of equals. A word is an array of its pieces and one
+#: more at either end; a piece holds the rank of its merge with the next, its place in the word (8 bits) and its id.
 FOLD = f"""
-transform(array({_rank('w')}), whole -> if(whole is not null, array(whole), transform(array(split(w, '')), b ->
- transform(
-  aggregate(array_repeat(0, size(b) - 1),
-   named_struct('p', b, 'r', zip_with(slice(b, 1, size(b) - 1), slice(b, 2, size(b)), (x, y) -> {_rank('concat(x, y)')})),
-   (s, i) -> transform(array(array_min(s.r)), best -> if(best is null, s,
-    transform(array(cast(array_position(s.r, best) as int)), k ->
-     transform(array(concat(s.p[k - 1], s.p[k])), x -> named_struct(
-      'p', concat(slice(s.p, 1, k - 1), array(x), slice(s.p, k + 2, size(s.p))),
-      'r', concat(slice(s.r, 1, greatest(k - 2, 0)),
-                  if(k > 1, array({_rank('concat(s.p[k - 2], x)')}), array()),
-                  if(k < size(s.p) - 1, array({_rank('concat(x, s.p[k + 1])')}), array()),
-                  slice(s.r, k + 2, size(s.r)))))[0])[0]))[0],
-   s -> s.p),
-  y -> {_rank('y')}))[0]))[0]
+transform(words, w -> aggregate(array_repeat(0, greatest(size(w) - 3, 0)), w, (z, i) -> transform(array(array_min(z)), x -> if(x >= {NONE << 32}L, z,
+ transform(array(cast(array_position(z, x) as int)), k -> concat(
+  slice(z, 1, k - 2),
+  array({_rank(f'(z[k - 2] & {NONE - 1}L)', 'shiftright(x, 32)')} | (z[k - 2] & {(1 << 32) - 1}L),
+        {_rank('shiftright(x, 32)', f'(z[k + 1] & {NONE - 1}L)')} | (x & {0xFF << ID_BITS}L) | shiftright(x, 32)),
+  slice(z, k + 2, size(z))))[0]))[0]))
 """
 
 
+class Pieces:
+    """Words as the fold takes them."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, top = ranks, max(ranks.values()) + 1
+        self.ids = np.array([*(ranks[bytes([i])] for i in range(256)), top], np.int64)
+        self.first = np.full((257, 257), NONE, np.int64)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.first[token[0], token[1]] = rank
+
+    def of(self, words: list[bytes]) -> pa.Array:
+        """Words of the vocabulary are one piece; words of over LONG_BYTES bytes have none here."""
+        whole = np.array([self.ranks.get(w, -1) for w in words], np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        left_out = (whole < 0) & (size > LONG_BYTES)
+        size = np.where(whole >= 0, 3, np.where(left_out, 0, size + 2))
+        ends = np.cumsum(size)
+        one = whole >= 0
+        symbols, inner = np.full(size.sum(), 256, np.int64), np.ones(size.sum(), bool)
+        inner[(ends - size)[size > 0]] = inner[(ends - 1)[size > 0]] = False
+        known = (ends - 2)[one]
+        inner[known] = False
+        symbols[inner] = np.frombuffer(b"".join(w for w, skip in zip(words, (one | left_out).tolist(), strict=True) if not skip), np.uint8)
+        ids = self.ids[symbols]
+        ids[known] = whole[one]
+        z = self.first[symbols, np.append(symbols[1:], 256)] << 32 | np.arange(len(ids)) - np.repeat(ends - size, size) << ID_BITS | ids
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(z, pa.int64()))
+
+
+def folded_ids(pieces: pa.Array, long_words: list[bytes], ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of folded words one after the other, and how many each has; long words are folded here."""
+    size = np.diff(pieces.offsets.to_numpy()).astype(np.int64)
+    ends, ids = np.cumsum(size), pieces.flatten().to_numpy() & NONE - 1
+    inner = np.ones(len(ids), bool)
+    inner[(ends - size)[size > 0]] = inner[(ends - 1)[size > 0]] = False
+    ids, n = ids[inner].astype(np.int32), np.maximum(size - 2, 0)
+    if long_words:
+        merged, at = [merge_long(w, ranks) for w in long_words], np.flatnonzero(size == 0)
+        counts = np.array([len(x) for x in merged])
+        ids = np.insert(ids, np.repeat((np.cumsum(n) - n)[at], counts), np.concatenate(merged))
+        n[at] = counts
+    return ids, n
+
+
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same ranked merges by a heap, for long words: O(n log n)."""
     n = len(word)
@@ -180,7 +234,7 @@ def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: s
     names = [f"c{i}" for i in range(len(carried))]
     row = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, carried_fields, strict=True)] + [T.StructField("n_codes", T.IntegerType())])
     binary = T.BinaryType()
-    staged = T.StructType([T.StructField("epoch", T.StringType()), T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("codes", binary), T.StructField("lengths", binary), T.StructField("words", binary), T.StructField("rows", T.ArrayType(row))])
+    staged = T.StructType([T.StructField("epoch", T.StringType()), T.StructField("block", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("codes", binary), T.StructField("lengths", binary), T.StructField("words", binary), T.StructField("rows", T.ArrayType(row))])
     row_type, split_by = arrow_type(row), unicode_pattern(pattern)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +243,7 @@ def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: s
         find = regex.compile(split_by).findall
         numbers: defaultdict[str, int] = defaultdict()
         numbers.default_factory = numbers.__len__
-        epoch = uuid.uuid4().hex  # what is written of a task is written once, so its name holds
+        epoch, block = uuid.uuid4().hex, 0  # what is written of a task is written once, so its name holds
         for batch in batches:
             texts = batch.column(at)
             for a, b in _blocks(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
@@ -201,11 +255,12 @@ def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: s
                     counts.append(len(codes) - before)
                 part = batch.slice(a, b - a)
                 rows = pa.StructArray.from_arrays([part.column(i) for i in carried] + [pa.array(counts, pa.int32())], names=[*names, "n_codes"])
-                yield pa.RecordBatch.from_arrays([pa.array([epoch]), pa.array([1], pa.int32()), pa.nulls(1, pa.int32()), pa.array([pack(np.frombuffer(codes, np.uint32) if codes else np.empty(0, np.uint32))], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), rows)], names=staged.fieldNames())
+                yield pa.RecordBatch.from_arrays([pa.array([epoch]), pa.array([block], pa.int32()), pa.nulls(1, pa.int32()), pa.array([pack(np.frombuffer(codes, np.uint32) if codes else np.empty(0, np.uint32))], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), rows)], names=staged.fieldNames())
+                block += 1
                 if len(numbers) > EPOCH_WORDS:
                     yield dictionary(epoch, numbers)
                     numbers.clear()
-                    epoch = uuid.uuid4().hex
+                    epoch, block = uuid.uuid4().hex, 0
         if numbers:
             yield dictionary(epoch, numbers)
 
@@ -219,20 +274,21 @@ def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: s
         groups = np.split(order, starts[1:])
         packed = [_pack_words([words[i] for i in g.tolist()]) for g in groups]
         n = len(groups)
-        return pa.RecordBatch.from_arrays([pa.array([epoch] * n), pa.array([0] * n, pa.int32()), pa.array(parts, pa.int32()), pa.array([pack(np.diff(g, prepend=0)) for g in groups], pa.binary()), pa.array([x[0] for x in packed], pa.binary()), pa.array([x[1] for x in packed], pa.binary()), pa.nulls(n, pa.list_(row_type))], names=staged.fieldNames())
+        return pa.RecordBatch.from_arrays([pa.array([epoch] * n), pa.nulls(n, pa.int32()), pa.array(parts, pa.int32()), pa.array([pack(np.diff(g, prepend=0)) for g in groups], pa.binary()), pa.array([x[0] for x in packed], pa.binary()), pa.array([x[1] for x in packed], pa.binary()), pa.nulls(n, pa.list_(row_type))], names=staged.fieldNames())
 
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held = materialize(df.mapInArrow(split, staged), "word-numbers")
-    fold_in = T.StructType([T.StructField("epoch", T.StringType()), T.StructField("codes", binary), T.StructField("used", binary), T.StructField("fresh", T.BooleanType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("long_words", T.ArrayType(binary))])
+    blocks, held = materialize_buckets(df.mapInArrow(split, staged), "word-numbers", n_parts, "epoch")
+    fold_in = T.StructType([T.StructField("epoch", T.StringType()), T.StructField("codes", binary), T.StructField("used", binary), T.StructField("fresh", T.BooleanType()), T.StructField("words", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("long_words", T.ArrayType(binary))])
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The words not seen before, in rows of their own, before the row of the epoch that uses them."""
-        seen: dict[bytes, int] = {}
+        pieces, seen = Pieces(shared.value), dict[bytes, int]()
         fresh, rows, size = True, [], 0
-        kinds = [pa.string(), pa.binary(), pa.binary(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.binary())]
+        kinds = [pa.string(), pa.binary(), pa.binary(), pa.bool_(), None, pa.list_(pa.binary())]
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=fold_in.fieldNames())
+            columns = [pa.array([r[k] for r in rows], t) if t else _lists([r[k] for r in rows]) for k, t in enumerate(kinds)]
+            out = pa.RecordBatch.from_arrays(columns, names=fold_in.fieldNames())
             rows.clear()
             return out
 
@@ -245,9 +301,9 @@ def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: s
                 seen.update(zip(new, range(len(seen), len(seen) + len(new)), strict=True))
                 for i in range(0, len(new), WORDS_AT_ONCE):
                     some = new[i : i + WORDS_AT_ONCE]
-                    rows.append((None, None, None, fresh, [None if len(w) > LONG_BYTES else w.decode("latin-1") for w in some], [w for w in some if len(w) > LONG_BYTES]))
+                    rows.append((None, None, None, fresh, pieces.of(some), [w for w in some if len(w) > LONG_BYTES and w not in shared.value]))
                     fresh = False
-                rows.append((epoch, codes, pack(np.fromiter(map(seen.__getitem__, words), np.int64, len(words))), False, [], []))
+                rows.append((epoch, codes, pack(np.fromiter(map(seen.__getitem__, words), np.int64, len(words))), False, pieces.of([]), []))
                 size += len(words)
                 if size >= WORDS_AT_ONCE:
                     yield flush()
@@ -255,10 +311,10 @@ def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: s
         if rows:
             yield flush()
 
-    by_part = held.where("kind = 0").select("epoch", "codes", "lengths", "words", "part").repartitionByRange(n_parts, "part").sortWithinPartitions("part").drop("part")
-    words = by_part.mapInArrow(distinct, fold_in)
-    folded = words.withColumn("m", F.array(literal_rank_map(ranks))).select("epoch", "codes", "used", "fresh", F.expr(f"transform(m, m -> transform(words, w -> if(w is null, null, {FOLD})))[0]").alias("word_ids"), "long_words")
+    by_part = held.where("block is null").select("epoch", "codes", "lengths", "words", "part").repartitionByRange(n_parts, "part").sortWithinPartitions("part").drop("part")
     shared = spark.sparkContext.broadcast(ranks)
+    tables = spark.createDataFrame(pa.table({k: pa.array([x]) for k, x in zip("de", merge_tables(ranks), strict=True)}))
+    folded = by_part.mapInArrow(distinct, fold_in).crossJoin(F.broadcast(tables)).select("epoch", "codes", "used", "fresh", F.expr(FOLD).alias("word_ids"), "long_words")
     answer = T.StructType([T.StructField("epoch", T.StringType()), T.StructField("codes", binary), T.StructField("lengths", binary), T.StructField("words", binary)])
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,13 +327,9 @@ def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: s
                 if fresh[i]:
                     flat, lengths = [], []
                 if epochs[i] is None:
-                    word_ids = batch.column(4).slice(i, 1).flatten()
-                    long = batch.column(5)[i].as_py()
-                    if long:
-                        spare = iter(long)
-                        word_ids = pa.array([merge_long(next(spare), shared.value) if x is None else x for x in word_ids.to_pylist()], pa.list_(pa.int32()))
-                    flat.append(word_ids.flatten().to_numpy())
-                    lengths.append(np.diff(word_ids.offsets.to_numpy()).astype(np.int64))
+                    ids, n_ids = folded_ids(batch.column(4).slice(i, 1).flatten(), batch.column(5)[i].as_py(), shared.value)
+                    flat.append(ids)
+                    lengths.append(n_ids)
                     starts = None
                     continue
                 if starts is None:
@@ -289,29 +341,27 @@ def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: s
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string() if not k else pa.binary()) for k in range(4)], names=answer.fieldNames())
 
-    back = folded.mapInArrow(answers, answer).withColumns({"kind": F.lit(0), "rows": F.lit(None).cast(T.ArrayType(row))})
-    both = back.unionByName(held.where("kind = 1").select("epoch", "kind", "codes", "lengths", "words", "rows"))
-    by_epoch = both.repartition(4 * n_parts, "epoch").sortWithinPartitions("epoch", "kind").select("epoch", "kind", "codes", "lengths", "words", "rows")
+    ids = folded.mapInArrow(answers, answer).groupBy(F.col("epoch").alias("of")).agg(F.collect_list(F.struct("codes", "lengths", "words")).alias("answers"))
+    # the first block of an epoch gets the ids; both sides are dealt by epoch, the blocks by the buckets that they lie in
+    first = (F.col("epoch") == F.col("of")) & (F.col("block") == 0)
+    both = blocks.where("block is not null").join(ids.hint("merge"), first, "left")
+    by_epoch = both.sortWithinPartitions("epoch", "block").select("epoch", "codes", "rows", "answers")
     pieces = _pieces(spark, ranks) if decoded_col else None
     out = T.StructType([*carried_fields, T.StructField(ids_col, T.ArrayType(T.IntegerType())), *([T.StructField(decoded_col, binary)] if decoded_col else [])])
 
     def string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        epoch, parts, starts, size, flat = None, [], None, None, None
+        epoch, starts, size, flat = None, None, None, None
         for batch in batches:
-            epochs, kinds = (batch.column(k).to_pylist() for k in range(2))
-            codes, lengths, ids = (batch.column(k) for k in (2, 3, 4))
+            epochs, codes = batch.column(0).to_pylist(), batch.column(1)
             for i in range(batch.num_rows):
                 if epochs[i] != epoch:
-                    epoch, parts, starts = epochs[i], [], None
-                if kinds[i] == 0:
-                    parts.append((np.cumsum(unpack(codes[i].as_py())), unpack(lengths[i].as_py()), unpack(ids[i].as_py()).astype(np.int32)))
-                    continue
-                if starts is None:
-                    numbers, own, flat = (np.concatenate(x) if parts else np.empty(0, np.int64) for x in (zip(*parts, strict=True) if parts else ((), (), ())))
+                    epoch = epochs[i]
+                    parts = [(np.cumsum(unpack(x["codes"])), unpack(x["lengths"]), unpack(x["words"]).astype(np.int32)) for x in batch.column(3)[i].as_py() or []]
+                    numbers, own, flat = (np.concatenate(x) for x in (zip(*parts, strict=True) if parts else [[np.empty(0, np.int64)]] * 3))
                     starts, size = np.empty(len(numbers), np.int64), np.empty(len(numbers), np.int64)
                     starts[numbers], size[numbers] = np.cumsum(own) - own, own
-                    parts = []
-                rows = batch.column(5).slice(i, 1).flatten()
+                    parts = None
+                rows = batch.column(2).slice(i, 1).flatten()
                 which = unpack(codes[i].as_py())
                 n_ids = size[which]
                 ends = np.concatenate([[0], np.cumsum(n_ids)])
@@ -322,6 +372,10 @@ def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: s
     return by_epoch.mapInArrow(string, out)
 
 
+def _lists(values: list[pa.ListArray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.concat_arrays(values))
+
+
 def _ranges(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The places start, start + 1, ... of each start and its size, one after the other."""
     ends = np.cumsum(size)

@@ -103,6 +103,36 @@ def test_long_merges_equal_short_ones():
             assert bpe.merge_long(w.encode(), ranks) == enc.encode_ordinary(w)
 
 
+def test_merge_tables_hold_every_pair_and_no_other():
+    rnd = random.Random(5)
+    ranks = {bytes([i]): i for i in range(256)}
+    while len(ranks) < 900:
+        ranks.setdefault(rnd.choice(list(ranks)) + rnd.choice(list(ranks)), len(ranks))
+    d, e = bpe.merge_tables(ranks)
+    for a, i in ranks.items():
+        found = e[d[i] + np.arange(len(ranks) + 1)] ^ i << bpe.ID_BITS
+        held = {j: ranks[a + b] for b, j in ranks.items() if a + b in ranks}
+        assert {j: int(x) for j, x in enumerate(found) if x < bpe.NONE} == held
+    with pytest.raises(ValueError):
+        bpe.merge_tables({b"a": 0})
+
+
+def test_bpe_folds_words_of_any_length_and_moves_no_rows(spark):
+    import tiktoken
+
+    ranks = {bytes([i]): i for i in range(256)}
+    rnd = random.Random(6)
+    for _ in range(60):
+        ranks.setdefault(rnd.choice(["a", "b", "ab", "ba", "aa", "aab"]).encode() + rnd.choice(["a", "b", "ba", "bb", "é"]).encode(), len(ranks))
+    enc = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=(ranks := {t: i for i, t in enumerate(ranks)}), special_tokens={})
+    texts = [" ".join("".join(rnd.choice("aabé") for _ in range(n)) for n in (1, 2, 3, 126, 127, 128, 129, 130, 300)) for _ in range(20)] + ["", None, "\n\n"]
+    df = bpe.bpe_encode(docs(spark, texts), ranks, r"\S+|\s+")
+    for r, t in zip(df.orderBy("doc_id").collect(), texts, strict=True):
+        assert r.ids == enc.encode_ordinary(t or "")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("FileScan") < plan.index("Exchange hashpartitioning")  # the ids go to the blocks of rows, which stay
+
+
 # 4
 def base(t):
     w, lines, seen, dup = re.findall(r"[^\x20\x09-\x0D]+", t or ""), (t or "").split("\n"), set(), 0
