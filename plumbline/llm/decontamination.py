@@ -117,30 +117,43 @@ def _plain_words(t: Tokens, size: int) -> np.ndarray:
     return upto[size:] - upto[:-size]
 
 
-def window_hashes(t: Tokens, size: int) -> np.ndarray:
-    n = len(t.place) - size + 1
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
+
+
+def tail_hashes(t: Tokens, size: int) -> np.ndarray:
+    """Of each window: the hash of what follows its first token. Runs are put together from runs of 1, 2, 4, ... tokens."""
+    n, at, out, run, width = len(t.place) - size + 1, 1, None, t.place, 1
     if n < 1:
         return np.empty(0, np.uint64)
-    out = np.full(n, size, np.uint64)
-    for i in range(size):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + t.place[i : i + n])
-    few = np.flatnonzero(_plain_words(t, size) < min(MIN_PLAIN, size))
-    out[few] = _literal(t.word, few, size)
+    while at < size:
+        if (size - 1) & width:
+            held = run[at : at + n]
+            out, at = held if out is None else _join(out, held), at + width
+        if at < size:
+            run, width = _join(run[:-width], run[width:]), 2 * width
+    return np.zeros(n, np.uint64) if out is None else out
+
+
+def window_hashes(t: Tokens, size: int, tail: np.ndarray, plain: np.ndarray) -> np.ndarray:
+    """plain: the number of plain words of each window."""
+    out = _join(tail + np.uint64(size), t.place[: len(tail)])
+    few = np.flatnonzero(plain < min(MIN_PLAIN, size))
+    if len(few):
+        out[few] = _literal(t.word, few, size)
     return out
 
 
-def reread_hashes(t: Tokens, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def reread_hashes(t: Tokens, size: int, tail: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The windows that begin with a token in another reading: place, kind, hash."""
-    held = t.other_at <= len(t.place) - size
+    held = t.other_at < len(tail)
     at, first = t.other_at[held], t.other_kind[held]
     if not len(at):
         return at, first, np.empty(0, np.uint64)
-    out = np.full(len(at), size, np.uint64)
-    for i in range(size):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + (t.place[at + i] if i else np.where(first == PLAIN, t.word[at], _PLACE[first])))
-    plain = _plain_words(t, size)[at] - (t.kind[at] == PLAIN) + (first == PLAIN)
-    few = np.flatnonzero(plain < min(MIN_PLAIN, size))
-    out[few] = _literal(t.word, at[few], size)
+    out = _join(tail[at] + np.uint64(size), np.where(first == PLAIN, t.word[at], _PLACE[first]))
+    few = np.flatnonzero(plain[at] - (t.kind[at] == PLAIN) + (first == PLAIN) < min(MIN_PLAIN, size))
+    if len(few):
+        out[few] = _literal(t.word, at[few], size)
     return at, first, out
 
 
@@ -170,7 +183,7 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     out.append((int(whole_hash(t).view(np.int64)[0]), item, 0, len(t.raw), 1, []))
                     continue
                 size = min(WINDOW, len(t.raw))
-                hashes = window_hashes(t, size).view(np.int64).tolist()
+                hashes = window_hashes(t, size, tail_hashes(t, size), _plain_words(t, size)).view(np.int64).tolist()
                 out += [(x, item, i, size, len(hashes), _slots(t.raw, t.kind, i, size)) for i, x in enumerate(hashes)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())])], names=ITEM_WINDOWS.fieldNames())
 
@@ -205,10 +218,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 if 0 < len(t.raw) < MIN_TOKENS:
                     out.append((int(whole_hash(t).view(np.int64)[0]), doc, 0, []))
                 for size in sizes:
-                    x = window_hashes(t, size)
+                    if len(t.place) < size:
+                        continue
+                    tail, plain = tail_hashes(t, size), _plain_words(t, size)
+                    x = window_hashes(t, size, tail, plain)
                     for i in np.flatnonzero(in_filter(x)).tolist():
                         out.append((int(x[i : i + 1].view(np.int64)[0]), doc, i, _slots(t.raw, t.kind, i, size)))
-                    at, first, x = reread_hashes(t, size)
+                    at, first, x = reread_hashes(t, size, tail, plain)
                     for i in np.flatnonzero(in_filter(x)).tolist():
                         out.append((int(x[i : i + 1].view(np.int64)[0]), doc, int(at[i]), _slots(t.raw, t.kind, int(at[i]), size, int(first[i]))))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())])], names=["h", "doc", "pos", "slots"])

@@ -379,6 +379,20 @@ def test_contamination_of_numbers_and_short_items(spark):
     assert got == {(1, 0): (23, 0), (2, 1): (1, 0), (4, 2): (1, 0), (6, 3): (9, 2), (7, 3): (9, 0), (11, 5): (3, 0)}
 
 
+def test_windows_share_the_hash_of_what_follows_their_first_token():
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)]
+    for size in range(5, 9):
+        one = decontamination.canonical(" ".join(words), decontamination._Words())
+        for at in (0, 1, 20, 40 - size):
+            for changed in range(-1, size):
+                cut = [w if i != changed else "other" for i, w in enumerate(words[at : at + size])]
+                two = decontamination.canonical(" ".join(cut), decontamination._Words())
+                a, b = (decontamination.tail_hashes(t, size) for t in (one, two))
+                assert (a[at] == b[0]) == (changed < 1)
+                x, y = (decontamination.window_hashes(t, size, h, decontamination._plain_words(t, size)) for t, h in ((one, a), (two, b)))
+                assert (x[at] == y[0]) == (changed < 0)
+
+
 def brute_contamination(texts, items):
     """Items whose windows of 8 words stand in a text to at least a half, or 20 words in a row; no placeholders."""
     out = set()
