@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.common import append_columns, arrow_type
-from plumbline.runtime import materialize_buckets, ship
+from plumbline.runtime import arrow_batches, materialize_buckets, ship
 
 LONG_BYTES = 128
 #: Bits of an id in a piece of a word, and the rank of a pair that does not merge.
@@ -49,8 +49,10 @@ EPOCH_WORDS, FOLDED_WORDS = 300_000, 200_000
 BLOCK_CHARS = 500_000
 #: Hash classes of words; a task folds some of them.
 PARTS = 256
-#: Words that one row hands to the fold.
-WORDS_AT_ONCE = 3_000
+#: New words that one row hands to the fold, and the words whose numbers go along: the tables of merges are copied for each row.
+WORDS_AT_ONCE, USED_AT_ONCE = 3_000, 60_000
+#: Bytes of rows that go to Python at once while texts are split.
+BATCH_BYTES = 4 << 20
 #: The code points of Unicode's White_Space, for \s.
 WHITE_SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
@@ -277,68 +279,67 @@ def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: s
         return pa.RecordBatch.from_arrays([pa.array([epoch] * n), pa.nulls(n, pa.int32()), pa.array(parts, pa.int32()), pa.array([pack(np.diff(g, prepend=0)) for g in groups], pa.binary()), pa.array([x[0] for x in packed], pa.binary()), pa.array([x[1] for x in packed], pa.binary()), pa.nulls(n, pa.list_(row_type))], names=staged.fieldNames())
 
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks, held = materialize_buckets(df.mapInArrow(split, staged), "word-numbers", n_parts, "epoch")
-    fold_in = T.StructType([T.StructField("epoch", T.StringType()), T.StructField("codes", binary), T.StructField("used", binary), T.StructField("fresh", T.BooleanType()), T.StructField("words", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("long_words", T.ArrayType(binary))])
+    with arrow_batches(spark, BATCH_BYTES):
+        blocks, held = materialize_buckets(df.mapInArrow(split, staged), "word-numbers", n_parts, "epoch")
+    use = T.StructType([T.StructField("epoch", T.StringType()), T.StructField("codes", binary), T.StructField("used", binary)])
+    fold_in = T.StructType([T.StructField("uses", T.ArrayType(use)), T.StructField("fresh", T.BooleanType()), T.StructField("words", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("long_words", T.ArrayType(binary))])
+    uses_type = arrow_type(fold_in["uses"].dataType)
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The words not seen before, in rows of their own, before the row of the epoch that uses them."""
-        pieces, seen = Pieces(shared.value), dict[bytes, int]()
-        fresh, rows, size = True, [], 0
-        kinds = [pa.string(), pa.binary(), pa.binary(), pa.bool_(), None, pa.list_(pa.binary())]
+        """Rows of words not seen before, each with the epochs that use no words beyond those of this row and the rows before."""
+        pieces, seen, fresh = Pieces(shared.value), dict[bytes, int](), True
 
-        def flush() -> pa.RecordBatch:
-            columns = [pa.array([r[k] for r in rows], t) if t else _lists([r[k] for r in rows]) for k, t in enumerate(kinds)]
-            out = pa.RecordBatch.from_arrays(columns, names=fold_in.fieldNames())
-            rows.clear()
-            return out
+        def row(new: list[bytes], uses: list[dict]) -> pa.RecordBatch:
+            long_words = [w for w in new if len(w) > LONG_BYTES and w not in shared.value]
+            columns = [pa.array([uses], uses_type), pa.array([fresh]), _lists([pieces.of(new)]), pa.array([long_words], pa.list_(pa.binary()))]
+            return pa.RecordBatch.from_arrays(columns, names=fold_in.fieldNames())
 
+        new, uses, size = [], [], 0
         for batch in batches:
             for epoch, codes, lengths, data in ([x[i].as_py() for x in batch.columns] for i in range(batch.num_rows)):
                 if len(seen) > FOLDED_WORDS:
-                    seen, fresh = {}, True
+                    if uses:
+                        yield row(new, uses)
+                    new, uses, size, seen, fresh = [], [], 0, {}, True
                 words = _unpack_words(lengths, data)
-                new = [w for w in words if w not in seen]
-                seen.update(zip(new, range(len(seen), len(seen) + len(new)), strict=True))
-                for i in range(0, len(new), WORDS_AT_ONCE):
-                    some = new[i : i + WORDS_AT_ONCE]
-                    rows.append((None, None, None, fresh, pieces.of(some), [w for w in some if len(w) > LONG_BYTES and w not in shared.value]))
-                    fresh = False
-                rows.append((epoch, codes, pack(np.fromiter(map(seen.__getitem__, words), np.int64, len(words))), False, pieces.of([]), []))
+                unseen = [w for w in words if w not in seen]
+                seen.update(zip(unseen, range(len(seen), len(seen) + len(unseen)), strict=True))
+                new += unseen
+                while len(new) > WORDS_AT_ONCE:
+                    yield row(new[:WORDS_AT_ONCE], uses)
+                    new, uses, size, fresh = new[WORDS_AT_ONCE:], [], 0, False
+                uses.append({"epoch": epoch, "codes": codes, "used": pack(np.fromiter(map(seen.__getitem__, words), np.int64, len(words)))})
                 size += len(words)
-                if size >= WORDS_AT_ONCE:
-                    yield flush()
-                    size = 0
-        if rows:
-            yield flush()
+                if size >= USED_AT_ONCE:
+                    yield row(new, uses)
+                    new, uses, size, fresh = [], [], 0, False
+        if uses:
+            yield row(new, uses)
 
     by_part = held.where("block is null").select("epoch", "codes", "lengths", "words", "part").repartitionByRange(n_parts, "part").sortWithinPartitions("part").drop("part")
     shared = spark.sparkContext.broadcast(ranks)
     tables = spark.createDataFrame(pa.table({k: pa.array([x]) for k, x in zip("de", merge_tables(ranks), strict=True)}))
-    folded = by_part.mapInArrow(distinct, fold_in).crossJoin(F.broadcast(tables)).select("epoch", "codes", "used", "fresh", F.expr(FOLD).alias("word_ids"), "long_words")
+    folded = by_part.mapInArrow(distinct, fold_in).crossJoin(F.broadcast(tables)).select("uses", "fresh", F.expr(FOLD).alias("word_ids"), "long_words")
     answer = T.StructType([T.StructField("epoch", T.StringType()), T.StructField("codes", binary), T.StructField("lengths", binary), T.StructField("words", binary)])
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each epoch and class: the numbers of its words, how many ids each has, and the ids."""
-        flat, lengths, starts = [], [], None
+        flat, lengths = [], []
         for batch in batches:
-            fresh, epochs, codes, used = batch.column(3).to_pylist(), batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            out = []
             for i in range(batch.num_rows):
-                if fresh[i]:
+                uses, fresh, _, long_words = (x[i].as_py() if k != 2 else None for k, x in enumerate(batch.columns))
+                if fresh:
                     flat, lengths = [], []
-                if epochs[i] is None:
-                    ids, n_ids = folded_ids(batch.column(4).slice(i, 1).flatten(), batch.column(5)[i].as_py(), shared.value)
-                    flat.append(ids)
-                    lengths.append(n_ids)
-                    starts = None
+                ids, n_ids = folded_ids(batch.column(2).slice(i, 1).flatten(), long_words, shared.value)
+                flat.append(ids)
+                lengths.append(n_ids)
+                if not uses:
                     continue
-                if starts is None:
-                    flat, lengths = [np.concatenate(flat)], [np.concatenate(lengths)]
-                    starts = np.concatenate([[0], np.cumsum(lengths[0])])
-                which = unpack(used[i])
-                size = lengths[0][which]
-                out.append((epochs[i], codes[i], pack(size), pack(flat[0][_ranges(starts[which], size)])))
-            if out:
+                flat, lengths = [np.concatenate(flat)], [np.concatenate(lengths)]
+                starts, out = np.cumsum(lengths[0]) - lengths[0], []
+                for x in uses:
+                    size = lengths[0][which := unpack(x["used"])]
+                    out.append((x["epoch"], x["codes"], pack(size), pack(flat[0][_ranges(starts[which], size)])))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string() if not k else pa.binary()) for k in range(4)], names=answer.fieldNames())
 
     ids = folded.mapInArrow(answers, answer).groupBy(F.col("epoch").alias("of")).agg(F.collect_list(F.struct("codes", "lengths", "words")).alias("answers"))

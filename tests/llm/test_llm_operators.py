@@ -133,6 +133,36 @@ def test_bpe_folds_words_of_any_length_and_moves_no_rows(spark):
     assert plan.index("FileScan") < plan.index("Exchange hashpartitioning")  # the ids go to the blocks of rows, which stay
 
 
+def nodes(plan):
+    """The physical nodes of a plan that ran."""
+    name = plan.getClass().getSimpleName()
+    inner = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else []
+    yield name, plan
+    for x in inner or [plan.children().apply(i) for i in range(plan.children().size())]:
+        yield from nodes(x)
+
+
+def test_bpe_copies_its_tables_seldom_and_bounds_batches(spark, monkeypatch):
+    import tiktoken
+
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"ba": 257, b"abba": 258}
+    enc = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+    rnd, key, during, write = random.Random(7), "spark.sql.execution.arrow.maxBytesPerBatch", [], bpe.materialize_buckets
+    texts = [" ".join("".join(rnd.choice("abc") for _ in range(rnd.choice((3, 9, 140)))) for _ in range(30)) for _ in range(60)] + [None, ""]
+    monkeypatch.setattr(bpe, "materialize_buckets", lambda *a: during.append(int(spark.conf.get(key))) or write(*a))
+    before = spark.conf.get(key)
+    # the last: rows of a few words, an epoch for each block of a row, words forgotten again and again
+    for limits in ({}, {"WORDS_AT_ONCE": 7}, {"USED_AT_ONCE": 1}, {"WORDS_AT_ONCE": 3, "USED_AT_ONCE": 20, "FOLDED_WORDS": 40, "EPOCH_WORDS": 10, "BLOCK_CHARS": 100}):
+        for k, v in limits.items():
+            monkeypatch.setattr(bpe, k, v)
+        df = bpe.bpe_encode(docs(spark, texts).repartition(20), ranks, r"\S+|\s+")
+        assert {r.doc_id: r.ids for r in df.collect()} == {i: enc.encode_ordinary(t or "") for i, t in enumerate(texts)}
+        if not limits:  # a row holds the words and epochs of a task, not those of one epoch and class
+            (joined,) = (x.metrics().apply("numOutputRows").value() for name, x in nodes(df._jdf.queryExecution().executedPlan()) if name == "BroadcastNestedLoopJoinExec")
+            assert 0 < joined <= 8
+    assert during == [bpe.BATCH_BYTES] * 4 and spark.conf.get(key) == before
+
+
 # 4
 def base(t):
     w, lines, seen, dup = re.findall(r"[^\x20\x09-\x0D]+", t or ""), (t or "").split("\n"), set(), 0
