@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def match_within(reference: DataFrame, returned: DataFrame, horizontal: float, vertical: float) -> DataFrame:
     """(ref_id, ret_id, d_east, d_north, d_plan, d_up) of all pairs within both tolerances, edges included.
 
-    A band join: points meet in cells of the tolerance's size, the reference in its own and the eight around it.
+    A band join: points meet in cells of the tolerance's size, the reference in its own and the eight around it. Both sides
+    are shuffled: the planner goes by the size of packed files, and would send a whole side through the driver.
     """
     size = max(horizontal, 1e-9)
     cell = lambda c: F.floor(F.col(c) / size).cast("long")
@@ -18,7 +19,7 @@ def match_within(reference: DataFrame, returned: DataFrame, horizontal: float, v
     a = a.select("ref_id", "ax", "ay", "az", (F.col("u") + F.col("s.i")).alias("u"), (F.col("v") + F.col("s.j")).alias("v"))
     b = returned.select(F.col("id").alias("ret_id"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"), cell("x").alias("u"), cell("y").alias("v"))
     de, dn, du = F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay")), F.abs(F.col("bz") - F.col("az"))
-    out = a.join(b, ["u", "v"]).select("ref_id", "ret_id", de.alias("d_east"), dn.alias("d_north"), F.hypot(de, dn).alias("d_plan"), du.alias("d_up"))
+    out = a.join(b.hint("merge"), ["u", "v"]).select("ref_id", "ret_id", de.alias("d_east"), dn.alias("d_north"), F.hypot(de, dn).alias("d_plan"), du.alias("d_up"))
     return out.where((F.col("d_plan") <= horizontal) & (F.col("d_up") <= vertical))
 
 
