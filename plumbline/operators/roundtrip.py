@@ -24,11 +24,11 @@ def match_within(reference: DataFrame, returned: DataFrame, horizontal: float, v
 
 
 def match_problems(matches: DataFrame, reference: DataFrame, returned: DataFrame) -> DataFrame:
-    """(side, id, matches) of the points without exactly one match."""
+    """(side, id, matches) of the points without exactly one match. Counts for each point are a table, not to be broadcast."""
     out = None
     for side, table, key in (("reference", reference, "ref_id"), ("returned", returned, "ret_id")):
         n = matches.groupBy(F.col(key).alias("id")).agg(F.count("*").alias("matches"))
-        bad = table.select("id").join(n, "id", "left").select(F.lit(side).alias("side"), "id", F.coalesce("matches", F.lit(0)).cast("long").alias("matches")).where("matches <> 1")
+        bad = table.select("id").join(n.hint("merge"), "id", "left").select(F.lit(side).alias("side"), "id", F.coalesce("matches", F.lit(0)).cast("long").alias("matches")).where("matches <> 1")
         out = bad if out is None else out.unionByName(bad)
     return out
 

@@ -17,3 +17,11 @@ def test_match_shuffles_both_sides(spark):
     got = {(r.ref_id, r.ret_id, r.d_plan) for r in m.collect()}
     assert got == {(i, i + 1000, 0.125 * (i % 4)) for i in range(1, 41) if i % 4 < 3 and i != 7}
     assert "Broadcast" not in plan(m)
+
+
+def test_problems_shuffle_both_sides(spark):
+    ref, ret = sides(spark)
+    p = roundtrip.match_problems(roundtrip.match_within(ref, ret, 0.25, 0.3), ref, ret)
+    lone = {i for i in range(1, 41) if i % 4 == 3}
+    assert {tuple(r) for r in p.collect()} == {("reference", i, 0) for i in lone} | {("returned", i + 1000, 0) for i in lone - {7}}
+    assert "Broadcast" not in plan(p)
