@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import operator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,24 +69,32 @@ def orientation(ax, ay, bx, by, cx, cy) -> Column:
     return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
 
 
-def orientation_sign(ax, ay, bx, by, cx, cy) -> Column:
-    """-1, 0 or 1 by the side of a, b on which c lies: exact for all 64-bit ticks.
+def orientation_sign(ax, ay, bx, by, cx, cy, wide: bool = False) -> Column:
+    """-1, 0 or 1 by the side of a, b on which c lies: exact for all 64-bit ticks; if wide, for all of up to 37 digits.
 
-    Both products are taken apart into 32-bit limbs, whose sums fit decimals; carries go up, and the highest limb decides.
+    Both products are taken apart into limbs, whose sums fit decimals; carries go up, and the highest limb decides.
     """
-    limb = F.lit(1 << 32).cast("decimal(38,0)")
-    wide = lambda v: v.cast("decimal(20,0)")
-    low = lambda v: F.pmod(v.cast("decimal(38,0)"), limb).cast("decimal(12,0)")
-    high = lambda v: ((v.cast("decimal(38,0)") - F.pmod(v.cast("decimal(38,0)"), limb)) / limb).cast("decimal(16,0)")
-    (p, q), (r, s) = ((wide(bx) - wide(ax), wide(cy) - wide(ay)), (wide(by) - wide(ay), wide(cx) - wide(ax)))
-    part = lambda f, g: (f(p) * g(q) - f(r) * g(s)).cast("decimal(38,0)")
-    middle = part(high, low) + part(low, high)
-    bottom = part(low, low)
-    carry = lambda v: ((v - F.pmod(v, limb)) / limb).cast("decimal(38,0)")
-    middle = (middle.cast("decimal(38,0)") + carry(bottom)).cast("decimal(38,0)")
-    top = part(high, high) + carry(middle)
-    rest = (F.pmod(middle, limb) > 0) | (F.pmod(bottom, limb) > 0)
-    return F.when(top > 0, 1).when(top < 0, -1).when(rest, 1).otherwise(0)
+    base, n, digits = (10**13, 3, 38) if wide else (1 << 32, 2, 20)
+    limb = F.lit(base).cast("decimal(38,0)")
+    tick = lambda v: v.cast(f"decimal({digits},0)")
+    rest = lambda v: F.pmod(v.cast("decimal(38,0)"), limb)
+    up = lambda v: ((v.cast("decimal(38,0)") - rest(v)) / limb).cast("decimal(38,0)")
+
+    def limbs(v: Column) -> list[Column]:
+        low = []
+        for _ in range(n - 1):
+            low.append(rest(v).cast("decimal(14,0)"))
+            v = up(v)
+        return [*low, v.cast("decimal(16,0)")]
+
+    p, q, r, s = map(limbs, (tick(bx) - tick(ax), tick(cy) - tick(ay), tick(by) - tick(ay), tick(cx) - tick(ax)))
+    left, below = None, []
+    for k in range(2 * n - 1):
+        sums = [p[i] * q[k - i] - r[i] * s[k - i] for i in range(n) if 0 <= k - i < n]
+        column = reduce(operator.add, sums if left is None else [*sums, up(left)]).cast("decimal(38,0)")
+        left = column
+        below.append(rest(column) > 0)
+    return F.when(left > 0, 1).when(left < 0, -1).when(reduce(operator.or_, below[:-1]), 1).otherwise(0)
 
 
 def tolerance_class(residual: Column, below: float, above: float) -> Column:

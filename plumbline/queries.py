@@ -754,10 +754,10 @@ def _(s, d):
 
 @query("orientation_far_ticks", "WITH e AS (SELECT event_id, user_id, event_id % 7 - 3 AS k FROM events), p AS (SELECT event_id, k, CAST(user_id AS HUGEINT) * 10000000000000000 AS u FROM e) SELECT event_id, CASE WHEN k * u > 0 THEN 1 WHEN k * u < 0 THEN -1 ELSE 0 END AS side FROM p")
 def _(s, d):
-    """c lies k ticks left of the line from (-u, -u) to (u, u), u up to 1.5 * 10^18."""
-    u = F.col("user_id") * 10_000_000_000_000_000
+    """c lies k ticks left of the line from (-u, -u) to (u, u), u up to 9.3 * 10^34."""
+    u = F.col("user_id").cast("decimal(20,0)") * F.lit(10**16).cast("decimal(17,0)")
     k = F.col("event_id") % 7 - 3
-    return s.read.parquet(f"{d}/events.parquet").select("event_id", g.orientation_sign(-u, -u, u, u, F.expr("event_id") * 0 + u, u + k).cast("long").alias("side"))
+    return s.read.parquet(f"{d}/events.parquet").select("event_id", g.orientation_sign(-u, -u, u, u, F.expr("event_id") * 0 + u, u + k, wide=True).cast("long").alias("side"))
 
 
 @query("display_grey", f"WITH {PU} SELECT intensity, count(*) AS n, (intensity * 1311 * 255 + 32767) // 65535 AS grey, 255 AS alpha FROM points_u GROUP BY intensity")
